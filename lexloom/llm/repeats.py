@@ -208,17 +208,23 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
-def pack_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows (_key, _text, ...) as blocks, in the order of their partitions; equal keys that follow each other stay together."""
+def pack_blocks(df: DataFrame, block_bytes: int, numbered: bool = False) -> DataFrame:
+    """Rows (_key, _text, ...) as blocks, in the order of their partitions; equal keys that follow each other stay together.
+
+    A block is named by its least key, or numbered uniquely; numbers hold once the blocks are written.
+    """
     schema = _schema(BLOCKS)
 
-    def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def close(parts: list[pa.RecordBatch], nth: int) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
         t = pa.Table.from_batches(parts).sort_by([("_key", "ascending"), ("_text", "ascending")])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(t.combine_chunks())
         keys = t["_key"].to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array([int(keys[0])]), pa.array([int(keys[-1])]), pa.array([_size(parts)]), pa.array([sink.getvalue().to_pybytes()])], schema=schema)
+        name = (TaskContext.get().partitionId() << 32) + nth if numbered else int(keys[0])
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(keys[-1])]), pa.array([_size(parts)]), pa.array([sink.getvalue().to_pybytes()])], schema=schema)
 
     def _size(parts: list[pa.RecordBatch]) -> int:
         import pyarrow.compute as pc
@@ -229,7 +235,7 @@ def pack_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
         import pyarrow.compute as pc
 
         held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        size, last, nth = 0, None, 0
         for b in batches:
             keys = b.column(0).to_numpy()
             sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -238,14 +244,14 @@ def pack_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
                 if size >= block_bytes and keys[i] != last:
                     if i > begin:
                         held.append(b.slice(begin, i - begin))
-                    yield close(held)
-                    held, size, begin = [], 0, i
+                    yield close(held, nth)
+                    held, size, begin, nth = [], 0, i, nth + 1
                 size += int(sizes[i])
                 last = keys[i]
             if len(keys) > begin:
                 held.append(b.slice(begin))
         if held:
-            yield close(held)
+            yield close(held, nth)
 
     return df.mapInArrow(run, BLOCKS)
 
