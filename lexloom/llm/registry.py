@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexloom.llm import best_fit_packing, byte_bpe, exact_top_k, ngram_jaccard, quality_rules, secret_scans, substring_dedup, suffix_array_dedup
+from lexloom.llm import best_fit_packing, byte_bpe, exact_top_k, ngram_jaccard, quality_rules, secret_scans, substring_dedup, suffix_array_dedup, toxicity
 
-_MODULES = (ngram_jaccard, best_fit_packing, suffix_array_dedup, secret_scans, exact_top_k, ngram_jaccard, quality_rules, substring_dedup, byte_bpe)
+_MODULES = (ngram_jaccard, best_fit_packing, suffix_array_dedup, secret_scans, exact_top_k, ngram_jaccard, quality_rules, substring_dedup, byte_bpe, toxicity)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
