@@ -148,3 +148,30 @@ def gram_hashes(units: np.ndarray, n: int) -> np.ndarray:
         if not rest:
             return out[: len(units) - n + 1]
         level, size = pair_hash(level[:-size], level[size:]), 2 * size
+
+
+def edit_texts(df: DataFrame, edit: Callable[[str], str | None], text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """df with every text replaced by edit(text), rows dropped where that is None, and the length column kept true.
+
+    edit must be picklable; null texts are edited as ''. All columns pass through.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.schema)
+    at = df.columns.index(text)
+    n_at = df.columns.index(length) if length in df.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in slices_of(b.column(at)):
+                part = b.slice(lo, hi - lo)
+                new = [edit(t or "") for t in part.column(at).to_pylist()]
+                keep = pa.array([t is not None for t in new])
+                cols = [c.filter(keep) for c in part.columns]
+                kept = [t for t in new if t is not None]
+                cols[at] = pa.array(kept, schema.field(at).type)
+                if n_at is not None:
+                    cols[n_at] = pa.array([len(t) for t in kept], schema.field(n_at).type)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return df.mapInArrow(run, df.schema)
