@@ -123,12 +123,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Elements that are hashed at a time, so that all steps on them stay in a core's cache.
+CHUNK = 1 << 14
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of the sequence a, b; not symmetric."""
-    x = a * M1
-    x += b
-    x *= M2
-    return mix(x)
+    out = np.empty(len(a), np.uint64)
+    spare = np.empty(min(CHUNK, len(a)), np.uint64)
+    for i in range(0, len(a), CHUNK):
+        x = out[i : i + CHUNK]
+        s = spare[: len(x)]
+        np.multiply(a[i : i + CHUNK], M1, out=x)
+        x += b[i : i + CHUNK]
+        np.right_shift(x, np.uint64(29), out=s)
+        x ^= s
+        x *= M2
+        np.right_shift(x, np.uint64(32), out=s)
+        x ^= s
+    return out
 
 
 def gram_hashes(units: np.ndarray, n: int) -> np.ndarray:

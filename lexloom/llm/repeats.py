@@ -36,6 +36,8 @@ from lexloom.llm import common
 ANCHOR_BITS = 40
 #: Bytes of text whose hashes one bucket sorts at a time, and least number of buckets.
 BUCKET_BYTES, MIN_BUCKETS = 48 << 20, 24
+#: Blocks are written once and shuffled twice.
+ZSTD_LEVEL = 4
 NO_KEY = -(1 << 63)
 
 BLOCKS = "block long, upto long, size long, data binary"
@@ -121,7 +123,7 @@ class Block:
         """Hashes of the size units from every place, size a power of two; places too near the end hash what wraps around."""
         if size not in self._levels:
             half = self.level(size // 2)
-            self._levels[size] = common.pair_hash(half, np.roll(half, -(size // 2)))
+            self._levels[size] = common.pair_hash(half, np.concatenate([half[size // 2 :], half[: size // 2]])[: len(half)])
         return self._levels[size]
 
     def grams(self, places: np.ndarray, n: int) -> np.ndarray:
@@ -191,9 +193,7 @@ def later(values: np.ndarray) -> np.ndarray:
 
 def _spread(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """True at the places of the ranges begin..end (exclusive)."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, begin, 1)
-    np.add.at(d, end, -1)
+    d = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     return np.cumsum(d[:n]) > 0
 
 
@@ -220,7 +220,7 @@ def pack_blocks(df: DataFrame, block_bytes: int, numbered: bool = False) -> Data
 
         t = pa.Table.from_batches(parts).sort_by([("_key", "ascending"), ("_text", "ascending")])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))) as w:
             w.write_table(t.combine_chunks())
         keys = t["_key"].to_numpy()
         name = (TaskContext.get().partitionId() << 32) + nth if numbered else int(keys[0])
@@ -287,6 +287,8 @@ def _send_anchors(spec: Spec, buckets: int) -> Callable:
 
 def _answer(key: tuple, sent: pa.Table) -> pa.Table:
     """For one bucket and kind: each block's flags. Kind 0: in another block; kinds 1 and 2: in an earlier one."""
+    if key[0].as_py() < 0:  # a block's own state, on its way to the last step
+        return sent.select(["k", "block", "kind", "data"])
     order = np.argsort(sent["block"].to_numpy(), kind="stable")
     data, blocks, kind = sent["data"], sent["block"].to_pylist(), key[1].as_py()
     values = [unpack_sorted(data[int(i)].as_py()) for i in order]
@@ -328,7 +330,8 @@ def _send_windows(spec: Spec, buckets: int) -> Callable:
             sent = candidate & ~removed
             values = np.unique(own.grams(np.flatnonzero(sent), spec.window))
             rows += [(k, block, 2, pack_sorted(values[x:y])) for k, x, y in by_bucket(values, buckets, 64)]
-            rows += [(-1, block, 3, pack_bits(removed)), (-1, block, 4, pack_bits(sent))]
+            own_group = -1 - (block * 0x9E3779B1 >> 7) % (1 << 30)  # spreads the blocks' states
+            rows += [(own_group, block, 3, pack_bits(removed)), (own_group, block, 4, pack_bits(sent))]
         return _rows(schema, rows)
 
     return run
@@ -388,7 +391,6 @@ def remove_repeats(df: DataFrame, spec: Spec, key: str, text: str, carry: dict[s
     units = blocks.select("block", "data")
     first = units.mapInArrow(_send_anchors(spec, buckets), SENT).groupBy("k", "kind").applyInArrow(_answer, SENT)
     sent = units.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_windows(spec, buckets), SENT)
-    sent = scratch.save(sent, "windows")
-    answers = sent.where("k >= 0").groupBy("k", "kind").applyInArrow(_answer, SENT).unionByName(sent.where("k < 0"))
+    answers = sent.groupBy("k", "kind").applyInArrow(_answer, SENT)
     result = StructType([*rows.schema.fields[2:], *RESULT])
     return units.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(spec, to_arrow_schema(result), with_text), result)
