@@ -12,8 +12,9 @@ identical. A cost model allocates, for each group, one of two signatures:
 
 Signatures that occur once anywhere are dropped through exchanges of sorted sets by hash range (see repeats.py). For the
 others, equal sets count as one class, and in each bucket of a signature every member is verified exactly against one
-centre, the same for nearly all buckets of a group of near copies: linear in the bucket. Members of a bucket that are not
-linked to its centre are the rest: for them the differences from the centre are compared. If a isn't linked to centre c,
+centre, the same for nearly all buckets of a group of near copies: linear in the bucket. A brief form of the sets, whose
+differences bound theirs from below, rules most pairs out before any set travels. Members of a bucket that are not linked to
+its centre are the rest. In buckets of at most SMALL members their pairs are compared, brief forms first. In larger ones the differences from the centre are compared. If a isn't linked to centre c,
 then a link between a and b needs over half of b's differences in common, so the rarer half of b's differences, joined to
 all of a's, finds every such pair. Nothing emits all pairs of a bucket, and no link between different components is lost.
 
@@ -37,11 +38,15 @@ from pyspark.sql import functions as F
 from lexloom.llm import common
 from lexloom.llm.repeats import BUCKET_BYTES, MIN_BUCKETS, NO_KEY, SENT, _answer, _flags, _rows, _schema, by_bucket, pack_blocks, pack_sorted
 
-SKETCH_BITS, SKETCH_PARTS = 20, 16
+SKETCH_BITS, SKETCH_PARTS = 22, 16
+#: Up to this many members, a bucket's pairs are few enough to compare their brief forms.
+SMALL = 32
 KEY_BITS = 48
 BLOCK_BYTES = 4 << 20
 META = "doc_id long, n_shingles long, class long"
-MEMBERS = "class long, keys array<long>, elements binary"
+MEMBERS = "class long, size long, keys array<long>, brief binary, elements binary"
+#: Bytes of a set's brief form.
+BRIEF = 256
 
 
 class Join:
@@ -152,6 +157,29 @@ def sketch_of(units: DataFrame, join: Join) -> np.ndarray:
     return np.concatenate([parts.get(k, np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)) for k in range(SKETCH_PARTS)]).clip(0, (1 << 31) - 1).astype(np.int32)
 
 
+def brief(elements: np.ndarray) -> bytes:
+    """A byte for each of BRIEF segments of the universe. Sets that differ in d elements differ in at most d of the bytes."""
+    segment = (elements >> np.uint64(56)).astype(np.int64)
+    low = ((elements * common.M3) >> np.uint64(40)) & np.uint64(0xFFFF)
+    return np.bincount(segment, weights=low.astype(np.float64), minlength=BRIEF).astype(np.int64).astype(np.uint16).astype(np.uint8).tobytes()
+
+
+def _may_link(pct: int):
+    """Keeps pairs (member, centre, sizes, briefs) whose briefs and sizes allow a link, or a link of both to a third."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BRIEF) for c in (b.column(4), b.column(5)))
+            apart = (x != y).sum(1)
+            total = b.column(2).to_numpy() + b.column(3).to_numpy()
+            keep = pa.array(apart <= (100 - pct) * total // (100 + pct))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keep], names=["member", "centre", "near"])
+
+    return run
+
+
 def _class_of(elements: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(elements.tobytes()), "little", signed=True)
 
@@ -221,7 +249,7 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
             yield from _rows(_schema(SENT), out).to_batches()
 
     def pick(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], [], []]
         for data in left["data"]:
             own = list(_distinct(join, shared.value, pa.ipc.open_stream(data.as_py()).read_all()))
             every = np.concatenate([np.zeros(0, np.uint64), *(k for _, _, k in own)])
@@ -230,9 +258,10 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
             for c, elements, keys in own:
                 hit = np.intersect1d(keys, shared_keys, assume_unique=True)
                 if len(hit):
-                    for col, v in zip(out, (c, hit.astype(np.int64), elements.tobytes()), strict=True):
+                    for col, v in zip(out, (c, len(elements), hit.astype(np.int64), brief(elements), elements.tobytes()), strict=True):
                         col.append(v)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())], names=["class", "keys", "elements"])
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.table([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["class", "size", "keys", "brief", "elements"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in _blocks(batches):
@@ -244,18 +273,41 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
     members = units.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(pick, MEMBERS)
     members = scratch.save(members, "members")
     # A class may come from several blocks; any of its rows has the same keys and elements.
-    sets = members.groupBy("class").agg(F.first("elements").alias("elements"))
+    light = members.groupBy("class").agg(F.first("size").alias("size"), F.first("brief").alias("brief"))
     indexed = members.select("class", F.explode("keys").alias("key")).distinct()
     rank = F.struct(F.xxhash64("class").alias("h"), F.col("class").alias("n"))
-    centres = indexed.groupBy("key").agg(F.min(rank)["n"].alias("centre"), F.count("*").alias("held")).where("held > 1").drop("held")
-    pairs = indexed.join(centres, "key").where("class <> centre").select(F.col("class").alias("member"), "centre").distinct()
-    with_member = pairs.join(sets.withColumnRenamed("class", "member"), "member")
-    with_both = with_member.join(sets.select(F.col("class").alias("centre"), F.col("elements").alias("centre_elements")), "centre")
-    compared = with_both.select("member", "centre", "elements", "centre_elements").mapInArrow(_differences, "member long, centre long, size long, centre_size long, diff array<long>")
+    centres = indexed.groupBy("key").agg(F.min(rank)["n"].alias("centre"), F.count("*").alias("held")).where("held > 1")
+    by_key = scratch.save(indexed.join(centres, "key").where("class <> centre").select("key", F.col("class").alias("member"), "centre", (F.col("held") <= SMALL).alias("small")), "by-key")
+    pairs = by_key.groupBy("member", "centre").agg(F.max(~F.col("small")).alias("large"))
+    star = _compare(_near(pairs.select("member", "centre"), light, pct, pairs.where("large").select("member", "centre")), members)
+    star = star.join(pairs.where("large"), ["member", "centre"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
     linked = 100 * (F.col("size") + F.col("centre_size") - F.size("diff")) >= pct * (F.col("size") + F.col("centre_size") + F.size("diff"))  # twice both sides
-    compared = scratch.save(compared.withColumn("linked", linked), "compared")
-    star = compared.where("linked").select(F.col("member").alias("a"), F.col("centre").alias("b"))
-    return meta, star.unionByName(_rest(compared, n, pct))
+    compared = scratch.save(star.withColumn("linked", linked), "compared")
+    links = compared.where("linked").select(F.col("member").alias("a"), F.col("centre").alias("b"))
+    # Small buckets: pairs that their centre doesn't connect yet.
+    told = compared.where("linked").select("member", "centre", "linked")
+    side = by_key.where("small").join(told, ["member", "centre"], "left").select("key", "member", F.col("linked").isNotNull().alias("linked"))
+    few = side.join(side.select("key", F.col("member").alias("centre"), F.col("linked").alias("other")), "key").where("member < centre AND NOT (linked AND other)").select("member", "centre").distinct()
+    small = _compare(_near(few, light, pct), members).where(linked).select(F.col("member").alias("a"), F.col("centre").alias("b"))
+    return meta, links.unionByName(small).unionByName(_rest(compared.where("large"), n, pct))
+
+
+def _near(pairs: DataFrame, light: DataFrame, pct: int, also: DataFrame | None = None) -> DataFrame:
+    """The pairs (member, centre) whose brief forms allow a link, and those in also."""
+    both = pairs.join(light.select(F.col("class").alias("member"), F.col("size").alias("s"), F.col("brief").alias("x")), "member").join(
+        light.select(F.col("class").alias("centre"), F.col("size").alias("cs"), F.col("brief").alias("y")), "centre"
+    )
+    near = both.select("member", "centre", "s", "cs", "x", "y").mapInArrow(_may_link(pct), "member long, centre long, near boolean").where("near").select("member", "centre")
+    return near if also is None else near.unionByName(also).distinct()
+
+
+def _compare(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """member, centre, their sizes and the elements in which they differ; only sets of the pairs travel."""
+    used = pairs.select(F.col("member").alias("class")).unionByName(pairs.select(F.col("centre").alias("class"))).distinct()
+    sets = members.select("class", "elements").join(used, "class", "left_semi").dropDuplicates(["class"])
+    one = pairs.join(sets.select(F.col("class").alias("member"), "elements"), "member")
+    both = one.join(sets.select(F.col("class").alias("centre"), F.col("elements").alias("centre_elements")), "centre")
+    return both.select("member", "centre", "elements", "centre_elements").mapInArrow(_differences, "member long, centre long, size long, centre_size long, diff array<long>")
 
 
 def _rest(compared: DataFrame, n: int, pct: int) -> DataFrame:
