@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from lexloom.plans import documents, records, verification
+
+_MODULES = (documents, records, verification)
+QUERIES = {name: f for m in _MODULES for name, f in m.REGISTRY.queries.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.REGISTRY.oracles.items()}
+FLAGSHIP = "identity_resolve"

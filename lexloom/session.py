@@ -44,3 +44,12 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("lexloom", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="lexloom-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
