@@ -167,6 +167,6 @@ def journal_stream(t):
     from lexloom.streaming.journal import run_once
 
     e = t("events")
-    path = e.inputFiles()[0]
-    folder = path if len(e.inputFiles()) == 1 else path.rsplit("/", 1)[0]
-    return run_once(e.sparkSession, folder, e.schema, "event_id", "ts").select("event_id", "user_id")
+    files = e.inputFiles()
+    source = files[0] if len(files) == 1 else files[0].rpartition("/")[0] + "/"
+    return run_once(e.sparkSession, source, e.schema, "event_id", "ts").select("event_id", "user_id")

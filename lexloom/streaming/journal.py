@@ -9,8 +9,10 @@ from lexloom.session import shared_dir
 
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
-    """New files of a folder (or one file) as a stream."""
-    return spark.readStream.schema(schema).parquet(path)
+    """New files of a folder, or one Parquet file of it, as a stream."""
+    reader = spark.readStream.schema(schema)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else reader.parquet(path)
 
 
 def distinct_events(events: DataFrame, key: str, time: str, delay: str = "7 days") -> DataFrame:
