@@ -217,12 +217,14 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFram
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (member, centre, their elements) to (member, centre, sizes, the elements in which they differ)."""
     for b in batches:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for x, y in zip(b.column(2), b.column(3), strict=True):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            for col, v in zip(out, (len(p), len(q), np.setxor1d(p, q, assume_unique=True).view(np.int64)), strict=True):
+            own, other = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
+            for col, v in zip(out, (len(p), len(q), len(own), np.concatenate([own, other]).view(np.int64)), strict=True):
                 col.append(v)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["member", "centre", "size", "centre_size", "diff"])
+        cols = [pa.array(v, pa.int64()) for v in out[:3]]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(out[3], pa.list_(pa.int64()))], names=["member", "centre", "size", "centre_size", "own", "diff"])
 
 
 def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -307,27 +309,38 @@ def _compare(pairs: DataFrame, members: DataFrame) -> DataFrame:
     sets = members.select("class", "elements").join(used, "class", "left_semi").dropDuplicates(["class"])
     one = pairs.join(sets.select(F.col("class").alias("member"), "elements"), "member")
     both = one.join(sets.select(F.col("class").alias("centre"), F.col("elements").alias("centre_elements")), "centre")
-    return both.select("member", "centre", "elements", "centre_elements").mapInArrow(_differences, "member long, centre long, size long, centre_size long, diff array<long>")
+    return both.select("member", "centre", "elements", "centre_elements").mapInArrow(_differences, "member long, centre long, size long, centre_size long, own long, diff array<long>")
 
 
 def _rest(compared: DataFrame, n: int, pct: int) -> DataFrame:
-    """Links of members that aren't linked to their centre."""
+    """Links of members that aren't linked to their centre c, for buckets of any size.
+
+    Let d be a member's differences from c and H the most that a link allows. A link between a, not linked to c, and b needs
+    over half of b's differences in common, so the rarer part of b's differences meets one of a's. A member farther than 2H
+    is too far for any that is linked to c, and most of what it shares with another far one isn't in c: there the rarest of
+    its own elements, those that a link can't miss all of, meet the other's elements outside c.
+    """
     apart = compared.where("NOT linked").select("centre").distinct()
-    here = compared.join(apart, "centre", "left_semi")
-    tokens = here.select("centre", "member", "linked", F.col("size").alias("s"), F.col("centre_size").alias("cs"), F.size("diff").alias("d"), F.explode("diff").alias("token"))
-    weights = tokens.groupBy("centre", "token").agg(F.count("*").alias("held"))
+    most = F.ceil((100 - pct) * F.col("size") / F.lit(pct)) + 1
+    d = F.size("diff")
+    prefix_own = F.col("size") - F.ceil(pct * F.col("size") / 100) + 1
+    far = (~F.col("linked")) & (d > 2 * most)
+    here = compared.join(apart, "centre", "left_semi").withColumn("far", far).withColumn("by_own", far & (F.col("own") >= prefix_own))
+    # A link to a member apart from the centre needs at least `need` of the differences in common.
+    slack = F.ceil((100 - pct) * F.greatest(F.lit(0), F.col("size") - F.col("centre_size")) / F.lit(100 + pct))
+    need = F.greatest(F.lit(1), F.ceil((d + 1 - slack) / 2))
+    here = here.withColumn("take", F.when(F.col("by_own"), prefix_own).otherwise(d - need + 1).cast("int"))
+    flat = here.select("centre", "member", "linked", "far", "by_own", "take", "own", F.posexplode("diff").alias("p", "token")).withColumn("outside", F.col("p") < F.col("own")).drop("p", "own")
+    weights = flat.groupBy("centre", "token").agg(F.count("*").alias("held"))
+    # Those that take their own elements need no others of their differences.
+    useful = flat.where("outside OR NOT by_own").join(weights, ["centre", "token"])
+    ranked = useful.groupBy("centre", "member", "linked", "by_own", "take").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("ordered"))
     # A token that one member alone has finds nothing; it still counts for the prefix.
-    ranked = (
-        tokens.join(weights, ["centre", "token"])
-        .groupBy("centre", "member", "s", "cs", "d")
-        .agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("ordered"))
-    )
-    # A link to a member a apart from the centre needs at least `need` of the differences in common.
-    slack = F.ceil((100 - pct) * F.greatest(F.lit(0), F.col("s") - F.col("cs")) / F.lit(100 + pct))
-    need = F.greatest(F.lit(1), F.ceil((F.col("d") + 1 - slack) / 2)).cast("int")
-    prefix = ranked.select("centre", F.col("member").alias("b"), F.explode(F.slice("ordered", 1, F.col("d") - need + 1)).alias("t")).where("t.held > 1").select("centre", "b", F.col("t.token").alias("token"))
-    whole = tokens.where("NOT linked").select("centre", F.col("member").alias("a"), "token")
-    found = prefix.join(whole, ["centre", "token"]).where("a <> b").select("centre", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    prefix = ranked.select("centre", F.col("member").alias("b"), "linked", "by_own", F.explode(F.slice("ordered", 1, F.col("take"))).alias("t")).where("t.held > 1").select("centre", "b", "linked", "by_own", F.col("t.token").alias("token"))
+    whole = flat.where("NOT linked").select("centre", F.col("member").alias("a"), "token", "far", "outside")
+    # Members linked to the centre can't reach far ones; own elements only meet elements outside the centre.
+    fits = (~F.col("linked") | ~F.col("far")) & (~F.col("by_own") | F.col("outside"))
+    found = prefix.join(whole, ["centre", "token"]).where("a <> b").where(fits).select("centre", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = here.select("centre", "member", "size", "diff")
     both = found.join(side.select("centre", F.col("member").alias("a"), F.col("size").alias("sa"), F.col("diff").alias("da")), ["centre", "a"]).join(
         side.select("centre", F.col("member").alias("b"), F.col("size").alias("sb"), F.col("diff").alias("db")), ["centre", "b"]
