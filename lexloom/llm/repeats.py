@@ -37,7 +37,7 @@ ANCHOR_BITS = 40
 #: Bytes of text whose hashes one bucket sorts at a time, and least number of buckets.
 BUCKET_BYTES, MIN_BUCKETS = 48 << 20, 24
 #: Blocks are written once and shuffled twice.
-ZSTD_LEVEL = 4
+ZSTD_LEVEL = 7
 NO_KEY = -(1 << 63)
 
 BLOCKS = "block long, upto long, size long, data binary"
