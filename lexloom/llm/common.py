@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a batch are handed to Python in slices of at most this many characters.
 SLICE_CHARS = 1 << 22
+#: Shared folders of applications without spark.checkpoint.dir.
+_OWN_DIRS: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # The setting can't be changed in a running session, so the folder is kept for each application.
+        base = _OWN_DIRS.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="lexloom-shared-")
+        _OWN_DIRS[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
 
 

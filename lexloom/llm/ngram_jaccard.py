@@ -11,12 +11,12 @@ identical. A cost model allocates, for each group, one of two signatures:
   segment and every segment less one element.
 
 Signatures that occur once anywhere are dropped through exchanges of sorted sets by hash range (see repeats.py). For the
-others, equal sets count as one class, and in each bucket of a signature every member is verified exactly against one
-centre, the same for nearly all buckets of a group of near copies: linear in the bucket. A brief form of the sets, whose
-differences bound theirs from below, rules most pairs out before any set travels. Members of a bucket that are not linked to
-its centre are the rest. In buckets of at most SMALL members their pairs are compared, brief forms first. In larger ones the differences from the centre are compared. If a isn't linked to centre c,
-then a link between a and b needs over half of b's differences in common, so the rarer half of b's differences, joined to
-all of a's, finds every such pair. Nothing emits all pairs of a bucket, and no link between different components is lost.
+others, equal sets count as one class. In buckets of at most SMALL members every member is verified exactly against one
+centre, the same for nearly all buckets of a group of near copies; members that it doesn't connect are compared in pairs. A
+brief form of the sets, whose differences bound theirs from below, rules most pairs out before any set travels. Larger
+buckets that have members in common form a family, whose members are compared by their differences from the family's
+consensus (see _family_links): linear in the family but for pairs that share rare differences. Nothing emits all pairs of a
+bucket, and no link between different components is lost.
 
 Defined results: null or empty text and texts without words have no n-grams, no links, and their own component; texts with
 fewer than n words have one, the whole sequence. Rows with equal doc_id each count as documents; the component is the
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import common
@@ -215,16 +215,15 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFram
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (member, centre, their elements) to (member, centre, sizes, the elements in which they differ)."""
+    """Rows (member, centre, large, their elements) to (member, centre, large, sizes, the elements in which they differ)."""
     for b in batches:
-        out: list[list] = [[], [], [], []]
-        for x, y in zip(b.column(2), b.column(3), strict=True):
+        out: list[list] = [[], [], []]
+        for x, y in zip(b.column(3), b.column(4), strict=True):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            own, other = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
-            for col, v in zip(out, (len(p), len(q), len(own), np.concatenate([own, other]).view(np.int64)), strict=True):
+            for col, v in zip(out, (len(p), len(q), np.setxor1d(p, q, assume_unique=True).view(np.int64)), strict=True):
                 col.append(v)
-        cols = [pa.array(v, pa.int64()) for v in out[:3]]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(out[3], pa.list_(pa.int64()))], names=["member", "centre", "size", "centre_size", "own", "diff"])
+        cols = [pa.array(v, pa.int64()) for v in out[:2]]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *cols, pa.array(out[2], pa.list_(pa.int64()))], names=["member", "centre", "large", "size", "centre_size", "diff"])
 
 
 def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -280,73 +279,85 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
     rank = F.struct(F.xxhash64("class").alias("h"), F.col("class").alias("n"))
     centres = indexed.groupBy("key").agg(F.min(rank)["n"].alias("centre"), F.count("*").alias("held")).where("held > 1")
     by_key = scratch.save(indexed.join(centres, "key").where("class <> centre").select("key", F.col("class").alias("member"), "centre", (F.col("held") <= SMALL).alias("small")), "by-key")
-    pairs = by_key.groupBy("member", "centre").agg(F.max(~F.col("small")).alias("large"))
-    star = _compare(_near(pairs.select("member", "centre"), light, pct, pairs.where("large").select("member", "centre")), members)
-    star = star.join(pairs.where("large"), ["member", "centre"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    linked = 100 * (F.col("size") + F.col("centre_size") - F.size("diff")) >= pct * (F.col("size") + F.col("centre_size") + F.size("diff"))  # twice both sides
-    compared = scratch.save(star.withColumn("linked", linked), "compared")
-    links = compared.where("linked").select(F.col("member").alias("a"), F.col("centre").alias("b"))
+    family = components(by_key.where(~F.col("small")).select(F.col("member").alias("a"), F.col("centre").alias("b")), scratch, "families")
+    family = family.select(F.col("node").alias("member"), F.col("label").alias("centre"), F.lit(True).alias("large"))
+    pairs = _near(by_key.where("small").select("member", "centre").distinct(), light, pct).withColumn("large", F.lit(False))
+    linked = _links(F.col("size") + F.col("centre_size"), F.size("diff"), pct)
+    compared = scratch.save(_compare(pairs.unionByName(family), members).withColumn("linked", linked), "compared")
+    links = compared.where("linked AND NOT large").select(F.col("member").alias("a"), F.col("centre").alias("b"))
     # Small buckets: pairs that their centre doesn't connect yet.
-    told = compared.where("linked").select("member", "centre", "linked")
+    told = compared.where("linked AND NOT large").select("member", "centre", "linked")
     side = by_key.where("small").join(told, ["member", "centre"], "left").select("key", "member", F.col("linked").isNotNull().alias("linked"))
     few = side.join(side.select("key", F.col("member").alias("centre"), F.col("linked").alias("other")), "key").where("member < centre AND NOT (linked AND other)").select("member", "centre").distinct()
-    small = _compare(_near(few, light, pct), members).where(linked).select(F.col("member").alias("a"), F.col("centre").alias("b"))
-    return meta, links.unionByName(small).unionByName(_rest(compared.where("large"), n, pct))
+    few = _near(few, light, pct).withColumn("large", F.lit(False))
+    small = _compare(few, members).where(linked).select(F.col("member").alias("a"), F.col("centre").alias("b"))
+    return meta, links.unionByName(small).unionByName(_family_links(compared.where("large"), pct, scratch))
 
 
-def _near(pairs: DataFrame, light: DataFrame, pct: int, also: DataFrame | None = None) -> DataFrame:
-    """The pairs (member, centre) whose brief forms allow a link, and those in also."""
+def _links(sizes: Column, apart: Column, pct: int) -> Column:
+    """Whether two sets that hold that many elements together and differ in `apart` of them link."""
+    return (100 + pct) * apart <= (100 - pct) * sizes
+
+
+def _near(pairs: DataFrame, light: DataFrame, pct: int) -> DataFrame:
+    """The pairs (member, centre) whose brief forms allow a link."""
     both = pairs.join(light.select(F.col("class").alias("member"), F.col("size").alias("s"), F.col("brief").alias("x")), "member").join(
         light.select(F.col("class").alias("centre"), F.col("size").alias("cs"), F.col("brief").alias("y")), "centre"
     )
-    near = both.select("member", "centre", "s", "cs", "x", "y").mapInArrow(_may_link(pct), "member long, centre long, near boolean").where("near").select("member", "centre")
-    return near if also is None else near.unionByName(also).distinct()
+    return both.select("member", "centre", "s", "cs", "x", "y").mapInArrow(_may_link(pct), "member long, centre long, near boolean").where("near").select("member", "centre")
 
 
 def _compare(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """member, centre, their sizes and the elements in which they differ; only sets of the pairs travel."""
+    """member, centre, large, their sizes and the elements in which they differ; only sets of the pairs travel."""
     used = pairs.select(F.col("member").alias("class")).unionByName(pairs.select(F.col("centre").alias("class"))).distinct()
     sets = members.select("class", "elements").join(used, "class", "left_semi").dropDuplicates(["class"])
     one = pairs.join(sets.select(F.col("class").alias("member"), "elements"), "member")
     both = one.join(sets.select(F.col("class").alias("centre"), F.col("elements").alias("centre_elements")), "centre")
-    return both.select("member", "centre", "elements", "centre_elements").mapInArrow(_differences, "member long, centre long, size long, centre_size long, own long, diff array<long>")
+    return both.select("member", "centre", "large", "elements", "centre_elements").mapInArrow(_differences, "member long, centre long, large boolean, size long, centre_size long, diff array<long>")
 
 
-def _rest(compared: DataFrame, n: int, pct: int) -> DataFrame:
-    """Links of members that aren't linked to their centre c, for buckets of any size.
+def _family_links(compared: DataFrame, pct: int, scratch: common.Scratch) -> DataFrame:
+    """Links that connect the linked members of each family (rows: member, centre, size, diff; the centre's own among them).
 
-    Let d be a member's differences from c and H the most that a link allows. A link between a, not linked to c, and b needs
-    over half of b's differences in common, so the rarer part of b's differences meets one of a's. A member farther than 2H
-    is too far for any that is linked to c, and most of what it shares with another far one isn't in c: there the rarest of
-    its own elements, those that a link can't miss all of, meet the other's elements outside c.
+    The elements in which most members differ from the centre are turned over, so that diffs are from the consensus: the
+    elements that over half of the family hold. With x = (100 + pct) |diff| - (100 - pct) size, two members link if they have
+    at least (x + x') / (2 (100 + pct)) of their differences in common. Where x + x' <= 0 they link for sure, and each of
+    them links to the hub, the member with the least x. Other links have a difference in common, and by the prefix principle
+    one among the rarest of both, fewer the more they must have in common. Pairs that both link to the hub are left out.
     """
-    apart = compared.where("NOT linked").select("centre").distinct()
-    most = F.ceil((100 - pct) * F.col("size") / F.lit(pct)) + 1
-    d = F.size("diff")
-    prefix_own = F.col("size") - F.ceil(pct * F.col("size") / 100) + 1
-    far = (~F.col("linked")) & (d > 2 * most)
-    here = compared.join(apart, "centre", "left_semi").withColumn("far", far).withColumn("by_own", far & (F.col("own") >= prefix_own))
-    # A link to a member apart from the centre needs at least `need` of the differences in common.
-    slack = F.ceil((100 - pct) * F.greatest(F.lit(0), F.col("size") - F.col("centre_size")) / F.lit(100 + pct))
-    need = F.greatest(F.lit(1), F.ceil((d + 1 - slack) / 2))
-    here = here.withColumn("take", F.when(F.col("by_own"), prefix_own).otherwise(d - need + 1).cast("int"))
-    flat = here.select("centre", "member", "linked", "far", "by_own", "take", "own", F.posexplode("diff").alias("p", "token")).withColumn("outside", F.col("p") < F.col("own")).drop("p", "own")
-    weights = flat.groupBy("centre", "token").agg(F.count("*").alias("held"))
-    # Those that take their own elements need no others of their differences.
-    useful = flat.where("outside OR NOT by_own").join(weights, ["centre", "token"])
-    ranked = useful.groupBy("centre", "member", "linked", "by_own", "take").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("ordered"))
-    # A token that one member alone has finds nothing; it still counts for the prefix.
-    prefix = ranked.select("centre", F.col("member").alias("b"), "linked", "by_own", F.explode(F.slice("ordered", 1, F.col("take"))).alias("t")).where("t.held > 1").select("centre", "b", "linked", "by_own", F.col("t.token").alias("token"))
-    whole = flat.where("NOT linked").select("centre", F.col("member").alias("a"), "token", "far", "outside")
-    # Members linked to the centre can't reach far ones; own elements only meet elements outside the centre.
-    fits = (~F.col("linked") | ~F.col("far")) & (~F.col("by_own") | F.col("outside"))
-    found = prefix.join(whole, ["centre", "token"]).where("a <> b").where(fits).select("centre", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = here.select("centre", "member", "size", "diff")
-    both = found.join(side.select("centre", F.col("member").alias("a"), F.col("size").alias("sa"), F.col("diff").alias("da")), ["centre", "a"]).join(
-        side.select("centre", F.col("member").alias("b"), F.col("size").alias("sb"), F.col("diff").alias("db")), ["centre", "b"]
-    )
-    apart_by = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    return both.where(100 * (F.col("sa") + F.col("sb") - apart_by) >= pct * (F.col("sa") + F.col("sb") + apart_by)).select("a", "b")
+    unit = 2 * (100 + pct)
+    tokens = compared.select("centre", F.explode("diff").alias("token")).groupBy("centre", "token").agg(F.count("*").alias("held")).where("held > 1")
+    total = compared.groupBy("centre").agg(F.count("*").alias("n"))
+    turned = tokens.join(total, "centre").where("2 * held > n").groupBy("centre").agg(F.collect_list("token").alias("turned"))
+    both = compared.join(turned, "centre", "left").withColumn("turned", F.coalesce("turned", F.array().cast("array<long>")))
+    both = both.select("centre", "member", "size", F.concat(F.array_except("diff", "turned"), F.array_except("turned", "diff")).alias("diff"))
+    both = both.withColumn("x", (100 + pct) * F.size("diff") - (100 - pct) * F.col("size"))
+    hubs = both.groupBy("centre").agg(F.min(F.struct("x", "member", "size", "diff")).alias("hub"))
+    apart = F.size("diff") + F.size("hub.diff") - 2 * F.size(F.array_intersect("diff", "hub.diff"))
+    both = both.join(hubs, "centre").withColumn("in_hub", _links(F.col("size") + F.col("hub.size"), apart, pct))
+    both = scratch.save(both.select("centre", "member", "size", "diff", "x", "in_hub", F.col("hub.x").alias("hub_x"), F.col("hub.member").alias("hub")), "family-members")
+    star = both.where("in_hub AND member <> hub").select(F.col("member").alias("a"), F.col("hub").alias("b"))
+    # What a member must have in common with any that could still matter: with those of greater x, and with those of less.
+    least = F.when(F.col("in_hub"), 1 - F.col("hub_x")).otherwise(F.col("hub_x"))
+    common_of = lambda x: F.greatest(F.lit(1), F.ceil(x / F.lit(unit)))
+    above = F.size("diff") - common_of(F.col("x") + F.greatest("x", least))
+    below = F.when(F.col("x") >= least, F.size("diff") - common_of(F.col("x") + least)).otherwise(-1)
+    side = both.select("centre", "member", "x", "in_hub", F.size("diff").alias("d"), above.alias("above"), below.alias("below"), "diff")
+    flat = side.select("centre", "member", F.explode("diff").alias("token"))
+    held = flat.groupBy("centre", "token").agg(F.count("*").alias("held"))
+    ranked = flat.join(held, ["centre", "token"]).groupBy("centre", "member").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("ranked"))
+    ranked = side.drop("diff").join(ranked, ["centre", "member"]).withColumn("ranked", F.slice("ranked", 1, F.greatest(F.lit(0), F.greatest("above", "below") + 1).cast("int")))
+    prefix = scratch.save(ranked.select("centre", "member", "x", "in_hub", "d", "above", "below", F.posexplode("ranked").alias("p", "t")).where("t.held > 1").withColumn("token", F.col("t.token")).drop("t"), "family-prefixes")
+    one = prefix.where("p <= below").select("centre", "token", *(F.col(c).alias(f"{c}_a") for c in ("member", "x", "in_hub", "d", "p")))
+    two = prefix.where("p <= above").select("centre", "token", *(F.col(c).alias(f"{c}_b") for c in ("member", "x", "in_hub", "d", "p")))
+    need = common_of(F.col("x_a") + F.col("x_b"))
+    ordered = (F.col("x_a") > F.col("x_b")) | ((F.col("x_a") == F.col("x_b")) & (F.col("member_a") > F.col("member_b")))
+    fits = ordered & ~(F.col("in_hub_a") & F.col("in_hub_b")) & (F.col("p_a") + need <= F.col("d_a")) & (F.col("p_b") + need <= F.col("d_b"))
+    found = one.join(two, ["centre", "token"]).where(fits).select("centre", F.col("member_a").alias("a"), F.col("member_b").alias("b")).distinct()
+    of = lambda c: both.select("centre", F.col("member").alias(c), F.col("size").alias(f"size_{c}"), F.col("diff").alias(f"diff_{c}"))
+    apart = F.size("diff_a") + F.size("diff_b") - 2 * F.size(F.array_intersect("diff_a", "diff_b"))
+    checked = found.join(of("a"), ["centre", "a"]).join(of("b"), ["centre", "b"]).where(_links(F.col("size_a") + F.col("size_b"), apart, pct))
+    return star.unionByName(checked.select("a", "b"))
 
 
 def ngram_jaccard_join(df: DataFrame, n: int = 5, pct: int = 80, lower: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -58,6 +58,12 @@ def test_groups_of_near_copies(spark, monkeypatch):
     rows += [(len(rows) + k, " ".join(shared + [f"x{rng.randrange(400)}" for _ in range(30)]), None) for k in range(25)]
     rows += [(900, None, None), (901, "", None), (902, "one two", None), (903, "one two", None), (None, "lonely text of some words here", None)]
     check(spark, rows, 3, 90)
+    # A second dense group inside a family, and copies of very different lengths.
+    twin = [f"g0w{k}" if k % 10 else f"t{k}" for k in range(70)]
+    rows += [(1000 + k, family(rng, twin, 9), None) for k in range(30)]
+    rows += [(1100 + k, " ".join(f"g1w{i}" for i in range(40 + k)), None) for k in range(30)]
+    check(spark, rows, 3, 90)
+    check(spark, rows, 3, 80)
     monkeypatch.setattr(J, "SMALL", 32)
     check(spark, rows, 5, 80)
 
