@@ -43,8 +43,8 @@ SKETCH_BITS, SKETCH_PARTS = 22, 16
 SMALL = 32
 KEY_BITS = 48
 BLOCK_BYTES = 4 << 20
-META = "doc_id long, n_shingles long, class long"
-MEMBERS = "class long, size long, keys array<long>, brief binary, elements binary"
+#: Rows of documents (keys null), and of sets that share a signature (doc_id null).
+MEMBERS = "doc_id long, size long, class long, keys array<long>, brief binary, elements binary"
 #: Bytes of a set's brief form.
 BRIEF = 256
 
@@ -136,7 +136,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
 
 
 def sketch_of(units: DataFrame, join: Join) -> np.ndarray:
-    """A count sketch of all documents' n-grams: 2**SKETCH_BITS counters, whatever the corpus; added up by parts."""
+    """A count sketch of all documents' n-grams: 2**SKETCH_BITS graded counters, whatever the corpus; added up by parts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -151,10 +151,21 @@ def sketch_of(units: DataFrame, join: Join) -> np.ndarray:
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         total = sum((part(d.as_py()) for d in t["data"]), np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64))
-        return _rows(_schema(SENT), [(key[0].as_py(), 0, 0, total.astype("<i8").tobytes())])
+        return _rows(_schema(SENT), [(key[0].as_py(), 0, 0, grade(total).tobytes())])
 
-    parts = {r["k"]: np.frombuffer(bytes(r["data"]), "<i8") for r in units.mapInArrow(count, SENT).groupBy("k").applyInArrow(add, SENT).collect()}
-    return np.concatenate([parts.get(k, np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)) for k in range(SKETCH_PARTS)]).clip(0, (1 << 31) - 1).astype(np.int32)
+    parts = {r["k"]: np.frombuffer(bytes(r["data"]), np.uint8) for r in units.mapInArrow(count, SENT).groupBy("k").applyInArrow(add, SENT).collect()}
+    return np.concatenate([parts.get(k, np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint8)) for k in range(SKETCH_PARTS)])
+
+
+def grade(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes that grow with them: up to 16 as they are, eight to a doubling beyond."""
+    return np.where(counts <= 16, counts, 16 + np.floor(8 * np.log2(np.maximum(counts, 16) / 16))).clip(0, 255).astype(np.uint8)
+
+
+def counts_of() -> np.ndarray:
+    """About the count that each grade stands for."""
+    g = np.arange(256, dtype=np.float64)
+    return np.where(g <= 16, g, 16 * 2 ** ((g - 16) / 8))
 
 
 def brief(elements: np.ndarray) -> bytes:
@@ -184,11 +195,14 @@ def _class_of(elements: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(elements.tobytes()), "little", signed=True)
 
 
-def _distinct(join: Join, sketch: np.ndarray, table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Class, elements and keys of a block's different sets."""
+def _distinct(join: Join, sketch: np.ndarray, table: pa.Table, of: list | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Class, elements and keys of a block's different sets; of gets (size, class) of every row."""
     done = set()
     for own in join.sets(table["_text"].to_pylist()):
-        if len(own) and (c := _class_of(own)) not in done:
+        c = _class_of(own) if len(own) else None
+        if of is not None:
+            of.append((len(own), c))
+        if c is not None and c not in done:
             done.add(c)
             yield c, own, join.keys(own, sketch)
 
@@ -237,8 +251,10 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
     buckets = max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
     sketch = sketch_of(units, Join(n, pct, lower))
     # The share of n-grams that stand in a crowded counter, for the cost model.
-    level = max(1.0, float(np.median(sketch)))
-    repeated = float(sketch[sketch > 4 * level + 8].sum() / max(1, sketch.sum()))
+    value = counts_of()
+    held = np.bincount(sketch, minlength=256) * value
+    level = max(1.0, float(value[int(np.median(sketch))]))
+    repeated = float(held[value > 4 * level + 8].sum() / max(1, held.sum()))
     join = Join(n, pct, lower, min(0.9, max(0.01, repeated)))
     shared = df.sparkSession.sparkContext.broadcast(sketch)
 
@@ -250,29 +266,30 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
             yield from _rows(_schema(SENT), out).to_batches()
 
     def pick(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for data in left["data"]:
-            own = list(_distinct(join, shared.value, pa.ipc.open_stream(data.as_py()).read_all()))
+            table, of = pa.ipc.open_stream(data.as_py()).read_all(), []
+            own = list(_distinct(join, shared.value, table, of))
+            for doc, (size, c) in zip(table["_id"].to_pylist(), of, strict=True):
+                for col, v in zip(out, (doc, size, c, None, None, None), strict=True):
+                    col.append(v)
             every = np.concatenate([np.zeros(0, np.uint64), *(k for _, _, k in own)])
             values, counts = np.unique(every, return_counts=True)
             shared_keys = values[(counts > 1) | _flags(right, 0)] if len(values) else values
             for c, elements, keys in own:
                 hit = np.intersect1d(keys, shared_keys, assume_unique=True)
                 if len(hit):
-                    for col, v in zip(out, (c, len(elements), hit.astype(np.int64), brief(elements), elements.tobytes()), strict=True):
+                    for col, v in zip(out, (None, len(elements), c, hit.astype(np.int64), brief(elements), elements.tobytes()), strict=True):
                         col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        return pa.table([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["class", "size", "keys", "brief", "elements"])
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _blocks(batches):
-            sets = join.sets(t["_text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([t["_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "class"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.table([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["doc_id", "size", "class", "keys", "brief", "elements"])
 
-    meta = scratch.save(units.mapInArrow(describe, META), "meta")
     found = units.mapInArrow(send, SENT).groupBy("k", "kind").applyInArrow(_answer, SENT)
     members = units.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(pick, MEMBERS)
-    members = scratch.save(members, "members")
+    every = scratch.save(members, "members")
+    shared.destroy()  # what follows reads the tables alone
+    meta = every.where("keys IS NULL").select("doc_id", F.col("size").alias("n_shingles"), "class")
+    members = every.where("keys IS NOT NULL").drop("doc_id")
     # A class may come from several blocks; any of its rows has the same keys and elements.
     light = members.groupBy("class").agg(F.first("size").alias("size"), F.first("brief").alias("brief"))
     indexed = members.select("class", F.explode("keys").alias("key")).distinct()

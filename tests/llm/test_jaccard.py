@@ -77,7 +77,7 @@ def test_every_signature_finds_each_link():
     import numpy as np
 
     rng = np.random.default_rng(5)
-    sketch = np.ones(1 << J.SKETCH_BITS, np.int32)
+    sketch = np.ones(1 << J.SKETCH_BITS, np.uint8)
     for pct in (80, 90):
         for repeated in (0.01, 0.9):
             join = J.Join(3, pct, False, repeated)
