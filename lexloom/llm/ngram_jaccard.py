@@ -41,6 +41,8 @@ from lexloom.llm.repeats import BUCKET_BYTES, MIN_BUCKETS, NO_KEY, SENT, _answer
 SKETCH_BITS, SKETCH_PARTS = 22, 16
 #: Up to this many members, a bucket's pairs are few enough to compare their brief forms.
 SMALL = 32
+#: Parts in which a family's rows meet what is known of the family.
+SALTS = 64
 KEY_BITS = 48
 BLOCK_BYTES = 4 << 20
 #: Rows of documents (keys null), and of sets that share a signature (doc_id null).
@@ -333,6 +335,12 @@ def _compare(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return both.select("member", "centre", "large", "elements", "centre_elements").mapInArrow(_differences, "member long, centre long, large boolean, size long, centre_size long, diff array<long>")
 
 
+def _with_family(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows with the columns of their family's one row, if any. A family may hold most rows, so that it is dealt out by a salt."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)))
+    return salted.join(one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))), ["centre", "salt"], "left").drop("salt")
+
+
 def _family_links(compared: DataFrame, pct: int, scratch: common.Scratch) -> DataFrame:
     """Links that connect the linked members of each family (rows: member, centre, size, diff; the centre's own among them).
 
@@ -346,12 +354,12 @@ def _family_links(compared: DataFrame, pct: int, scratch: common.Scratch) -> Dat
     tokens = compared.select("centre", F.explode("diff").alias("token")).groupBy("centre", "token").agg(F.count("*").alias("held")).where("held > 1")
     total = compared.groupBy("centre").agg(F.count("*").alias("n"))
     turned = tokens.join(total, "centre").where("2 * held > n").groupBy("centre").agg(F.collect_list("token").alias("turned"))
-    both = compared.join(turned, "centre", "left").withColumn("turned", F.coalesce("turned", F.array().cast("array<long>")))
+    both = _with_family(compared, turned).withColumn("turned", F.coalesce("turned", F.array().cast("array<long>")))
     both = both.select("centre", "member", "size", F.concat(F.array_except("diff", "turned"), F.array_except("turned", "diff")).alias("diff"))
     both = both.withColumn("x", (100 + pct) * F.size("diff") - (100 - pct) * F.col("size"))
     hubs = both.groupBy("centre").agg(F.min(F.struct("x", "member", "size", "diff")).alias("hub"))
     apart = F.size("diff") + F.size("hub.diff") - 2 * F.size(F.array_intersect("diff", "hub.diff"))
-    both = both.join(hubs, "centre").withColumn("in_hub", _links(F.col("size") + F.col("hub.size"), apart, pct))
+    both = _with_family(both, hubs).withColumn("in_hub", _links(F.col("size") + F.col("hub.size"), apart, pct))
     both = scratch.save(both.select("centre", "member", "size", "diff", "x", "in_hub", F.col("hub.x").alias("hub_x"), F.col("hub.member").alias("hub")), "family-members")
     star = both.where("in_hub AND member <> hub").select(F.col("member").alias("a"), F.col("hub").alias("b"))
     # What a member must have in common with any that could still matter: with those of greater x, and with those of less.
