@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,6 +52,12 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing can reach any more, now that their results are in tables."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts add up to about SLICE_CHARS; a longer text stands alone."""
     begin = size = 0

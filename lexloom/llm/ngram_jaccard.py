@@ -289,7 +289,11 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
     found = units.mapInArrow(send, SENT).groupBy("k", "kind").applyInArrow(_answer, SENT)
     members = units.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(pick, MEMBERS)
     every = scratch.save(members, "members")
-    shared.destroy()  # what follows reads the tables alone
+    # What follows reads the tables alone.
+    shared.destroy()
+    del units, blocks, found, members
+    scratch.drop("blocks")
+    common.release(df.sparkSession)
     meta = every.where("keys IS NULL").select("doc_id", F.col("size").alias("n_shingles"), "class")
     members = every.where("keys IS NOT NULL").drop("doc_id")
     # A class may come from several blocks; any of its rows has the same keys and elements.
@@ -301,15 +305,18 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
     family = components(by_key.where(~F.col("small")).select(F.col("member").alias("a"), F.col("centre").alias("b")), scratch, "families")
     family = family.select(F.col("node").alias("member"), F.col("label").alias("centre"), F.lit(True).alias("large"))
     pairs = _near(by_key.where("small").select("member", "centre").distinct(), light, pct).withColumn("large", F.lit(False))
+    pairs = scratch.save(pairs.unionByName(family), "pairs")  # they are read three times
     linked = _links(F.col("size") + F.col("centre_size"), F.size("diff"), pct)
-    compared = scratch.save(_compare(pairs.unionByName(family), members).withColumn("linked", linked), "compared")
+    compared = scratch.save(_compare(pairs, members).withColumn("linked", linked), "compared")
+    common.release(df.sparkSession)
     links = compared.where("linked AND NOT large").select(F.col("member").alias("a"), F.col("centre").alias("b"))
     # Small buckets: pairs that their centre doesn't connect yet.
     told = compared.where("linked AND NOT large").select("member", "centre", "linked")
     side = by_key.where("small").join(told, ["member", "centre"], "left").select("key", "member", F.col("linked").isNotNull().alias("linked"))
     few = side.join(side.select("key", F.col("member").alias("centre"), F.col("linked").alias("other")), "key").where("member < centre AND NOT (linked AND other)").select("member", "centre").distinct()
-    few = _near(few, light, pct).withColumn("large", F.lit(False))
-    small = _compare(few, members).where(linked).select(F.col("member").alias("a"), F.col("centre").alias("b"))
+    few = scratch.save(_near(few, light, pct).withColumn("large", F.lit(False)), "few")
+    small = scratch.save(_compare(few, members).where(linked).select(F.col("member").alias("a"), F.col("centre").alias("b")), "small")
+    common.release(df.sparkSession)
     return meta, links.unionByName(small).unionByName(_family_links(compared.where("large"), pct, scratch))
 
 
