@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Shared folders of applications without spark.checkpoint.dir.
+_OWN_DIRS: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -50,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # The setting can't be changed in a running session, so the folder is kept for each application.
+        app = spark.sparkContext.applicationId
+        base = _OWN_DIRS[app] = _OWN_DIRS.get(app) or "file://" + tempfile.mkdtemp(prefix="lexloom-shared-")
     return base.rstrip("/")
