@@ -34,7 +34,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE = 6
 MAX_LAYER = 1 << 26
 URL = re.compile(r"%[0-9A-Fa-f]{2}")
-ESCAPE = re.compile(r"\\u\{?[0-9A-Fa-f]{4,6}\}?|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+#: Exactly four digits after a bare \u, whatever follows; up to six stand in braces only.
+ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"

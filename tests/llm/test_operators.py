@@ -142,6 +142,22 @@ def test_secrets_in_layers():
     assert secret_scans.mask("x token=abcdef y", "assign:2:14") == "x [SECRET] y"
 
 
+def test_unicode_escapes_before_hex_digits():
+    rows = {
+        "\\u0070assword=hunter22": "password=hunter22",
+        "\\u0073ecret: abcdefgh": "secret: abcdefgh",
+        "token\\u003da8f3c1d2": "token=a8f3c1d2",
+        "api_key\\u003d12345678": "api_key=12345678",
+        "\\u{70}assword=hunter22": "password=hunter22",
+        "\\u{000070}assword=hunter22": "password=hunter22",
+        "\\U00000070assword=hunter22": "password=hunter22",
+    }
+    for text, want in rows.items():
+        base, added, _ = secret_scans.find_secrets(text)
+        assert base == [] and added == [(0, 0, len(text))]
+        assert want in [x.text for x in secret_scans.children(secret_scans.Layer.root(text))]
+
+
 def test_quality_counts():
     n, chars, symbols, lines, repeats, failed, kept, *_ = quality_rules.judge("a b c d\na b c d\n# $x")
     assert (n, chars, symbols, lines, repeats, failed, kept) == (10, 11, 2, 1, 8, True, False)
