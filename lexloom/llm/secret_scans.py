@@ -2,11 +2,14 @@
 
 Each text is a layer. A layer is scanned for the three kinds; then everything encoded in it is unwrapped (URL escapes,
 \\u and \\x escapes, base64, gzip/zlib/bz2/xz streams) into child layers that carry a map back to the code points of the
-text, until no new layer appears. A digest of each layer stops cycles. Spans found in deeper layers are reported at the
+text, until no new layer appears. Bytes that are not UTF-8 are layers too, byte by byte, so streams are found behind every
+decoder, at any position and within each other. Base64 runs are read from each of four characters and over line breaks.
+A digest of each layer stops cycles. Spans found in deeper layers are reported at the
 code points that encode them, unless a base span of the same kind covers them already.
 
 Defined results: null or empty text has no spans; repeated rows are scanned each for itself; a null doc_id is kept.
-A map over whole texts: no shuffle. MAX_LAYER bounds what one compressed stream may expand to (a decompression bomb guard).
+A map over whole texts: no shuffle. A compressed stream is scanned to its end, over MAX_LAYER bytes in chunks that share
+half, one at a time; something encoded within such a stream is decoded whole if it is shorter than half a chunk.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +40,29 @@ MAX_LAYER = 1 << 26
 URL = re.compile(r"%[0-9A-Fa-f]{2}")
 #: Exactly four digits after a bare \u, whatever follows; up to six stand in braces only.
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
+HIGH_ESCAPE = re.compile(r"\\x[89a-fA-F][0-9A-Fa-f]|\\u00[89a-fA-F][0-9A-Fa-f]")
+BYTE_ESCAPE = re.compile(ESCAPE.pattern + r"""|\\[abfnrtv0\\'"]""")
+SHORT = {"a": b"\a", "b": b"\b", "f": b"\f", "n": b"\n", "r": b"\r", "t": b"\t", "v": b"\v", "0": b"\0", "\\": b"\\", "'": b"'", '"': b'"'}
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAP = re.compile(r"\r?\n[ \t]*")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++\r?\n[ \t]*\Z")
+#: Heads of gzip, bz2, xz and zlib streams.
+STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
+STREAM_TEXT = re.compile(STREAM.pattern.decode("latin-1"))
+#: Bytes without any of these hold no secret and nothing to decode.
+HOLDS = re.compile(rb"AKIA|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}|" + STREAM.pattern)
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
 
 
+def _line_run(text: str, start: int) -> int:
+    """Where the wrapped run begins that holds the run at a position: lines before it that are shorter runs belong to it."""
+    while m := BEFORE.search(text, max(0, start - 200), start):
+        start = m.start()
+    return start
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every base match in one layer."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= MIN_VALUE]
@@ -61,56 +83,65 @@ class Layer:
         return cls(text, at, at + 1)
 
     def span(self, start: int, end: int) -> tuple[int, int]:
+        if _flat(self.lo):
+            return int(self.lo[0]), int(self.hi[0])
         return int(self.lo[start:end].min()), int(self.hi[start:end].max())
 
 
-def _from_bytes(data: bytes, lo: np.ndarray, hi: np.ndarray) -> Layer | None:
-    """A layer from bytes with their ranges; None unless it is valid UTF-8 and mostly printable."""
+def _flat(at: np.ndarray) -> bool:
+    """True of one range for all: what a compressed stream holds, and all that is decoded from it, takes no memory for ranges."""
+    return at.strides == (0,)
+
+
+def _layers(data: bytes, lo: np.ndarray, hi: np.ndarray) -> Iterator[Layer]:
+    """The layers of bytes with their ranges: as UTF-8, or byte by byte where they are not UTF-8 or may hold a stream."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\t\r\n" for c in text) < 0.9 * len(text):
-        return None
-    raw = np.frombuffer(data, np.uint8)
-    starts = np.flatnonzero((raw & 0xC0) != 0x80)
-    return Layer(text, np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts))
-
-
-def _replaced(layer: Layer, pattern: re.Pattern, unit) -> Layer | None:
-    """The layer with every match of pattern turned into the bytes that unit() gives for it."""
-    data, lo, hi, at = [], [], [], 0
+        text = None
+    if text is None or (len(text) < len(data) and STREAM.search(data)):
+        yield Layer(data.decode("latin-1"), lo, hi)
+    if not text:
+        return
+    if _flat(lo):
+        yield Layer(text, np.broadcast_to(lo[0], len(text)), np.broadcast_to(hi[0], len(text)))
+    else:
+        starts = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        yield Layer(text, np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts))
+
+
+def _replaced(layer: Layer, pattern: re.Pattern, unit) -> Iterator[Layer]:
+    """The layers with every match of pattern turned into the bytes that unit() gives for it."""
+    data, lo, hi, at, flat = [], [], [], 0, _flat(layer.lo)
 
     def plain(a: int, b: int) -> None:
         raw = layer.text[a:b].encode("utf-8", "surrogatepass")
         if raw:
-            first = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
             data.append(raw)
-            lo.append(layer.lo[a:b][first])
-            hi.append(layer.hi[a:b][first])
+            if not flat:
+                first = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
+                lo.append(layer.lo[a:b][first])
+                hi.append(layer.hi[a:b][first])
 
     for m in pattern.finditer(layer.text):
         raw = unit(m[0])
         if raw is None:
             continue
         plain(at, m.start())
-        a, b = layer.span(m.start(), m.end())
         data.append(raw)
-        lo.append(np.full(len(raw), a))
-        hi.append(np.full(len(raw), b))
+        if not flat:
+            a, b = layer.span(m.start(), m.end())
+            lo.append(np.full(len(raw), a))
+            hi.append(np.full(len(raw), b))
         at = m.end()
     if not at:
-        return None
+        return
     plain(at, len(layer.text))
     raw = b"".join(data)
-    lo, hi = np.concatenate(lo), np.concatenate(hi)
-    try:
-        raw.decode()
-    except UnicodeDecodeError:  # stray escapes: what does not decode becomes one replacement mark a byte
-        text = raw.decode("latin-1")
-        return Layer(text, lo, hi)
-    starts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-    return Layer(raw.decode(), np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts))
+    if flat:
+        yield from _layers(raw, np.broadcast_to(layer.lo[0], len(raw)), np.broadcast_to(layer.hi[0], len(raw)))
+    else:
+        yield from _layers(raw, np.concatenate(lo), np.concatenate(hi))
 
 
 def _escape(found: str) -> bytes | None:
@@ -118,43 +149,127 @@ def _escape(found: str) -> bytes | None:
     return chr(code).encode() if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """What a compressed stream holds, to MAX_LAYER bytes; None if data is not one."""
+def _escape_byte(found: str) -> bytes | None:
+    """As _escape(), but codes under 256 are bytes, and the short escapes of a byte string count."""
+    if found[1] not in "uUx":
+        return SHORT[found[1]]
+    code = int(found[2:].strip("{}"), 16)
+    return bytes([code]) if code < 0x100 else _escape(found)
+
+
+def _pieces(raw: bytes, at: int, most: int = 1 << 20) -> Iterator[tuple[bytes, int]]:
+    """What the compressed stream at a position holds, piece by piece, with the end of the input read so far. Members of
+    one kind that follow directly belong to it; a stream that breaks off gives what it holds until there. Only a stream that
+    comes to its end gives an empty piece last."""
+    kind = None
+    while (m := STREAM.match(raw, at)) and kind in (None, m[0][:1]) and (kind is None or kind != b"x"):
+        kind = m[0][:1]
+        zipped = kind in b"\x1fx"
+        d: Any = zlib.decompressobj(31 if kind == b"\x1f" else 15) if zipped else bz2.BZ2Decompressor() if kind == b"B" else lzma.LZMADecompressor()
+        while not d.eof:
+            data = d.unconsumed_tail if zipped else b""
+            if not data and (zipped or d.needs_input):
+                data = raw[at : at + (1 << 16)]
+                at += len(data)
+            try:
+                out = d.decompress(data, most)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                return
+            if not out and not data:
+                return
+            if out:
+                yield out, at - len(d.unused_data)
+        at -= len(d.unused_data)
+    if kind:
+        yield b"", at
+
+
+def _streams(layer: Layer) -> Iterator[Layer]:
+    """What the compressed streams of a layer hold, wherever they begin; over MAX_LAYER bytes in chunks that share half."""
+    raw = layer.text.encode("latin-1", "replace")
+    at = 0
+    while m := STREAM.search(raw, at):
+        at = m.start() + 1
+        held, size, end, out, most = [], 0, 0, b"", min(1 << 20, MAX_LAYER)
+        for out, end in _pieces(raw, m.start(), most):
+            size += len(out)
+            held = [*held, out] if size <= MAX_LAYER else []
+        if not size:
+            continue
+        a, b = layer.span(m.start(), end)
+        if not out:  # it came to its end, so no head of a stream is lost in it
+            at = end
+        if size <= MAX_LAYER:
+            yield from _layers(b"".join(held), np.broadcast_to(a, size), np.broadcast_to(b, size))
+            continue
+        held.clear()
+        chunk, new = bytearray(), 0
+        for out, _ in _pieces(raw, m.start(), most):
+            chunk += out
+            new += len(out)
+            if len(chunk) >= MAX_LAYER:
+                yield from _layers(bytes(chunk), np.broadcast_to(a, len(chunk)), np.broadcast_to(b, len(chunk)))
+                del chunk[: len(chunk) - MAX_LAYER // 2]
+                new = 0
+        if new:
+            yield from _layers(bytes(chunk), np.broadcast_to(a, len(chunk)), np.broadcast_to(b, len(chunk)))
+
+
+def _base64(layer: Layer, start: int, end: int) -> Iterator[Layer]:
+    """A run decoded from each of its first four characters, as a path, a word or a label may be glued to its front.
+    Of the shifted ones and of bytes that are not text only those that hold anything to find or to decode."""
+    found = layer.text[start:end]
+    body = WRAP.sub("", found).rstrip("=").replace("-", "+").replace("_", "/")
+    flat = _flat(layer.lo)
+    if not flat:
+        where = np.arange(start, end)
+        if len(body) < len(found):
+            where = where[~np.isin(np.frombuffer(found.encode(), np.uint8), np.frombuffer(b" \t\r\n=", np.uint8))]
+    for shift in range(4):
+        part = body[shift:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        try:
+            data = base64.b64decode(part + "=" * (-len(part) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            continue
+        if not data or ((shift or not _is_text(data)) and not HOLDS.search(data)):
+            continue
+        if flat:
+            lo, hi = np.broadcast_to(layer.lo[0], len(data)), np.broadcast_to(layer.hi[0], len(data))
+        else:
+            first = np.arange(len(data)) * 4 // 3 + shift
+            lo, hi = layer.lo[where[first]], layer.hi[where[np.minimum(first + 1, len(where) - 1)]].copy()
+            if (len(part) + len(found) - len(found.rstrip("="))) % 4 == 0 and len(part) + shift == len(body):
+                hi[-1] = layer.hi[end - 1]  # with its padding
+        yield from _layers(data, lo, hi)
+
+
+def _is_text(data: bytes) -> bool:
+    """Valid UTF-8 and mostly printable."""
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_LAYER)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_LAYER)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_LAYER)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MAX_LAYER)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        pass
-    return None
+        text = data.decode()
+    except UnicodeDecodeError:
+        return False
+    return sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text)
 
 
 def children(layer: Layer) -> Iterator[Layer]:
     """The layers one step below."""
-    if "%" in layer.text and (x := _replaced(layer, URL, lambda s: bytes([int(s[1:], 16)]))):
-        yield x
-    if "\\" in layer.text and (x := _replaced(layer, ESCAPE, _escape)):
-        yield x
+    if "%" in layer.text:
+        yield from _replaced(layer, URL, lambda s: bytes([int(s[1:], 16)]))
+    if "\\" in layer.text:
+        yield from _replaced(layer, ESCAPE, _escape)
+        if HIGH_ESCAPE.search(layer.text):
+            yield from _replaced(layer, BYTE_ESCAPE, _escape_byte)
+    if STREAM_TEXT.search(layer.text):
+        yield from _streams(layer)
+    last = -1
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        lo = np.array([layer.lo[m.start() + (i * 4) // 3] for i in range(len(data))], np.int64)
-        hi = np.array([layer.hi[m.start() + min((i * 4) // 3 + 1, len(body) - 1)] for i in range(len(data))], np.int64)
-        if (inner := _inflate(data)) is not None:
-            a, b = layer.span(m.start(), m.end())
-            data, lo, hi = inner, np.full(len(inner), a), np.full(len(inner), b)
-        if data and (x := _from_bytes(data, lo, hi)):
-            yield x
+        yield from _base64(layer, m.start(), m.end())
+        # the lines that a run is wrapped over, as one run
+        if m.start() >= last and (w := WRAPPED.match(layer.text, _line_run(layer.text, m.start()))):
+            last = w.end()
+            yield from _base64(layer, w.start(), w.end())
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
@@ -162,22 +277,26 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base = scan(text)
     added: set[tuple[int, int, int]] = set()
     n = 1
-    if "%" in text or "\\" in text or BASE64.search(text):
+    if "%" in text or "\\" in text or BASE64.search(text) or STREAM_TEXT.search(text):
         seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-        work = deque([Layer.root(text)])
+        # depth first: of a stream in chunks one chunk is held at a time
+        work = [children(Layer.root(text))]
         covers = {k: sorted((s, e) for s, kind, e in base if kind == k) for k in range(3)}
         while work:
-            for child in children(work.popleft()):
-                key = hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + int(child.lo[0]).to_bytes(8, "little")
-                if key in seen or key[:16] in seen:
-                    continue
-                seen.add(key)
-                n += 1
-                for start, kind, end in scan(child.text):
-                    a, b = child.span(start, end)
-                    if not any(s <= a and b <= e for s, e in covers[kind]):
-                        added.add((a, kind, b))
-                work.append(child)
+            child = next(work[-1], None)
+            if child is None:
+                work.pop()
+                continue
+            key = hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + int(child.lo[0]).to_bytes(8, "little")
+            if key in seen or key[:16] in seen:
+                continue
+            seen.add(key)
+            n += 1
+            for start, kind, end in scan(child.text):
+                a, b = child.span(start, end)
+                if not any(s <= a and b <= e for s, e in covers[kind]):
+                    added.add((a, kind, b))
+            work.append(children(child))
     return base, sorted(added), n
 
 

@@ -1,9 +1,12 @@
 import base64
+import bz2
 import dataclasses
 import gzip
 import hashlib
+import lzma
 import random
 import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
@@ -158,6 +161,72 @@ def test_unicode_escapes_before_hex_digits():
         assert want in [x.text for x in secret_scans.children(secret_scans.Layer.root(text))]
 
 
+def noise(n):
+    """Bytes that don't compress, so that streams stay long."""
+    return random.Random(n).randbytes(n)
+
+
+SECRET = b" password=hunter2222 "
+LONG = noise(300).hex(" ").encode() + SECRET + noise(200).hex(" ").encode()
+
+
+def wrapped(data, columns, end="\n"):
+    t = base64.b64encode(data).decode()
+    return end.join(t[i : i + columns] for i in range(0, len(t), columns))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        base64.b64encode(gzip.compress(bz2.compress(LONG))).decode(),
+        base64.b64encode(bz2.compress(lzma.compress(zlib.compress(LONG)))).decode(),
+        base64.b64encode(b"head" + noise(90) + gzip.compress(LONG) + noise(9)).decode(),
+        base64.b64encode(gzip.compress(LONG[:400]) + gzip.compress(LONG[400:])).decode(),
+        "q=" + urllib.parse.quote(gzip.compress(LONG)),
+        "".join(f"\\x{b:02x}" for b in gzip.compress(LONG)),
+        repr(gzip.compress(LONG)),
+        repr(bz2.compress(LONG)),
+        "".join(f"\\u{b:04x}" for b in zlib.compress(LONG)),
+        base64.b64encode(b"\x00\x01\x02\x03" * 40 + SECRET + b"\xff" * 40).decode(),
+        "see:\n" + wrapped(gzip.compress(LONG), 64) + "\nThe end",
+        "label\n" + wrapped(gzip.compress(LONG), 76, "\r\n"),
+        "cert: |\n  " + wrapped(zlib.compress(LONG), 64, "\n  "),
+        wrapped(b"x" * 38 + SECRET + b"y" * 60, 64),
+        wrapped(b"x" * 47 + SECRET + b"y" * 60, 76),
+        *("/files/" + "a" * k + "/" + base64.urlsafe_b64encode(SECRET * 2).decode() for k in range(4)),
+        *("a" * k + "-" + base64.b64encode(gzip.compress(LONG)).decode() for k in range(4)),
+    ],
+)
+def test_secrets_behind_every_decoder(text):
+    for t in (text, f"Some words before. {text} and after."):
+        base, added, _ = secret_scans.find_secrets(t)
+        assert base == [] and any(kind == 0 for _, kind, _ in added)
+        assert all(0 <= a < b <= len(t) for a, _, b in added)
+
+
+def test_secret_spans_over_lines_and_in_paths():
+    text = "Read this.\n" + wrapped(b"x" * 38 + SECRET + b"y" * 60, 64) + "\n"
+    a, _, b = secret_scans.find_secrets(text)[1][0]
+    assert b"password=hunter2222" in base64.b64decode(text[11:].replace("\n", "")) and "\n" in text[a:b] and b - a < 40
+    glued = "/files/" + base64.b64encode(b"..... " + SECRET + b".....").decode()
+    (a, _, b), = secret_scans.find_secrets(glued)[1]
+    assert a > 7 and b < len(glued)
+
+
+def test_secrets_in_long_streams(monkeypatch):
+    monkeypatch.setattr(secret_scans, "MAX_LAYER", 4096)
+    for at in (0, 2000, 4090, 8180, 60_000):
+        data = b"." * at + SECRET + b"-" * 30_000
+        assert secret_scans.find_secrets(base64.b64encode(gzip.compress(data)).decode())[1]
+        nested = b"." * at + base64.b64encode(bz2.compress(LONG)) + b"." * 30_000
+        assert secret_scans.find_secrets(base64.b64encode(gzip.compress(nested)).decode())[1]
+
+
+def test_no_secret_no_span():
+    for text in ("x^2 + x^y " * 50, "plain words\n" * 50, "x" * 300_000, base64.b64encode(noise(20_000)).decode(), "averyveryverylongword\nword\n" * 500):
+        assert secret_scans.find_secrets(text)[:2] == ([], [])
+
+
 def test_quality_counts():
     n, chars, symbols, lines, repeats, failed, kept, *_ = quality_rules.judge("a b c d\na b c d\n# $x")
     assert (n, chars, symbols, lines, repeats, failed, kept) == (10, 11, 2, 1, 8, True, False)
