@@ -50,24 +50,36 @@ k AS (SELECT item, a AS k FROM i UNION SELECT item, b FROM i), e AS (SELECT DIST
 r(a, b) AS (SELECT item, item FROM i UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS item, min(b) AS component FROM r GROUP BY 1)"""
 
 
-def _linked(t):
-    # the first orders, as the catalogue of queries fixes it: the oracle's recursion is quadratic in a component
-    rows = t("lineitem").where("l_orderkey < 400")
+def _linked(rows):
     item = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     keys = F.array(F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("o"), F.col("l_orderkey"), F.lit(":"), F.col("l_suppkey")))
     return rows.select(item.alias("item"), keys.alias("keys"), F.col("l_shipdate").alias("d"), F.col("l_returnflag").alias("flag"))
 
 
+def _merged(rows):
+    parts = E.components(rows, "item", "keys").distinct()
+    return E.merge(rows.join(parts, "item"), "component", F.struct("item", "flag"), ["flag"], ["keys"])
+
+
 @query(f"{MERGE} SELECT item, component FROM c")
 def merge_components(t):
-    return E.components(_linked(t), "item", "keys").distinct()
+    # the first orders, as its SQL fixes it; merge_components_all has the whole table
+    return E.components(_linked(t("lineitem").where("l_orderkey < 400")), "item", "keys").distinct()
+
+
+@query()
+def merge_components_all(t):
+    return E.components(_linked(t("lineitem")), "item", "keys")
 
 
 @query(f"{MERGE} SELECT c.component, arg_min(l.l_returnflag, {{'a': l.l_orderkey * 10 + l.l_linenumber, 'b': l.l_returnflag}}) AS flag, list_sort(list_distinct(flatten(list(['p' || l.l_partkey, 'o' || l.l_orderkey || ':' || l.l_suppkey])))) AS keys FROM c JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem) l ON l.l_orderkey * 10 + l.l_linenumber = c.item GROUP BY 1")
 def merge_cases(t):
-    rows = _linked(t)
-    parts = E.components(rows, "item", "keys").distinct()
-    return E.merge(rows.join(parts, "item"), "component", F.struct("item", "flag"), ["flag"], ["keys"])
+    return _merged(_linked(t("lineitem").where("l_orderkey < 400")))
+
+
+@query()
+def merge_cases_all(t):
+    return _merged(_linked(t("lineitem")))
 
 
 @query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 50")
