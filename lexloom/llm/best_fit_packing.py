@@ -13,6 +13,7 @@ Defined results: null or empty text is the single id 0; repeated rows are packed
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -111,15 +112,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
+@lru_cache(4)
+def _tokenizer(path: str, ordinary: bool = False):
+    """The tokenizer of a file. ordinary: it takes the strings of its added tokens for any other text."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # such strings in a text are ordinary text
+    t.encode_special_tokens = ordinary
     return t
 
 
@@ -171,12 +173,15 @@ class WordIds:
     """Ids of whole texts by way of remembered words.
 
     The tokenizer drops white space before it merges, and none of its pieces reaches across it, so a text's ids are its
-    words' ids put together. It also lower-cases, so A-Z may be lowered before. Words of ASCII letters, or of letters that
+    words' ids put together. It finds its added tokens first, before it lower-cases, so a text is cut at them. It also lower-cases, so A-Z may be lowered before. Words of ASCII letters, or of letters that
     are lower-case already, are one piece; a mark after them is another. Those are merged directly, the rest by the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.known, self.merge = _tokenizer(path), {}, merger(path)
+        self.ordinary = _tokenizer(path, True)
+        self.added = {x.content: pack("<I", i) for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.tails = {c.encode(): np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,;:!?"}
 
     def learn(self, missing: list[bytes]) -> None:
@@ -192,15 +197,21 @@ class WordIds:
                     known[w] = pack(f"<{len(ids)}I", *ids) + tails.get(tail, b"")
                     continue
             rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+        for w, e in zip(rest, self.ordinary.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known.clear()
-        words = [t.encode("utf-8", "replace").lower().split() for t in texts]
-        found = iter(common.lookup(list(chain.from_iterable(words)), self.known, self.learn))
-        return [b"".join(islice(found, len(ws))) + b"\0\0\0\0" for ws in words]
+        # ordinary text and added tokens in turn
+        parts = [self.cut.split(t) if any(x in t for x in self.added) else [t] for t in texts]
+        words = [[p.encode("utf-8", "replace").lower().split() for p in ps[::2]] for ps in parts]
+        found = iter(common.lookup(list(chain.from_iterable(chain.from_iterable(words))), self.known, self.learn))
+        out = []
+        for ps, ws in zip(parts, words, strict=True):
+            own = [b"".join(islice(found, len(w))) + self.added.get(x, b"") for w, x in zip(ws, [*ps[1::2], ""], strict=True)]
+            out.append(b"".join(own) + b"\0\0\0\0")
+        return out
 
 
 @lru_cache(2)

@@ -119,6 +119,17 @@ def test_word_ids_are_the_tokenizers():
         assert np.frombuffer(ids, "<u4").tolist() == [*own.tokenizer.encode(t, add_special_tokens=False).ids, 0]
 
 
+def test_word_ids_are_a_plain_tokenizers():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(P.default_path()), P.word_ids(P.default_path())
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "it's", "É", " ", "\n", "a.", "Wörter", "12", "e\u0301"]
+    rng = random.Random(2)
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|><|endoftext|>y", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300))]
+    for t, ids in zip(texts, own(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 0]
+
+
 def test_packing_covers_every_piece(spark):
     rows = P.best_fit_packing(frame(spark)).collect()
     by_sequence = {}
