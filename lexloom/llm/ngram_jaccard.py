@@ -8,7 +8,7 @@ identical. A cost model allocates, for each group, one of two signatures:
 * identical segments: each set indexes only H + 1 of its segments, those that hold the rarest n-grams (a prefix in one global
   order), rarity estimated by a fixed-size count sketch over all documents; M is a multiple of H + 1;
 * one-deletion neighbourhoods: (H + 1) / 2 segments, of which one differs by at most one element; each set indexes every
-  segment and every segment less one element.
+  segment and every segment less one element. At 90 percent the cost model never chooses them, at 80 only for the smallest sets.
 
 Signatures that occur once anywhere are dropped through exchanges of sorted sets by hash range (see repeats.py). For the
 others, equal sets count as one class. In buckets of at most SMALL members every member is verified exactly against one
