@@ -36,13 +36,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import common
-from lexloom.llm.repeats import BUCKET_BYTES, MIN_BUCKETS, NO_KEY, SENT, _answer, _flags, _rows, _schema, by_bucket, pack_blocks, pack_sorted
+from lexloom.llm.blocks import NO_KEY, SENT, by_bucket, count_buckets, pack_blocks, pack_sorted, rows_of, schema_of
+from lexloom.llm.repeats import answer, flags_of
 
 SKETCH_BITS, SKETCH_PARTS = 22, 16
 #: Up to this many members, a bucket's pairs are few enough to compare their brief forms.
 SMALL = 32
 #: Parts in which a family's rows meet what is known of the family.
 SALTS = 64
+#: Members that one copy of their centre's set meets.
+PART = 64
 KEY_BITS = 48
 BLOCK_BYTES = 4 << 20
 #: Rows of documents (keys null), and of sets that share a signature (doc_id null).
@@ -146,14 +149,14 @@ def sketch_of(units: DataFrame, join: Join) -> np.ndarray:
             every = np.concatenate([np.zeros(0, np.uint64), *join.sets(t["_text"].to_pylist())])
             total += np.bincount((every & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
         rows = [(k, 0, 0, zstandard.ZstdCompressor(level=1).compress(p.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())) for k, p in enumerate(np.split(total, SKETCH_PARTS))]
-        yield from _rows(_schema(SENT), rows).to_batches()
+        yield from rows_of(schema_of(SENT), rows).to_batches()
 
     def part(data: bytes) -> np.ndarray:
         return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         total = sum((part(d.as_py()) for d in t["data"]), np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64))
-        return _rows(_schema(SENT), [(key[0].as_py(), 0, 0, grade(total).tobytes())])
+        return rows_of(schema_of(SENT), [(key[0].as_py(), 0, 0, grade(total).tobytes())])
 
     parts = {r["k"]: np.frombuffer(bytes(r["data"]), np.uint8) for r in units.mapInArrow(count, SENT).groupBy("k").applyInArrow(add, SENT).collect()}
     return np.concatenate([parts.get(k, np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint8)) for k in range(SKETCH_PARTS)])
@@ -227,6 +230,8 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFram
             labels = parent.select(F.col("a").alias("node"), F.col("p").alias("label"))
         else:
             labels = labels.join(parent.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
+    else:
+        raise RuntimeError("components not settled after 63 steps")
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
@@ -242,15 +247,17 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *cols, pa.array(out[2], pa.list_(pa.int64()))], names=["member", "centre", "large", "size", "centre_size", "diff"])
 
 
-def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, class of every row; links between classes: enough of them to connect what is connected)."""
-    scratch = common.Scratch(df.sparkSession)
+def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text", key: str = "doc_id", scratch: common.Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, class of every row; links between classes: enough of them to connect what is connected).
+
+    Both read tables in scratch, which are the caller's to remove.
+    """
+    scratch = scratch or common.Scratch(df.sparkSession)
     order = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_key")
     rows = df.select(order, F.col(text).cast("string").alias("_text"), F.col(key).cast("long").alias("_id"))
     blocks = scratch.save(pack_blocks(rows, BLOCK_BYTES, numbered=True), "blocks")
     units = blocks.select("block", "data")
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    buckets = max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
+    buckets = count_buckets(blocks)
     sketch = sketch_of(units, Join(n, pct, lower))
     # The share of n-grams that stand in a crowded counter, for the cost model.
     value = counts_of()
@@ -265,7 +272,7 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
             keys = [k for _, _, k in _distinct(join, shared.value, t)]
             values = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]))
             out = [(k, block, 0, pack_sorted(values[x:y])) for k, x, y in by_bucket(values, buckets, KEY_BITS)]
-            yield from _rows(_schema(SENT), out).to_batches()
+            yield from rows_of(schema_of(SENT), out).to_batches()
 
     def pick(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], [], []]
@@ -277,7 +284,7 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
                     col.append(v)
             every = np.concatenate([np.zeros(0, np.uint64), *(k for _, _, k in own)])
             values, counts = np.unique(every, return_counts=True)
-            shared_keys = values[(counts > 1) | _flags(right, 0)] if len(values) else values
+            shared_keys = values[(counts > 1) | flags_of(right, 0)] if len(values) else values
             for c, elements, keys in own:
                 hit = np.intersect1d(keys, shared_keys, assume_unique=True)
                 if len(hit):
@@ -286,7 +293,7 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
         return pa.table([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["doc_id", "size", "class", "keys", "brief", "elements"])
 
-    found = units.mapInArrow(send, SENT).groupBy("k", "kind").applyInArrow(_answer, SENT)
+    found = units.mapInArrow(send, SENT).groupBy("k", "kind").applyInArrow(answer, SENT)
     members = units.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(pick, MEMBERS)
     every = scratch.save(members, "members")
     # What follows reads the tables alone.
@@ -334,11 +341,18 @@ def _near(pairs: DataFrame, light: DataFrame, pct: int) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """member, centre, large, their sizes and the elements in which they differ; only sets of the pairs travel."""
+    """member, centre, large, their sizes and the elements in which they differ; only sets of the pairs travel.
+
+    A centre of many members is dealt out: its set meets them in a part for each PART of them, so that the copies of centres
+    are fewer than PART-ths of the pairs, and no task holds the sets of more than about PART members of one.
+    """
     used = pairs.select(F.col("member").alias("class")).unionByName(pairs.select(F.col("centre").alias("class"))).distinct()
     sets = members.select("class", "elements").join(used, "class", "left_semi").dropDuplicates(["class"])
-    one = pairs.join(sets.select(F.col("class").alias("member"), "elements"), "member")
-    both = one.join(sets.select(F.col("class").alias("centre"), F.col("elements").alias("centre_elements")), "centre")
+    parts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    dealt = pairs.join(parts.where("parts > 1"), "centre", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("member"), "parts"), F.lit(0)))
+    one = dealt.drop("parts").join(sets.select(F.col("class").alias("member"), "elements"), "member")
+    centres = sets.select(F.col("class").alias("centre"), F.col("elements").alias("centre_elements")).join(parts, "centre")
+    both = one.join(centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts"), ["centre", "part"])
     return both.select("member", "centre", "large", "elements", "centre_elements").mapInArrow(_differences, "member long, centre long, large boolean, size long, centre_size long, diff array<long>")
 
 
@@ -394,8 +408,8 @@ def _family_links(compared: DataFrame, pct: int, scratch: common.Scratch) -> Dat
 
 def ngram_jaccard_join(df: DataFrame, n: int = 5, pct: int = 80, lower: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and class_id of every row: links are pairs with similarity of at least pct percent."""
-    meta, links = ngram_links(df, n, pct, lower, text, key)
     scratch = common.Scratch(df.sparkSession)
+    meta, links = ngram_links(df, n, pct, lower, text, key, scratch)
     label = components(links, scratch, "components")
     least = meta.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = least.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
@@ -404,7 +418,11 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, pct: int = 80, lower: bool = F
     by_class = named.join(whole, "label").select("class", "component")
     alone = meta.where("class IS NULL").withColumn("component", F.col("doc_id"))
     rows = meta.where("class IS NOT NULL").join(by_class, "class").select(*alone.columns).unionByName(alone)
-    return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("class").alias("class_id"))
+    rows = rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("class").alias("class_id"))
+    # One narrow table is left; what led to it goes.
+    out = common.Scratch(df.sparkSession).save(rows, "components")
+    scratch.drop()
+    return out
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,21 @@
-"""Exact removal of repeated windows over blocks of documents; the machinery of the two substring operators.
+"""Exact removal of repeated windows of words over blocks of documents: the machinery of substring dedup.
 
-A window is L consecutive units (bytes or words) of one document. Every window but the first of equal ones, by document
-and start, is removed, and with it the units that it covers. No pair of occurrences is ever formed:
+A window is L consecutive words of one document. Every window but the first of equal ones, by document and start, is
+removed, and with it the words that it covers. No pair of occurrences is ever formed:
 
-1. Documents are packed into blocks with disjoint key ranges (by a range shuffle only if the input isn't so ordered).
+1. Documents are packed into blocks in the order of their keys (by a range shuffle only if the input isn't so ordered).
 2. Each block hashes short windows at the places that a difference cover modulo a period selects. Two equal windows of L
-   units always contain a pair of equal short ones at covered places, whatever their alignment. Blocks send sorted,
+   words always contain a pair of equal short ones at covered places, whatever their alignment. Blocks send sorted,
    delta-coded sets of these anchors to hash-range buckets, which answer with one bit each: seen in another block or not.
    With them go hashes of content-defined stretches, answered by: seen in an earlier block or not.
 3. Windows with no repeated anchor cannot repeat. Windows inside a stretch that occurs earlier are removed. Only the rest
-   are extended: hashed over all L units and sent, again as sorted sets by hash range, one range sorted at a time.
+   are extended: named over all L words and sent, again as sorted sets by hash range, one range sorted at a time.
 4. Each block applies the answers and yields its documents.
 
 A hash goes to a bucket once per block however often it occurs, so a passage that millions of documents share costs one
-entry per block. Memory is bounded by one block or one bucket. Hashes have 64 bits; anchors are cut to 40, where an
-accidental equality only costs work.
+entry per block. Memory is bounded by one block or one bucket. The answers of steps 2 and 3 are written to the shared
+folder, so that the shuffle files of a step are gone before the next one fills the disks. Names of windows have 96 bits,
+hashes of stretches 64; anchors are cut to 48, where an accidental equality only costs work.
 """
 
 from __future__ import annotations
@@ -25,31 +26,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType, LongType, StringType
+from pyspark.sql.types import StructType
 
 from lexloom.llm import common
+from lexloom.llm.blocks import RESULT, SENT, by_bucket, count_buckets, frames, keyed, later, ordered_blocks, pack_array, pack_bits, pack_sorted, results, rows_of, schema_of, spread, unframe, unpack_array, unpack_bits, unpack_sorted
 
-ANCHOR_BITS = 40
-#: Bytes of text whose hashes one bucket sorts at a time, and least number of buckets.
-BUCKET_BYTES, MIN_BUCKETS = 48 << 20, 24
-#: Blocks are written once and shuffled twice.
-ZSTD_LEVEL = 7
-NO_KEY = -(1 << 63)
-
-BLOCKS = "block long, upto long, size long, data binary"
-SENT = "k int, block long, kind int, data binary"
-RESULT = [StructField("n_units", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())]
+ANCHOR_BITS = 48
 
 
 @dataclass(frozen=True)
 class Spec:
-    """What a unit is, how long a window, the cover, and how often stretches are cut."""
+    """How long a window is, the cover, and how often stretches are cut."""
 
-    words: bool
     window: int
     period: int
     cover: tuple[int, ...]
@@ -68,66 +58,30 @@ class Spec:
         return self.window - self.period + 1
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """A sorted uint64 array as differences, their bytes by place, compressed."""
-    d = np.diff(values, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def pack_bits(flags: np.ndarray) -> bytes:
-    return len(flags).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(np.packbits(flags).tobytes())
-
-
-def unpack_bits(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), np.uint8), count=n).astype(bool)
-
-
-def edges(buckets: int, bits: int) -> np.ndarray:
-    """Where the hash ranges of the buckets begin, without the first."""
-    return np.array([((i << bits) + buckets - 1) // buckets for i in range(1, buckets)], np.uint64)
-
-
-def by_bucket(values: np.ndarray, buckets: int, bits: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of a sorted array's parts that aren't empty."""
-    at = np.concatenate([[0], np.searchsorted(values, edges(buckets, bits)), [len(values)]])
-    return [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
-
-
 class Block:
-    """The units of a block's documents and what is derived from them."""
+    """The words of a block's documents and what is derived from them."""
 
     def __init__(self, spec: Spec, data: bytes) -> None:
         self.spec = spec
         self.table = pa.ipc.open_stream(data).read_all()
         self.raw = [t.encode("utf-8", "replace") if t else b"" for t in self.table["_text"].to_pylist()]
-        if spec.words:
-            self.parts = [r.split() for r in self.raw]
-            units = common.word_hashes([w for ws in self.parts for w in ws])
-            sizes = [len(p) for p in self.parts]
-        else:
-            byte_hash = common.mix(np.arange(1, 257, dtype=np.uint64) * common.M1)
-            units = byte_hash[np.frombuffer(b"".join(self.raw), np.uint8)]
-            sizes = [len(r) for r in self.raw]
+        self.parts = [r.split() for r in self.raw]
+        units = common.word_hashes([w for ws in self.parts for w in ws])
+        sizes = [len(p) for p in self.parts]
         self.n = len(units)
         self.ends = np.cumsum(sizes, dtype=np.int64)
         self.begins = self.ends - np.asarray(sizes, np.int64)
         self._levels = {1: units}
 
     def level(self, size: int) -> np.ndarray:
-        """Hashes of the size units from every place, size a power of two; places too near the end hash what wraps around."""
+        """Hashes of the size words from every place, size a power of two; places too near the end hash what wraps around."""
         if size not in self._levels:
             half = self.level(size // 2)
             self._levels[size] = common.pair_hash(half, np.concatenate([half[size // 2 :], half[: size // 2]])[: len(half)])
         return self._levels[size]
 
     def grams(self, places: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the n units from each place."""
+        """Hashes of the n words from each place."""
         out, done, size = None, 0, 1 << n.bit_length()
         while size:
             if n & size:
@@ -137,8 +91,19 @@ class Block:
             size >>= 1
         return out
 
+    def names(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows from each place as 64 bits and 32 more, both of the same parts of them."""
+        n, done, second, size = self.spec.window, 0, np.zeros(len(places), np.uint64), 1 << self.spec.window.bit_length()
+        while size:
+            if n & size:
+                second = (second ^ (self.level(size)[places + done] * common.M1)) * common.M3
+                second ^= second >> np.uint64(31)
+                done += size
+            size >>= 1
+        return self.grams(places, n), (second >> np.uint64(32)).astype(np.uint32)
+
     def fits(self, n: int) -> np.ndarray:
-        """True at places from which n units of the same document follow."""
+        """True at places from which n words of the same document follow."""
         ok = np.zeros(self.n, bool)
         for a, b in zip(self.begins.tolist(), self.ends.tolist(), strict=True):
             if b - a >= n:
@@ -175,102 +140,24 @@ class Block:
         f, t = np.array(froms, np.int64), np.array(tos, np.int64)
         long = t - f >= spec.window
         f, t = f[long], t[long]
-        if spec.words:
-            base, width = self._levels[1].tobytes(), 8
-        else:
-            base, width = b"".join(self.raw), 1
+        base, width = self._levels[1].tobytes(), 8
         return f, t, np.array([int.from_bytes(hashlib.blake2b(base[a * width : b * width], digest_size=8).digest(), "little") for a, b in zip(f.tolist(), t.tolist(), strict=True)], np.uint64)
 
 
-def later(values: np.ndarray) -> np.ndarray:
-    """True where an equal value stands before, in the order given."""
-    order = np.argsort(values, kind="stable")
-    ordered = values[order]
-    out = np.zeros(len(values), bool)
-    out[order[1:]] = ordered[1:] == ordered[:-1]
-    return out
-
-
-def _spread(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-    """True at the places of the ranges begin..end (exclusive)."""
-    d = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
-    return np.cumsum(d[:n]) > 0
-
-
-def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-
-def _schema(ddl: str) -> pa.Schema:
-    """Also on executors, where no session parses DDL."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
-
-
-def pack_blocks(df: DataFrame, block_bytes: int, numbered: bool = False) -> DataFrame:
-    """Rows (_key, _text, ...) as blocks, in the order of their partitions; equal keys that follow each other stay together.
-
-    A block is named by its least key, or numbered uniquely; numbers hold once the blocks are written.
-    """
-    schema = _schema(BLOCKS)
-
-    def close(parts: list[pa.RecordBatch], nth: int) -> pa.RecordBatch:
-        from pyspark import TaskContext
-
-        t = pa.Table.from_batches(parts).sort_by([("_key", "ascending"), ("_text", "ascending")])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))) as w:
-            w.write_table(t.combine_chunks())
-        keys = t["_key"].to_numpy()
-        name = (TaskContext.get().partitionId() << 32) + nth if numbered else int(keys[0])
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(keys[-1])]), pa.array([_size(parts)]), pa.array([sink.getvalue().to_pybytes()])], schema=schema)
-
-    def _size(parts: list[pa.RecordBatch]) -> int:
-        import pyarrow.compute as pc
-
-        return sum(pc.sum(pc.binary_length(p.column(1))).as_py() or 0 for p in parts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        held: list[pa.RecordBatch] = []
-        size, last, nth = 0, None, 0
-        for b in batches:
-            keys = b.column(0).to_numpy()
-            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            begin = 0
-            for i in range(len(keys)):
-                if size >= block_bytes and keys[i] != last:
-                    if i > begin:
-                        held.append(b.slice(begin, i - begin))
-                    yield close(held, nth)
-                    held, size, begin, nth = [], 0, i, nth + 1
-                size += int(sizes[i])
-                last = keys[i]
-            if len(keys) > begin:
-                held.append(b.slice(begin))
-        if held:
-            yield close(held, nth)
-
-    return df.mapInArrow(run, BLOCKS)
-
-
-def ordered_blocks(df: DataFrame, spec: Spec, scratch: common.Scratch) -> DataFrame:
-    """Blocks with disjoint key ranges. The input's own order serves if it gives such blocks, which one pass finds out."""
-    blocks = scratch.save(pack_blocks(df, spec.block_bytes), "as-read")
-    after = F.lead("block").over(Window.orderBy("block", "upto"))
-    if blocks.select("block", "upto").select((F.col("upto") >= after).alias("meets")).where("meets").isEmpty():
-        return blocks
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    ranged = df.repartitionByRange(max(1, -(-total // (16 << 20))), "_key").sortWithinPartitions("_key")
-    blocks = scratch.save(pack_blocks(ranged, spec.block_bytes), "by-key")
-    scratch.drop("as-read")
-    return blocks
+def _unique_names(names: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct names in order, and for every name its place among them."""
+    first, second = names
+    order = np.lexsort((second, first)) if len(first) else np.zeros(0, np.int64)
+    a, b = first[order], second[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    inverse = np.empty(len(a), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return a[new], b[new], inverse
 
 
 def _send_anchors(spec: Spec, buckets: int) -> Callable:
-    schema = _schema(SENT)
+    schema = schema_of(SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,20 +167,26 @@ def _send_anchors(spec: Spec, buckets: int) -> Callable:
                 for kind, bits, values in ((0, ANCHOR_BITS, own.anchors()[1]), (1, 64, own.stretches()[2])):
                     values = np.unique(values)
                     rows += [(k, block, kind, pack_sorted(values[x:y])) for k, x, y in by_bucket(values, buckets, bits)]
-                yield from _rows(schema, rows).to_batches()
+                yield from rows_of(schema, rows).to_batches()
 
     return run
 
 
-def _answer(key: tuple, sent: pa.Table) -> pa.Table:
-    """For one bucket and kind: each block's flags. Kind 0: in another block; kinds 1 and 2: in an earlier one."""
+def answer(key: tuple, sent: pa.Table) -> pa.Table:
+    """For one bucket and kind: each block's flags. Kind 0: in another block; kinds 1 and 2 (names of two parts): in an earlier one."""
     if key[0].as_py() < 0:  # a block's own state, on its way to the last step
         return sent.select(["k", "block", "kind", "data"])
     order = np.argsort(sent["block"].to_numpy(), kind="stable")
-    data, blocks, kind = sent["data"], sent["block"].to_pylist(), key[1].as_py()
-    values = [unpack_sorted(data[int(i)].as_py()) for i in order]
+    data, blocks, kind = [d.as_py() for d in sent["data"]], sent["block"].to_pylist(), key[1].as_py()
+    second = None
+    if kind == 2:
+        pairs = [unframe(data[int(i)]) for i in order]
+        values = [unpack_sorted(p[0]) for p in pairs]
+        second = np.concatenate([unpack_array(p[1], "<u4") for p in pairs])
+    else:
+        values = [unpack_sorted(data[int(i)]) for i in order]
     every = np.concatenate(values)
-    again = later(every)
+    again = later(every, second)
     flags = again
     if kind == 0:
         twice = np.unique(every[again])
@@ -301,17 +194,17 @@ def _answer(key: tuple, sent: pa.Table) -> pa.Table:
         flags = twice[at] == every if len(twice) else again
     cut = np.concatenate([[0], np.cumsum([len(v) for v in values])])
     rows = [(key[0].as_py(), blocks[int(i)], kind, pack_bits(flags[cut[j] : cut[j + 1]])) for j, i in enumerate(order)]
-    return _rows(_schema(SENT), rows)
+    return rows_of(schema_of(SENT), rows)
 
 
-def _flags(right: pa.Table, kind: int) -> np.ndarray:
+def flags_of(right: pa.Table, kind: int) -> np.ndarray:
     """A block's answers of one kind, put together in the order of its sorted hashes."""
     mine = sorted((k, d) for k, c, d in zip(right["k"].to_pylist(), right["kind"].to_pylist(), right["data"].to_pylist(), strict=True) if c == kind)
     return np.concatenate([unpack_bits(d) for _, d in mine]) if mine else np.zeros(0, bool)
 
 
 def _send_windows(spec: Spec, buckets: int) -> Callable:
-    schema = _schema(SENT)
+    schema = schema_of(SENT)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -321,76 +214,53 @@ def _send_windows(spec: Spec, buckets: int) -> Callable:
                 continue
             places, hashes = own.anchors()
             unique, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            repeated = places[((counts > 1) | _flags(right, 0))[inverse]] if len(unique) else places
-            candidate = _spread(np.maximum(repeated - (spec.period - 1), 0), repeated + 1, own.n) & own.fits(spec.window)
+            repeated = places[((counts > 1) | flags_of(right, 0))[inverse]] if len(unique) else places
+            candidate = spread(np.maximum(repeated - (spec.period - 1), 0), repeated + 1, own.n) & own.fits(spec.window)
             froms, tos, stretch = own.stretches()
             unique, inverse = np.unique(stretch, return_inverse=True)
-            earlier = (_flags(right, 1)[inverse] | later(stretch)) if len(unique) else np.zeros(0, bool)
-            removed = _spread(froms[earlier], tos[earlier] - spec.window + 1, own.n)
+            earlier = (flags_of(right, 1)[inverse] | later(stretch)) if len(unique) else np.zeros(0, bool)
+            removed = spread(froms[earlier], tos[earlier] - spec.window + 1, own.n)
             sent = candidate & ~removed
-            values = np.unique(own.grams(np.flatnonzero(sent), spec.window))
-            rows += [(k, block, 2, pack_sorted(values[x:y])) for k, x, y in by_bucket(values, buckets, 64)]
+            first, second, _ = _unique_names(own.names(np.flatnonzero(sent)))
+            rows += [(k, block, 2, frames(pack_sorted(first[x:y]), pack_array(second[x:y]))) for k, x, y in by_bucket(first, buckets, 64)]
             own_group = -1 - (block * 0x9E3779B1 >> 7) % (1 << 30)  # spreads the blocks' states
             rows += [(own_group, block, 3, pack_bits(removed)), (own_group, block, 4, pack_bits(sent))]
-        return _rows(schema, rows)
+        return rows_of(schema, rows)
 
     return run
 
 
-def kept_text(raw: bytes, words: bool, units: list[bytes], covered: np.ndarray) -> tuple[bytes, str]:
-    """What is hashed, and the text without the removed units; between kept words the blanks before them stay."""
-    if not words:
-        data = np.frombuffer(raw, np.uint8)[~covered].tobytes()
-        return data, data.decode("utf-8", "replace")
-    digest = b" ".join(w for w, c in zip(units, covered.tolist(), strict=True) if not c)
-    if not covered.any():
-        return digest, raw.decode()
-    out, at = [], 0
-    for w, c in zip(units, covered.tolist(), strict=True):
-        begin = raw.index(w, at)
-        if not c:
-            out += [raw[at:begin] if out else b"", w]
-        at = begin + len(w)
-    return digest, b"".join(out).decode()
-
-
 def _finish(spec: Spec, schema: pa.Schema, text: bool) -> Callable:
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         done = []
         for data in left["data"]:
             own = Block(spec, data.as_py())
-            removed, sent = _flags(right, 3), np.flatnonzero(_flags(right, 4))
+            removed, sent = flags_of(right, 3), np.flatnonzero(flags_of(right, 4))
             if len(sent):
-                hashes = own.grams(sent, spec.window)
-                _, inverse = np.unique(hashes, return_inverse=True)
-                removed[sent] = _flags(right, 2)[inverse] | later(hashes)
+                first, second = own.names(sent)
+                removed[sent] = flags_of(right, 2)[_unique_names((first, second))[2]] | later(first, second)
             places = np.flatnonzero(removed)
-            covered = _spread(places, places + spec.window, own.n) if own.n else np.zeros(0, bool)
-            cols: list[list] = [[], [], [], [], []]
-            for i, (a, b) in enumerate(zip(own.begins.tolist(), own.ends.tolist(), strict=True)):
-                c = covered[a:b]
-                digest, kept = kept_text(own.raw[i], spec.words, own.parts[i] if spec.words else [], c)
-                runs = int(c[0]) + int((c[1:] & ~c[:-1]).sum()) if len(c) else 0
-                for col, x in zip(cols, (b - a, int(c.sum()), runs, hashlib.sha256(digest).hexdigest(), kept if text else None), strict=True):
-                    col.append(x)
-            carried = [own.table[name] for name in own.table.column_names if name not in ("_key", "_text")]
-            done.append(pa.table([*carried, *(pa.array(c, type=f.type) for c, f in zip(cols, list(schema)[-5:], strict=True))], schema=schema))
+            covered = spread(places, places + spec.window, own.n) if own.n else np.zeros(0, bool)
+            cols = results(own.raw, own.parts, own.begins, own.ends, covered, text)
+            done.append(pa.table([own.table["_carried"], *(pa.array(c, type=f.type) for c, f in zip(cols, list(schema)[-5:], strict=True))], schema=schema))
         return pa.concat_tables(done) if done else schema.empty_table()
 
     return run
 
 
 def remove_repeats(df: DataFrame, spec: Spec, key: str, text: str, carry: dict[str, Column], with_text: bool = False) -> DataFrame:
-    """The carried columns of every row with n_units, n_removed, n_spans, kept_sha256 and, if asked for, kept_text."""
+    """Of every row the carried columns, as the struct _carried, with n_units, n_removed, n_spans, kept_sha256 and, if asked for, kept_text."""
     scratch = common.Scratch(df.sparkSession)
-    order = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_key")
-    rows = df.select(order, F.col(text).cast("string").alias("_text"), *(c.alias(n) for n, c in carry.items()))
-    blocks = ordered_blocks(rows, spec, scratch)
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    buckets = max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
+    rows = keyed(df, key, text, carry)
+    blocks = ordered_blocks(rows, spec.block_bytes, scratch)
+    buckets = count_buckets(blocks)
     units = blocks.select("block", "data")
-    first = units.mapInArrow(_send_anchors(spec, buckets), SENT).groupBy("k", "kind").applyInArrow(_answer, SENT)
-    sent = units.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_windows(spec, buckets), SENT)
-    answers = sent.groupBy("k", "kind").applyInArrow(_answer, SENT)
-    result = StructType([*rows.schema.fields[2:], *RESULT])
+    told = scratch.save(units.mapInArrow(_send_anchors(spec, buckets), SENT).groupBy("k", "kind").applyInArrow(answer, SENT), "anchors")
+    common.release(df.sparkSession)
+    sent = units.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send_windows(spec, buckets), SENT)
+    answers = scratch.save(sent.groupBy("k", "kind").applyInArrow(answer, SENT), "windows")
+    scratch.drop("anchors")
+    del told, sent
+    common.release(df.sparkSession)
+    result = StructType([rows.schema["_carried"], *RESULT])
     return units.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(spec, to_arrow_schema(result), with_text), result)

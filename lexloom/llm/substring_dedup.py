@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 from lexloom.llm import common
 from lexloom.llm.repeats import Spec, remove_repeats
 
-WORDS = Spec(words=True, window=20, period=13, cover=(0, 1, 3, 9), block_bytes=4 << 20, cut_gram=4, cut_every=32)
+WORDS = Spec(window=20, period=13, cover=(0, 1, 3, 9), block_bytes=4 << 20, cut_gram=4, cut_every=32)
 
 
 def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", carry: dict | None = None, with_text: bool = False) -> DataFrame:
-    """One row per document: its key (or the carried columns), n_words, n_removed, n_spans, kept_sha256, kept_text."""
-    carry = carry if carry is not None else {"doc_id": F.col(key).cast("long")}
-    out = remove_repeats(df, WORDS, key, text, carry, with_text).withColumnRenamed("n_units", "n_words")
+    """One row per document: its key, n_words, n_removed, n_spans, kept_sha256, kept_text.
+
+    With carry (names and columns), the struct _carried holds these instead of the key, whatever their names.
+    """
+    out = remove_repeats(df, WORDS, key, text, carry or {"doc_id": F.col(key).cast("long")}, with_text).withColumnRenamed("n_units", "n_words")
+    out = out if carry else out.select("_carried.doc_id", *out.columns[1:])
     return out if with_text else out.drop("kept_text")
 
 
