@@ -200,8 +200,8 @@ def ordered_blocks(df: DataFrame, block_bytes: int, scratch: common.Scratch) ->
     return scratch.save(pack_blocks(ranged, block_bytes, numbered=True), "by-key")
 
 
-def count_buckets(blocks: DataFrame) -> int:
-    return max(MIN_BUCKETS, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
+def count_buckets(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    return max(MIN_BUCKETS, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // bucket_bytes))
 
 
 def keyed(df: DataFrame, key: str, text: str, carry: dict[str, Column]) -> DataFrame:

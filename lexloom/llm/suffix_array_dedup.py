@@ -6,7 +6,8 @@ with both k-th bytes in the cover: they are equal if their heads of k bytes are,
 their tails behind the ranked depth are. No more than PERIOD - 1 bytes of a suffix are ever sent beside a rank.
 
 1. Documents are packed into blocks in the order of their keys (by a range shuffle only if the input isn't so ordered).
-2. Ranks of the cover sample to depth DEPTH - PERIOD + 1: keys of 64 bits that grow with the first two bytes, by a count of
+   What follows is done for one range of suffix buckets after the other (PASSES of them), so that no more than that is on disk.
+2. Ranks of the cover sample to depth DEPTH - PERIOD + 1: keys of 56 bits that grow with the first two bytes, by a count of
    all of them, and fill equal ranges evenly; among equal first bytes the order is that of a hash. So buckets of key ranges
    are buckets of suffixes in alphabetical order that no frequent prefix makes large. A block sends each of its keys once
    to a bucket; the bucket sorts them and ranks those that occur again. What has no rank occurs once and is done.
@@ -27,9 +28,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,6 +42,8 @@ from lexloom.llm import common
 from lexloom.llm.blocks import RESULT, SENT, by_bucket, count_buckets, frames, keyed, later, ordered_blocks, pack_array, pack_bits, pack_sorted, results, rows_of, schema_of, spread, unframe, unpack_array, unpack_bits, unpack_sorted
 
 PREFIXES = 1 << 16
+#: A rank is told by this many bits of its key and 32 more. Bytes of text whose keys one bucket sorts; ranges of buckets.
+KEY_BITS, BUCKET_BYTES, PASSES = 56, 24 << 20, 2
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
 
@@ -82,7 +87,24 @@ class Scale:
     def keys(self, prefix: np.ndarray, name: np.ndarray) -> np.ndarray:
         width = self.width[prefix]
         a, b, c, d = name >> HALF, name & LOW, width >> HALF, width & LOW
-        return self.base[prefix] + a * c + ((a * d) >> HALF) + ((b * c) >> HALF)
+        return (self.base[prefix] + a * c + ((a * d) >> HALF) + ((b * c) >> HALF)) >> np.uint64(64 - KEY_BITS)
+
+
+@dataclass(frozen=True)
+class Part:
+    """A range of buckets, and of their keys (both inclusive)."""
+
+    buckets: int
+    low: int
+    high: int
+
+    @property
+    def first(self) -> np.uint64:
+        return np.uint64(((self.low << KEY_BITS) + self.buckets - 1) // self.buckets)
+
+    @property
+    def last(self) -> np.uint64:
+        return np.uint64((((self.high + 1) << KEY_BITS) + self.buckets - 1) // self.buckets - 1)
 
 
 class Block:
@@ -122,6 +144,17 @@ class Block:
     def prefixes(self, places: np.ndarray) -> np.ndarray:
         return (self.bytes[places].astype(np.int64) << 8) | self.bytes[places + 1]
 
+    def ranged(self, scale: Scale, part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places, keys and second parts of the cover suffixes in one range of keys, and the hashes they come from."""
+        places, h = self.places(), self.hash64()
+        prefix = self.prefixes(places)
+        near = (scale.base[prefix] >> np.uint64(64 - KEY_BITS) <= part.last) & ((scale.base[prefix] + scale.width[prefix]) >> np.uint64(64 - KEY_BITS) >= part.first)
+        places, prefix = places[near], prefix[near]
+        names, seconds = self.names(places, h)
+        keys = scale.keys(prefix, names)
+        held = (keys >= part.first) & (keys <= part.last)
+        return places[held], keys[held], seconds[held], h
+
     def names(self, places: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the ranked depth from each place 64 bits, and 32 more."""
         a, b = h[places], h[places + self.spec.ranked - 64]
@@ -155,17 +188,15 @@ def scale_of(units: DataFrame, spec: Spec) -> Scale:
     return Scale(unpack_array(bytes(rows[0]["data"]), "<i8") if rows else np.zeros(PREFIXES, np.int64))
 
 
-def _send_keys(spec: Spec, scale, buckets: int) -> Callable:
+def _send_keys(spec: Spec, scale, part: Part) -> Callable:
     schema = schema_of(SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 own = Block(spec, data.as_py())
-                places = own.places()
-                keys = scale.value.keys(own.prefixes(places), own.names(places, own.hash64())[0])
-                values, counts = np.unique(keys, return_counts=True)
-                rows = [(k, block, 0, frames(pack_sorted(values[x:y]), pack_bits(counts[x:y] > 1))) for k, x, y in by_bucket(values, buckets, 64)]
+                values, counts = np.unique(own.ranged(scale.value, part)[1], return_counts=True)
+                rows = [(k, block, 0, frames(pack_sorted(values[x:y]), pack_bits(counts[x:y] > 1))) for k, x, y in by_bucket(values, part.buckets, KEY_BITS)]
                 yield from rows_of(schema, rows).to_batches()
 
     return run
@@ -205,7 +236,7 @@ def _around(data: np.ndarray, places: np.ndarray, before: int, size: int) -> np.
     return np.lib.stride_tricks.sliding_window_view(padded, size)[places]
 
 
-def _send_suffixes(spec: Spec, scale, buckets: int) -> Callable:
+def _send_suffixes(spec: Spec, scale, part: Part) -> Callable:
     schema, side = schema_of(SENT), spec.side
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -215,9 +246,8 @@ def _send_suffixes(spec: Spec, scale, buckets: int) -> Callable:
             own, block = Block(spec, data.as_py()), key[0].as_py()
             if not told:
                 continue
-            places, h = own.places(), own.hash64()
-            names, seconds = own.names(places, h)
-            _, inverse = np.unique(scale.value.keys(own.prefixes(places), names), return_inverse=True)
+            places, keys, seconds, h = own.ranged(scale.value, part)
+            _, inverse = np.unique(keys, return_inverse=True)
             flags = np.concatenate([unpack_bits(f) for _, f, _ in told])
             where = np.cumsum(flags) - 1
             held = flags[inverse]
@@ -334,16 +364,18 @@ def _finish(spec: Spec, schema: pa.Schema, text: bool) -> Callable:
         for data in left["data"]:
             own = Block(spec, data.as_py())
             removed = np.zeros(own.n, bool)
-            for _, d in _answers(right, 3):
-                removed |= unpack_bits(d)
-            places = np.concatenate([np.zeros(0, np.int64), *(unpack_array(d, "<u4").astype(np.int64) for _, d in _answers(right, 4))])
-            at = 0
-            for _, d in _answers(right, 2):
-                flags = unpack_bits(d).reshape(spec.period, -1)
-                mine = places[at : at + flags.shape[1]]
-                for k in range(spec.period):
-                    removed[mine[flags[k]] - k] = True
-                at += len(mine)
+            for p in range(PASSES):
+                mine = right.filter(pc.equal(right["pass"], p))
+                for _, d in _answers(mine, 3):
+                    removed |= unpack_bits(d)
+                places = np.concatenate([np.zeros(0, np.int64), *(unpack_array(d, "<u4").astype(np.int64) for _, d in _answers(mine, 4))])
+                at = 0
+                for _, d in _answers(mine, 2):
+                    flags = unpack_bits(d).reshape(spec.period, -1)
+                    here = places[at : at + flags.shape[1]]
+                    for k in range(spec.period):
+                        removed[here[flags[k]] - k] = True
+                    at += len(here)
             starts = np.flatnonzero(removed)
             covered = spread(starts, starts + spec.depth, own.n) if own.n else removed
             cols = results(own.raw, None, own.begins, own.ends, covered, text)
@@ -362,19 +394,23 @@ def suffix_array_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", c
     scratch = common.Scratch(spark)
     rows = keyed(df, key, text, carry or {"doc_id": F.col(key).cast("long")})
     blocks = ordered_blocks(rows, spec.block_bytes, scratch)
-    buckets = count_buckets(blocks)
+    buckets = count_buckets(blocks, BUCKET_BYTES)
     units = blocks.select("block", "data")
     scale = spark.sparkContext.broadcast(scale_of(units, spec))
-    ranks = scratch.save(units.mapInArrow(_send_keys(spec, scale, buckets), SENT).groupBy("k").applyInArrow(rank, SENT), "ranks")
-    common.release(spark)
-    sent = units.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(_send_suffixes(spec, scale, buckets), SENT)
-    answers = scratch.save(sent.groupBy("k").applyInArrow(sort_suffixes(spec), SENT), "suffixes")
+    answers = []
+    for p in range(PASSES):
+        part = Part(buckets, p * buckets // PASSES, (p + 1) * buckets // PASSES - 1)
+        ranks = scratch.save(units.mapInArrow(_send_keys(spec, scale, part), SENT).groupBy("k").applyInArrow(rank, SENT), f"ranks-{p}")
+        common.release(spark)
+        sent = units.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(_send_suffixes(spec, scale, part), SENT)
+        answers.append(scratch.save(sent.groupBy("k").applyInArrow(sort_suffixes(spec), SENT).withColumn("pass", F.lit(p)), f"suffixes-{p}"))
+        del ranks, sent
+        scratch.drop(f"ranks-{p}")
+        common.release(spark)
     scale.destroy()
-    scratch.drop("ranks")
-    del ranks, sent
-    common.release(spark)
+    told = reduce(DataFrame.unionByName, answers)
     result = StructType([rows.schema["_carried"], *RESULT])
-    out = units.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(spec, to_arrow_schema(result), with_text), result)
+    out = units.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_finish(spec, to_arrow_schema(result), with_text), result)
     out = out.withColumnRenamed("n_units", "n_bytes")
     out = out if carry else out.select("_carried.doc_id", *out.columns[1:])
     return out if with_text else out.drop("kept_text")
