@@ -63,7 +63,8 @@ def by_bucket(values: np.ndarray, buckets: int, bits: int) -> list[tuple[int, in
 
 def pack_array(values: np.ndarray) -> bytes:
     """An array, its bytes by place, compressed."""
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    width = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    raw = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(len(values), width)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
