@@ -43,7 +43,7 @@ from lexloom.llm.blocks import RESULT, SENT, by_bucket, count_buckets, frames, k
 
 PREFIXES = 1 << 16
 #: A rank is told by this many bits of its key and 32 more. Bytes of text whose keys one bucket sorts; ranges of buckets.
-KEY_BITS, BUCKET_BYTES, PASSES = 56, 24 << 20, 2
+KEY_BITS, BUCKET_BYTES, PASSES = 56, 16 << 20, 3
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
 
