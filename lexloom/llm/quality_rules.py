@@ -27,6 +27,8 @@ MAX_SYMBOL_WORDS, MAX_CAPITALS, MAX_SEPARATORS, MIN_DISTINCT = 0.3, 0.6, 0.2, 0.
 SEPARATORS = ("|", ">", "»", "·", "•", "/")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 BOILERPLATE = re.compile(r"\b(?:cookies?|javascript|all rights reserved|terms of (?:use|service)|privacy policy|subscribe|sign up|log ?in|click here|is licensed under)\b", re.I)
+#: Where a sentence ends within a line. A line fails as boilerplate if such sentences are half of it, however long it is.
+SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 TERMINAL = tuple(".!?:;\"'»”)…。！？")
 #: A line of fewer words needs no capitals, distinct-words or symbol statistics; a shorter one without end mark counts as a menu entry.
 SHORT_LINE, MENU_LINE = 8, 3
@@ -51,7 +53,7 @@ def line_fails(line: str, words: list[str]) -> str | None:
             return "stutter"
     elif n < MENU_LINE and not line.rstrip().endswith(TERMINAL):
         return "menu"
-    if len(line) < 400 and BOILERPLATE.search(line):
+    if BOILERPLATE.search(line) and 2 * sum(len(x) for x in SENTENCE.split(line) if BOILERPLATE.search(x)) >= len(line):
         return "boilerplate"
     return None
 
