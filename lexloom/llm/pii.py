@@ -3,10 +3,11 @@
 The model is trained in numpy on labelled windows of characters: windows of a bounded sample of documents (those with the
 least hashes of their ids, at most SAMPLE) labelled with their base matches, half of them with further personal data put in,
 some of it written as the base patterns miss it. It then tags every character of every text: texts are cut into overlapping
-windows, all windows of a slice are run at once, step by step, and each window is decoded by Viterbi. Windows overlap by
-2 * MARGIN characters; of each overlap, each window gives the half that is farther from its edge, and runs of tags that meet
-there become one span. A window in which no path can beat the one without personal data (a bound over emissions and
-transitions shows it) isn't decoded: the result is the same.
+windows, all windows of a slice are run at once, step by step. Windows overlap by 2 * MARGIN characters. A window in which no
+path can beat the one without personal data (a bound over emissions and transitions shows it) is left out. What is left is
+reconciled over the whole text: neighbouring windows are joined to one chain, in which each character has the emissions of
+the window from whose edge it is farther, and one Viterbi path is decoded for the chain, so that a span of any length that
+crosses from window to window is decoded as one.
 
 Predicted spans are trimmed and checked for the digits or parts that their kind must have; those that overlap a base span
 are dropped, since base spans stay as they are.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, SAMPLE_CHARS = 600, 4_000_000
+SAMPLE, SAMPLE_CHARS, PIECE = 600, 4_000_000, 100_000
 #: Hidden units of a direction; window, margin and windows run at once; training steps and batch.
 HIDDEN, WINDOW, MARGIN, BATCH = 8, 176, 12, 1024
 STEPS, TRAIN_BATCH, TRAIN_WINDOW = 220, 128, 56
@@ -173,19 +174,16 @@ class Tagger:
             tags[t - 1] = back[t, np.arange(n), tags[t]]
         return tags
 
-    def tag(self, symbols: np.ndarray) -> np.ndarray:
-        """Tags [time, batch]; batches whose every path with another tag scores less than all-O aren't decoded."""
-        e = self.emissions(symbols)
+    def worth(self, e: np.ndarray) -> np.ndarray:
+        """False for batches of emissions [time, tag, batch] in which no path with another tag scores more than all-O."""
         tr = self.p["t"]
-        # A path gains at most its emissions over O's and, for each step, its transition over that from O to O.
+        # A run of other tags gains at most its emissions over O's, a step inside for each but the first, its entry (none for a
+        # run that begins the window) and its leaving. If every tag alone loses that much, so does every run.
         gain = e[:, 1:].max(1) - e[:, 0]
         enter, inside, leave = tr[0, 1:].max() - tr[0, 0], tr[1:, 1:].max() - tr[0, 0], tr[1:, 0].max() - tr[0, 0]
-        ever = max(0.0, enter + max(0.0, leave)) + gain + max(0.0, inside) > 0  # a run's first tag pays the entry
-        worth = ever.any(0)
-        tags = np.zeros(symbols.shape, np.int8)
-        if worth.any():
-            tags[:, worth] = self.viterbi(np.ascontiguousarray(e[:, :, worth].transpose(0, 2, 1)))
-        return tags
+        ends = np.full((len(e), 1), max(0.0, enter + max(0.0, leave)))
+        ends[0] = max(ends[0, 0], leave, 0.0)
+        return (ends + gain + max(0.0, inside) > 0).any(0)
 
     # Training -----------------------------------------------------------------------------------------------------
 
@@ -314,17 +312,20 @@ def labelled_windows(texts: list[str], seed: int = 3, count: int = 2400) -> tupl
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Tagger:
-    """Trains on at most SAMPLE documents, those with the least hashes of their ids and texts of bounded total length."""
-    rank = F.xxhash64(F.lit("pii"), F.col(key).cast("long"))
+    """Trains on at most SAMPLE documents, those with the least hashes of their ids and texts, and SAMPLE_CHARS characters. Of a
+    text of more than PIECE characters the sample takes a piece of that length, from a place that its hash chooses."""
+    whole = F.col(text).cast("string")
+    mixed = F.xxhash64(F.lit("pii"), F.col(key).cast("long"), whole)
+    begin = F.pmod(mixed, F.greatest(F.length(whole) - PIECE, F.lit(0)) + 1).cast("int") + 1
     # The ranks alone first: they are small, so that only the sampled texts travel.
-    sizes = docs.select(rank.alias("r"), F.length(text).alias("n")).where("n > 0").orderBy("r").limit(SAMPLE).collect()
+    sizes = docs.select(mixed.alias("r"), F.least(F.length(whole), F.lit(PIECE)).alias("n")).where("n > 0").orderBy("r").limit(SAMPLE).collect()
     total, limit = 0, None
     for row in sizes:
         total += row["n"]
         if total > SAMPLE_CHARS:
             break
         limit = row["r"]
-    rows = docs.where(rank <= limit).select(rank.alias("r"), F.col(text).cast("string").alias("t")).where("length(t) > 0").orderBy("r", "t").limit(SAMPLE).collect() if limit is not None else []
+    rows = docs.where(mixed <= limit).select(mixed.alias("r"), F.substr(whole, begin, F.lit(PIECE)).alias("t")).where("length(t) > 0").orderBy("r", "t").limit(SAMPLE).collect() if limit is not None else []
     tagger = Tagger()
     tagger.train(*labelled_windows([row["t"] for row in rows]))
     return tagger
@@ -345,25 +346,20 @@ def sound(kind: int, found: str) -> bool:
 
 
 def tag_texts(tagger: Tagger, texts: list[str]) -> list[np.ndarray | None]:
-    """Tags of every character, from overlapping windows; None for texts without any."""
+    """Tags of every character, decoded over chains of overlapping windows; None for texts without any."""
     step = WINDOW - 2 * MARGIN
     padded = [np.concatenate([np.full(MARGIN, 95, np.uint8), symbols_of(t)]) if t else np.zeros(0, np.uint8) for t in texts]
     where: list[tuple[int, int]] = []
-    out: list[np.ndarray | None] = [None] * len(texts)
+    held: dict[tuple[int, int], np.ndarray] = {}
 
     def run(batch: list[tuple[int, int]]) -> None:
         x = np.full((len(batch), WINDOW), 95, np.uint8)
         for k, (i, a) in enumerate(batch):
             piece = padded[i][a : a + WINDOW]
             x[k, : len(piece)] = piece
-        tags = tagger.tag(np.ascontiguousarray(x.T))[MARGIN : WINDOW - MARGIN].T
-        for k in np.flatnonzero(tags.any(1)).tolist():
-            i, a = batch[k]
-            n = len(texts[i])
-            if out[i] is None:
-                out[i] = np.zeros(n, np.int8)
-            end = min(n, a + step)
-            out[i][a:end] = tags[k, : end - a]
+        e = tagger.emissions(np.ascontiguousarray(x.T))
+        for k in np.flatnonzero(tagger.worth(e)).tolist():
+            held[batch[k]] = e[:, :, k].copy()
 
     for i, t in enumerate(texts):
         where += [(i, a) for a in range(0, len(t), step)]
@@ -372,6 +368,32 @@ def tag_texts(tagger: Tagger, texts: list[str]) -> list[np.ndarray | None]:
             where = where[BATCH:]
     if where:
         run(where)
+    chains: dict[int, list[list[tuple[int, int]]]] = {}
+    last: list[tuple[int, int]] = []
+    for at in sorted(held):
+        if last and at == (last[-1][0], last[-1][1] + step):
+            last.append(at)
+            continue
+        if last:
+            chains.setdefault(len(last), []).append(last)
+        last = [at]
+    if last:
+        chains.setdefault(len(last), []).append(last)
+    out: list[np.ndarray | None] = [None] * len(texts)
+    for size, group in chains.items():
+        for begin in range(0, len(group), max(1, BATCH // size)):
+            part = group[begin : begin + max(1, BATCH // size)]
+            e = np.empty((step * (size - 1) + WINDOW, len(part), TAGS), np.float32)
+            for n, chain in enumerate(part):
+                for j, key in enumerate(chain):
+                    lo, hi = MARGIN * (j > 0), WINDOW - MARGIN * (j < size - 1)
+                    e[j * step + lo : j * step + hi, n] = held[key][lo:hi]
+            tags = tagger.viterbi(e)
+            for n in np.flatnonzero(tags.any(0)).tolist():
+                i, a = part[n][0]
+                own = out[i] = np.zeros(len(texts[i]), np.int8) if out[i] is None else out[i]
+                lo, hi = max(0, a - MARGIN), min(len(own), a - MARGIN + len(tags))
+                own[lo:hi] = np.maximum(own[lo:hi], tags[lo - a + MARGIN : hi - a + MARGIN, n])
     return out
 
 
