@@ -9,8 +9,9 @@ of chance occurrences in a text of that length is small. The best segment and th
 document's score through a logistic curve.
 
 Labels are learnt from at most SAMPLE labelled rows, those with the least hashes among rows whose crc32(doc_id) mod 5 isn't
-0: two thirds give the log-odds, one third the calibration. Token counts of the prior cover all documents. The vocabulary is
-the at most VOCAB tokens that stand in most lines of the sample.
+0: two thirds give the log-odds, one third the calibration. Token counts of the prior cover all documents. Every token of
+the sample takes part; its counts in the corpus are looked up where some prior could make its log-odds significant, so that
+only such tokens come to the driver.
 
 Defined results: null or empty text has no segments and gets the score of a text without any; repeated rows are scored each
 for itself; a null doc_id isn't held out and never learnt from; labels that are null aren't used; without both labels in
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import common
 
-SAMPLE, VOCAB, MIN_DOCS = 20_000, 100_000, 5
+SAMPLE = 20_000
 #: Lengths in bytes of the words' beginnings that are scored beside the words; inflection leaves them as they are.
 #: Weight of the prior in tokens, least |z| and log-odds of a scoring token, toll of every token.
 PREFIXES = (4, 5, 6, 7)
@@ -153,41 +154,81 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def _count_words(vocab: dict[bytes, int] | None):
-    """Per partition: lines that hold a word, by class; with a vocabulary, occurrences of its words."""
+def _count_words(wanted: frozenset[bytes] | None):
+    """Per partition, by mark: lines that hold it, by class; or, for the wanted marks, occurrences (clean) with all marks' number under b""."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: list[Counter] = [Counter(), Counter()]
-        docs: Counter = Counter()
         raw: Counter = Counter()
 
-        def expand() -> None:
+        def rows() -> pa.RecordBatch:
             for w, n in raw.items():
-                for m in marks(w):
-                    if m in vocab:
+                own = marks(w)
+                by[0][b""] += n * len(own)
+                for m in own:
+                    if m in wanted:
                         by[0][m] += n
             raw.clear()
+            words = list(by[0] | by[1])
+            cols = [pa.array(words, pa.binary()), pa.array([by[0][w] for w in words], pa.int64()), pa.array([by[1][w] for w in words], pa.int64())]
+            by[0].clear()
+            by[1].clear()
+            return pa.RecordBatch.from_arrays(cols, names=["word", "clean", "toxic"])
 
         for b in batches:
             for t, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if vocab is None:
-                    words = {m for w in set(tokens(t)) for m in marks(w)}
-                    by[toxic].update(words)
-                    docs.update(words)
+                if wanted is None:
+                    by[toxic].update({m for w in set(tokens(t)) for m in marks(w)})
                 else:
                     raw.update(tokens(t))
-            if vocab is not None and (len(raw) > 300_000):
-                expand()
-        if vocab is not None:
-            expand()
-        words = list(by[0] | by[1])
-        cols = [pa.array(words, pa.binary()), pa.array([by[0][w] for w in words], pa.int64()), pa.array([by[1][w] for w in words], pa.int64()), pa.array([docs[w] for w in words], pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["word", "clean", "toxic", "docs"])
+            if max(len(raw), len(by[0]) + len(by[1])) > 300_000:
+                yield rows()
+        yield rows()
 
     return run
 
 
-COUNTS = "word binary, clean long, toxic long, docs long"
+COUNTS = "word binary, clean long, toxic long"
+
+
+def log_odds(clean: np.ndarray, toxic: np.ndarray, alpha: np.ndarray, all_clean: float, all_toxic: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds and z of tokens under priors alpha, which sum to PRIOR over all tokens."""
+    odds = lambda y, n: np.log(y + alpha) - np.log(np.maximum(1e-9, n + PRIOR - y - alpha))
+    delta = odds(toxic, all_toxic) - odds(clean, all_clean)
+    return delta, delta / np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
+
+
+def prior(corpus: np.ndarray, total: float, n: int, clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """PRIOR tokens dealt out by the corpus counts, to none more than the sample has."""
+    return np.minimum(PRIOR * (corpus + 0.5) / (total + 0.5 * n), np.maximum(0.5, clean + toxic))
+
+
+def _may_score(all_clean: float, all_toxic: float):
+    """Keeps the tokens that some prior would let score: z is tried over its whole range, with a margin for what lies between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean, toxic = (b.column(i).to_numpy().astype(float) for i in (1, 2))
+            top, best = np.maximum(0.5, clean + toxic), np.zeros(b.num_rows)
+            for k in range(49):
+                best = np.maximum(best, np.abs(log_odds(clean, toxic, top * 10 ** (-k / 8), all_clean, all_toxic)[1]))
+            yield b.filter(pa.array(best >= 0.9 * MIN_Z))
+
+    return run
+
+
+def _values(score: Scores):
+    """Scores of the clean lines' words with their number; a beginning stands for the words it scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not w.startswith(b"^"):
+                    total[score[w]] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())], names=["value", "n"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
@@ -204,31 +245,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     learn = sample.where("fold < 2")
     # Different lines count once a class, and a word once a line: copies and bursts tell nothing new.
     lines = learn.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"), "toxic").distinct()
-    counted = lines.mapInArrow(_count_words(None), COUNTS).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "docs")))
-    sums = counted.agg(F.sum("clean"), F.sum("toxic")).first()
-    kept = counted.where(F.col("docs") >= MIN_DOCS).orderBy(F.desc("docs"), "word").limit(VOCAB).toArrow()
+    counted = scratch.save(lines.mapInArrow(_count_words(None), COUNTS).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic"))), "counted")
+    sums = counted.agg(F.sum("clean"), F.sum("toxic"), F.count("*")).first()
+    all_clean, all_toxic, n_marks = float(sums[0] or 0), float(sums[1] or 0), sums[2]
+    kept = counted.mapInArrow(_may_score(all_clean, all_toxic), COUNTS).orderBy("word").toArrow()
     words = kept["word"].to_pylist()
     clean, toxic = (kept[c].to_numpy().astype(float) for c in ("clean", "toxic"))
-    if not words:
-        return Model(Scores({}), 1.0, 1.0, [], constant=n_toxic / n_all)
-    index = {w: i for i, w in enumerate(words)}
-    everywhere = docs.select(F.col(text).cast("string"), F.lit(0).alias("toxic")).mapInArrow(_count_words(index), COUNTS)
-    corpus = np.zeros(len(words))
-    for r in everywhere.groupBy("word").agg(F.sum("clean").alias("n")).collect():  # at most VOCAB rows
-        corpus[index[bytes(r["word"])]] = r["n"]
-    alpha = PRIOR * (corpus + 0.5) / (corpus.sum() + 0.5 * len(words))
-    alpha = np.minimum(alpha, np.maximum(0.5, (clean + toxic)))
-    total = alpha.sum()
-    odds = lambda y, n: np.log(y + alpha) - np.log(np.maximum(1e-9, n + total - y - alpha))
-    delta = odds(toxic, float(sums[1] or 0)) - odds(clean, float(sums[0] or 0))
-    z = delta / np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
+    wanted = frozenset(words)
+    everywhere = docs.select(F.col(text).cast("string"), F.lit(0).alias("toxic")).mapInArrow(_count_words(wanted), COUNTS)
+    found = {bytes(r["word"]): r["n"] for r in everywhere.groupBy("word").agg(F.sum("clean").alias("n")).collect()}  # the wanted marks and their total
+    corpus = np.array([found.get(w, 0) for w in words], float)
+    delta, z = log_odds(clean, toxic, prior(corpus, float(found.get(b"", 0)), n_marks, clean, toxic), all_clean, all_toxic)
     use = (np.abs(z) >= MIN_Z) & (np.abs(delta) >= MIN_ODDS)
     score = Scores({w: (abs(float(t)), float(d)) for w, d, t, u in zip(words, delta, z, use, strict=True) if u})
-    # The distribution of scores over the clean lines' words; a beginning stands for the words it scores.
-    spread: Counter = Counter()
-    for w, n in zip(words, clean.tolist(), strict=True):
-        if not w.startswith(b"^"):
-            spread[score[w] - TOLL] += n
+    # The distribution of scores over the clean lines' words.
+    dealt = counted.mapInArrow(_values(score), "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy("value").collect()
+    spread = Counter({r["value"] - TOLL: r["n"] for r in dealt})
     values, p = np.array(list(spread)), np.array(list(spread.values())) + 1e-9
     p /= p.sum()
     mean = float((p * values).sum())
