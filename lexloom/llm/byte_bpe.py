@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
-Pre-tokenisation is vectorised: every code point of a slice of texts gets a class (letter, number, blank, other), and the
-places where a piece begins follow from transition functions over neighbouring classes. The automaton of the pattern
-forgets everything but a window of four code points, so its transition functions compose by shifts of whole arrays. The
-resulting byte slices go through a cache of merged pieces; ids are kept packed, and byte offsets of pieces are known, so
-that decoding is a gather. A map over whole texts: no shuffle; the cache is bounded by CACHE entries.
+Pre-tokenisation is vectorised: every code point of a slice of texts gets a symbol (letter, number, space, other blank,
+other, or an apostrophe before an ending), and a symbol is a transition function over the eight states of the pattern's
+automaton. Functions are composed by an associative scan: LANE code points in every lane, all lanes at once, then the lanes
+by doubling; the states that result tell where pieces begin. The byte slices of pieces go through a cache of merged pairs.
+Ids are kept packed; the vocabulary is one array of bytes with offsets, so that decoding is a gather. A map over whole
+texts: no shuffle; the cache is bounded by CACHE entries.
 
 Defined results: null or empty text has no ids; repeated rows are encoded each for itself; a null doc_id is kept.
 """
@@ -43,36 +44,80 @@ def classes() -> np.ndarray:
     return out
 
 
+#: States after a code point: within letters, numbers or others; after a space or another blank; one or two letters before the
+#: end of an ending such as 's or 're; after it, and before a text.
+IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, AFTER_BLANK, ONE_LEFT, TWO_LEFT, DONE = range(8)
+SPACE, ENDING_OF_ONE, ENDING_OF_TWO, SYMBOLS, STATES, LANE = 4, 5, 6, 7, 8, 64
+
+
+@lru_cache(1)
+def automaton() -> tuple[np.ndarray, np.ndarray]:
+    """For every symbol and state: the state that follows, and whether a piece begins. Of blanks a piece may begin at the last, too."""
+    follows, begins = np.zeros((SYMBOLS, STATES), np.uint8), np.ones((SYMBOLS, STATES), bool)
+    for symbol, state in ((LETTER, IN_LETTERS), (NUMBER, IN_NUMBERS), (OTHER, IN_OTHERS)):
+        follows[symbol] = state
+        begins[symbol, [state, AFTER_SPACE]] = False
+    follows[LETTER, TWO_LEFT], follows[LETTER, ONE_LEFT] = ONE_LEFT, DONE
+    begins[LETTER, [TWO_LEFT, ONE_LEFT]] = False
+    for symbol, state in ((SPACE, AFTER_SPACE), (BLANK, AFTER_BLANK)):
+        follows[symbol] = state
+        begins[symbol, [AFTER_SPACE, AFTER_BLANK]] = False
+    for symbol, state in ((ENDING_OF_ONE, ONE_LEFT), (ENDING_OF_TWO, TWO_LEFT)):
+        follows[symbol] = state
+        follows[symbol, [IN_OTHERS, AFTER_SPACE]] = IN_OTHERS
+        begins[symbol, [IN_OTHERS, AFTER_SPACE]] = False
+    return follows, begins
+
+
+def symbols_of(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The symbol of every code point; an apostrophe before s, t, d, m or re, ve, ll of the same text has its own."""
+    out = classes()[points]
+    out[points == 0x20] = SPACE
+    marks, n = np.flatnonzero(points == 0x27), len(points)
+    if len(marks):
+        text = np.cumsum(first)
+        at = lambda k: np.where((marks + k < n) & (text[np.minimum(marks + k, n - 1)] == text[marks]), points[np.minimum(marks + k, n - 1)], 0)
+        one, two = at(1), at(2)
+        out[marks[np.isin(one, [ord(c) for c in "stmd"])]] = ENDING_OF_ONE
+        out[marks[((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))]] = ENDING_OF_TWO
+    return out
+
+
+def states_before(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The state before every code point, by a scan over composed transition functions. A text begins in DONE, whatever was before."""
+    follows = automaton()[0]
+    n = len(symbols)
+    lanes = -(-n // LANE)
+    # A text's first code point has a constant function: such symbols are numbered behind the others.
+    table = np.concatenate([follows, np.repeat(follows[:, DONE :], STATES, axis=1)]).ravel()
+    code = np.zeros(lanes * LANE, np.int16)
+    code[:n] = (symbols + SYMBOLS * first.astype(np.uint8)).astype(np.int16) * STATES
+    code = np.ascontiguousarray(code.reshape(lanes, LANE).T)
+    whole = np.repeat(np.arange(STATES, dtype=np.uint8)[:, None], lanes, axis=1)  # state before a lane -> state after it
+    for k in range(LANE):
+        whole = table[code[k] + whole]
+    shift = 1
+    while shift < lanes:  # f[i] after f[i - shift]
+        whole[:, shift:] = np.take_along_axis(whole[:, shift:], whole[:, :-shift].astype(np.intp), axis=0)
+        shift *= 2
+    state = np.full(lanes, DONE, np.uint8)
+    state[1:] = whole[DONE, :-1]
+    out = np.empty((LANE, lanes), np.uint8)
+    for k in range(LANE):
+        out[k] = state
+        state = table[code[k] + state]
+    out = out.T.ravel()[:n]
+    out[first] = DONE
+    return out
+
+
 def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     """True where a piece begins. points: the code points of texts put together; first: True where a text begins."""
-    n = len(points)
-    kind = classes()[points]
-    blank = kind == BLANK
-    before = np.empty(n, np.uint8)
-    before[0], before[1:] = 255, kind[:-1]
-    before[first] = 255
-    space_before = np.zeros(n, bool)
-    space_before[1:] = points[:-1] == 0x20
-    space_before &= ~first
-    more = np.zeros(n, bool)  # a code point of the same text follows
-    more[:-1] = ~first[1:]
-    blank_after = np.zeros(n, bool)
-    blank_after[:-1] = blank[1:]
-    # A run of blanks gives all but its last one to one piece; the last begins the next piece, and a space joins what follows.
-    start = np.where(blank, (before != BLANK) | (more & ~blank_after), (kind != before) & ~space_before)
-    start |= first
-    # 's 't 're 've 'm 'll 'd, where the apostrophe begins a piece of its own.
-    mark = np.flatnonzero((points == 0x27) & start & ~space_before)
-    if len(mark):
-        at = lambda k: np.where((mark + k < n) & ~np.logical_or.reduce([first[np.minimum(mark + j, n - 1)] for j in range(1, k + 1)]), points[np.minimum(mark + k, n - 1)], 0)
-        one, two = at(1), at(2)
-        short = np.isin(one, [ord(c) for c in "stmd"])
-        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
-        for hit, size in ((mark[short], 2), (mark[long & ~short], 3)):
-            for k in range(1, size):
-                start[hit + k] = False
-            end = hit + size
-            start[end[end < n]] |= True
+    symbols = symbols_of(points, first)
+    start = automaton()[1].ravel()[symbols.astype(np.intp) * STATES + states_before(symbols, first)]
+    # The last of several blanks begins a piece if something else follows it in its text.
+    blank = (symbols == BLANK) | (symbols == SPACE)
+    start[:-1] |= blank[:-1] & ~blank[1:] & ~first[1:]
     return start
 
 
@@ -82,17 +127,15 @@ class Codec:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes_of = {v: k for k, v in self.ranks.items()}
+        by_id = sorted(self.ranks.items(), key=lambda e: e[1])
+        # All tokens' bytes in one array; offsets by id, gaps between ids empty.
+        sizes = np.zeros(by_id[-1][1] + 1 if by_id else 0, np.int64)
+        sizes[[v for _, v in by_id]] = [len(k) for k, _ in by_id]
+        self.vocabulary, self.ends = np.frombuffer(b"".join(k for k, _ in by_id), np.uint8), np.cumsum(sizes)
+        self.begins = self.ends - sizes
         self.packed: dict[bytes, bytes] = {}
         self.whole = {k: v.to_bytes(4, "little") for k, v in self.ranks.items()}
         self.packed.update(self.whole)
-        self.core = None
-        try:  # the same merging, compiled; the loops below serve where it isn't installed
-            import tiktoken
-
-            self.core = tiktoken.Encoding("ranks", pat_str=r"[\s\S]", mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
-        except (ImportError, AttributeError):
-            pass
 
     def merge(self, piece: bytes) -> list[int]:
         """Merges the neighbouring pair of lowest rank again and again."""
@@ -138,9 +181,8 @@ class Codec:
         return [ranks[p] for p in alive if p is not None]
 
     def learn(self, missing: list[bytes]) -> None:
-        merge = self.core or self.merge
         for p in missing:
-            ids = merge(p)
+            ids = self.merge(p)
             self.packed[p] = pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -170,7 +212,12 @@ class Codec:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of all ids, gathered by their offsets."""
+        which = np.frombuffer(ids, "<u4")
+        begins, sizes = self.begins[which], self.ends[which] - self.begins[which]
+        ends = np.cumsum(sizes)
+        places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
+        return self.vocabulary[places].tobytes()
 
 
 @lru_cache(4)

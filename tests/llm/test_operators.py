@@ -75,14 +75,11 @@ def test_byte_bpe_is_the_library(spark):
     whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     rng = random.Random(1)
     parts = ["'", "'s", "'re", "'ll", " ", "  ", "\n", "\t", "a", "re", "é", "1", "23", "!", "..", " ", "漢", "🙂", "́", "\x1c", "\x85", "٣", "v"]
-    for core in (codec.core, None):
-        codec.core = core
-        codec.packed = dict(codec.whole)
-        for _ in range(400):
-            texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4)]
-            for t, ids in zip(texts, codec.encode(texts), strict=True):
-                assert np.frombuffer(ids, "<u4").tolist() == whole.encode_ordinary(t)
-                assert codec.decode(ids) == t.encode()
+    for _ in range(800):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.choice([3, 14, 14, 200]))) for _ in range(4)]
+        for t, ids in zip(texts, codec.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode_ordinary(t)
+            assert codec.decode(ids) == t.encode()
 
 
 def test_packing_is_best_fit_decreasing():
