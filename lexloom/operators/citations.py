@@ -1,95 +1,250 @@
-"""Citation occurrences in blocks of text, and the links of short forms."""
+"""Citation occurrences in documents, and the links of short forms.
+
+A block is read by recognisers, one for each kind of citation, in a fixed order of precedence. Each looks for the one token
+that gives its kind away (a reporter, "Id.", "v.", a code, a rule), and reads on from there with a cursor. What a recogniser
+of a lower rank finds is dropped where something was accepted before it; full citations stand even where they meet.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from lexloom.functions import text as T
 from lexloom.functions.citations import REPORTER
 
-_WORD = r"(?<![A-Za-z0-9_])"
-_PAGE = r"\*?\d{1,7}(?:[-–]\d{1,7})?"
-_NAME = r"[A-Z][\w&'’.()-]*"
-FULL = re.compile(rf"{_WORD}(\d{{1,4}})\s+({REPORTER})\s+(\d{{1,9}})", re.A)
-SHORT = re.compile(rf"{_WORD}(\d{{1,4}})\s+({REPORTER})\s+at\s+({_PAGE}(?:\s+n\.?\s*\d+)?)", re.A)
-IBID = re.compile(rf"{_WORD}(?:Id\.|Ibid\.)\s*(?:at\s+({_PAGE}))?", re.I | re.A)
-NAMED = re.compile(rf"{_WORD}({_NAME}(?:\s+{_NAME}){{0,8}}\s+v\.\s+{_NAME}(?:\s+{_NAME}){{0,8}})", re.A)
-STATUTE = re.compile(rf"{_WORD}(?:\d+\s+U\.?\s*S\.?\s*C\.?(?:\s*§+)?\s*[\w().–-]+|MCL\s+\d[\w.()–-]*|[A-Z][A-Za-z. ]+\s+(?:Code|Laws?)\s*§+\s*[\w().–-]+)", re.A)
-RULE = re.compile(rf"{_WORD}(?:Fed\.?\s+R\.?\s+(?:Civ|Crim|App)\.?\s+P\.?|[A-Z][A-Za-z. ]+\s+(?:Court\s+)?R(?:ule)?\.?)\s*\d[\w.()–-]*", re.A)
-PARTIES = re.compile(r"([A-Z][\w&'’.,() -]{0,100}?\s+v\.?\s+[A-Z][\w&'’.,() -]{1,100}?)\s*,?\s*$", re.A)
-TAIL = re.compile(rf"\s*(?:,\s*({_PAGE}))?\s*(?:\(([^()]{{0,120}})\))?")
-QUOTED = re.compile(r"[\"“]([^\"“”]{5,1200})[\"”]")
-
-COLUMNS = "kind string, authority_type string, raw_citation string, case_name string, norm_citation string, root string, pincite string, cited_year string, quotation string, start_at int, end_at int"
-
-
-def _key(reporter: str) -> str:
-    return re.sub("[^a-z0-9]+", "", reporter.lower())
-
-
-def _quotation(text: str, at: int) -> str | None:
-    """The last quoted passage that ends shortly before a place."""
-    begin = max(0, at - 1500)
-    found = list(QUOTED.finditer(text, begin, at))
-    return found[-1][1] if found and at - found[-1].end() <= 450 else None
-
-
-def occurrences_in(text: str) -> list[tuple]:
-    """Rows of COLUMNS in the order of passes; a later pass leaves accepted spans alone."""
-    out: list[tuple] = []
-    free = lambda a, b: not any(s < b and a < e for *_, s, e in out)
-
-    def put(kind, type_, m, end, name=None, norm=None, root=None, pin=None, year=None):
-        out.append((kind, type_, text[m.start() : end].strip(), name, norm, root, pin, year, _quotation(text, m.start()), m.start(), end))
-
-    for m in FULL.finditer(text):
-        tail = TAIL.match(text, m.end(), min(len(text), m.end() + 180))
-        before = re.split(r"[;\n]", text[max(0, m.start() - 230) : m.start()])[-1]
-        parties = PARTIES.search(before)
-        years = re.findall(r"(?<!\d)(?:18|19|20)\d\d(?!\d)", tail[2] or "")
-        root = f"{int(m[1])}:{_key(m[2])}"
-        put("full", "case", m, tail.end() if tail[1] or tail[2] else m.end(), parties and parties[1].strip("*_ ,"), f"{root}:{int(m[3])}", root, tail[1], years[-1] if years else None)
-    for m in SHORT.finditer(text):
-        if free(*m.span()):
-            put("short_form", "case", m, m.end(), root=f"{int(m[1])}:{_key(m[2])}", pin=m[3])
-    for m in IBID.finditer(text):
-        if free(*m.span()):
-            put("id", "unknown", m, m.start() + len(m[0].rstrip()), pin=m[1])
-    for m in NAMED.finditer(text):
-        if free(*m.span()) and not FULL.search(text, m.end(), m.end() + 80):
-            put("name_only", "case", m, m.end(), name=m[1])
-    for type_, pattern in (("statute", STATUTE), ("rule", RULE)):
-        for m in pattern.finditer(text):
-            if free(*m.span()):
-                put("unsupported", type_, m, m.end())
-    return out
-
-
-def occurrences(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per citation, numbered within its document by block and place. The extraction is a map over blocks."""
-    kinds = dict(blocks.dtypes)
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
-
-    def run(batches):
+# How far names, tails and quotations may lie from a citation, in characters.
+NAME_REACH, TAIL_REACH, FOLLOWED_BY, QUOTE_REACH, QUOTE_GAP, QUOTE_LEAST, QUOTE_MOST = 230, 180, 80, 1500, 450, 5, 1200
+
+PAGES = r"\*?\d{1,7}(?:[-–]\d{1,7})?"
+NOTED = rf"{PAGES}(?:\s+n\.?\s*\d+)?"
+VOLUME = {short: re.compile(rf"\b(?P<volume>\d{{1,4}})\s+(?P<reporter>{REPORTER})\s+(?={ahead})", re.A) for short, ahead in ((False, r"\d"), (True, rf"at\s+\*?\d"))}
+FIRST_PAGE, AT_PAGE = re.compile(r"\d{1,9}", re.A), re.compile(rf"at\s+(?P<pages>{NOTED})", re.A)
+PINPOINT = re.compile(rf"\s*,\s*(?:at\s+)?(?P<pages>{NOTED})", re.A | re.I)
+AFTER_PIN = re.compile(r"\s*(?:\([^\n)]*\)|[.;:]|\Z)")
+IN_BRACKETS = re.compile(r"\s*(?P<note>\([^\n)]{2,120}\))")
+YEAR = re.compile(r"\b(?:18|19|20)\d{2}\b", re.A)
+BACKWARD = re.compile(r"\b(?:id\.|ibid\.)\s*", re.A | re.I)
+SAME_AT = re.compile(rf"at\s+(?P<pages>{PAGES})", re.A | re.I)
+CAPITAL = r"[A-Z][A-Za-z0-9&'’.()\-]*"
+SIDE = rf"{CAPITAL}(?:\s+{CAPITAL}){{0,8}}"
+PARTIES = re.compile(rf"\b{SIDE}\s+v\.\s+{SIDE}\b", re.A)
+IN_NAME = r"A-Za-z0-9&'’.,()\- "
+NAMED = re.compile(rf"[A-Z][{IN_NAME}]{{0,100}}?\s+v\.?\s+[A-Z][{IN_NAME}]{{1,100}}?(?=\s*,?\s*\Z)")
+CITED_NEXT = re.compile(rf"\s*,?\s*\d{{1,4}}\s+{REPORTER}\s+\d", re.A | re.I)
+QUOTED = re.compile(rf"[“\"]([^“”\"\n]{{{QUOTE_LEAST},{QUOTE_MOST}}})[”\"]")
+SENTENCE_END = re.compile(r"[.?!] ")
+SECTION = r"[\w().–-]+"
+CODES = re.compile(rf"\b(?:\d+\s+U\.?\s*S\.?\s*C\.?(?:\s*§+)?\s*{SECTION}|MCL\s+\d{SECTION[:-1]}*|[A-Z][A-Za-z. ]+\s+(?:Code|Laws?)\s*§+\s*{SECTION})", re.A)
+RULES = re.compile(r"\b(?:Fed\.?\s+R\.?\s+(?:Civ|Crim|App)\.?\s+P\.?|[A-Z][A-Za-z. ]+\s+(?:Court\s+)?R(?:ule)?\.?)\s*\d[\w.()–-]*", re.A)
+#: Texts without any of these hold no citation.
+HINT = r"\d|(?i:id\.|ibid\.)|\sv\.\s"
+
+OCCURRENCE = (
+    "kind string, authority_type string, raw_citation string, case_name string, reporter_citation string, norm_citation string, root string, volume string, reporter string, "
+    "first_page string, pincite string, parenthetical string, cited_year string, proposition string, quotation string, start_at int, end_at int"
+)
+FIELDS = [c.split()[0] for c in OCCURRENCE.split(", ")]
+
+
+@dataclass
+class Found:
+    """One occurrence; fields that a kind doesn't have stay None."""
+
+    kind: str
+    authority_type: str
+    start_at: int
+    end_at: int
+    raw_citation: str
+    case_name: str | None = None
+    reporter_citation: str | None = None
+    norm_citation: str | None = None
+    root: str | None = None
+    volume: str | None = None
+    reporter: str | None = None
+    first_page: str | None = None
+    pincite: str | None = None
+    parenthetical: str | None = None
+    cited_year: str | None = None
+    proposition: str | None = None
+    quotation: str | None = None
+
+
+def single(value: str) -> str:
+    return " ".join(value.split())
+
+
+def reporter_key(value: str) -> str:
+    return "".join(x for x in value.lower() if x.isascii() and x.isalnum())
+
+
+@dataclass
+class Block:
+    """A block with what was accepted in it, and its quotations and sentence ends, found once."""
+
+    text: str
+    taken: list[Found] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self._ends: list[int] | None = None
+
+    def free(self, start: int, end: int) -> bool:
+        return all(end <= f.start_at or f.end_at <= start for f in self.taken)
+
+    def sentence(self, start: int, end: int) -> str:
+        """The sentence around a span: from behind the last end before it to the first end behind it."""
+        if self._ends is None:
+            self._ends = [m.start() for m in SENTENCE_END.finditer(self.text)]
+        before, behind = bisect_left(self._ends, start) - 1, bisect_left(self._ends, end)
+        begin = self._ends[before] + 2 if before >= 0 else 0
+        stop = self._ends[behind] + 1 if behind < len(self._ends) else len(self.text)
+        return single(self.text[begin:stop]) or single(self.text)
+
+    def quotation(self, at: int) -> str | None:
+        """The last quoted passage that ends shortly before a place."""
+        begin, last = max(0, at - QUOTE_REACH), None
+        if '"' in self.text or "“" in self.text:
+            for last in QUOTED.finditer(self.text, begin, at):
+                pass
+        return single(last[1]) if last and at - last.end() <= QUOTE_GAP else None
+
+    def name_before(self, at: int) -> tuple[str | None, int]:
+        """The case name that ends right before a place, and where it begins; emphasis marks don't count."""
+        kept = [i for i in range(max(0, at - NAME_REACH), at) if self.text[i] not in "*_"]
+        plain = "".join(self.text[i] for i in kept)
+        cut = max(plain.rfind(";"), plain.rfind("\n")) + 1
+        m = NAMED.search(plain, cut)
+        # places count in the text without marks, from the citation backwards
+        return (single(m[0]), at - len(plain) + m.start()) if m else (None, at)
+
+    def tail(self, at: int) -> tuple[str | None, str | None, int]:
+        """Pages and note in brackets behind a citation, and where they end. Pages count only if a sentence or note may follow."""
+        reach, pages, note = min(len(self.text), at + TAIL_REACH), None, None
+        ahead = self.text[at:reach]
+        here = 0
+        for m in _shorter(PINPOINT, ahead):
+            if AFTER_PIN.match(ahead, m[1]):
+                pages, here = m[0], m[1]
+                break
+        if m := IN_BRACKETS.match(ahead, here):
+            note, here = m["note"], m.end()
+        return pages, note, at + here
+
+    def put(self, f: Found, quoted: bool = True) -> None:
+        f.proposition = self.sentence(f.start_at, f.end_at)
+        f.quotation = self.quotation(f.start_at) if quoted else None
+        self.taken.append(f)
+
+
+def _shorter(pattern: re.Pattern, text: str) -> Iterator[tuple[str, int]]:
+    """The match at the front and its shorter forms, longest first: (pages, end)."""
+    if m := pattern.match(text):
+        whole, first = m["pages"], m.start("pages")
+        ends = {len(whole)} | {k for k in range(1, len(whole)) if re.fullmatch(NOTED, whole[:k], re.A)}
+        yield from ((whole[:k].strip(), first + k) for k in sorted(ends, reverse=True))
+
+
+def _reporters(block: Block, short: bool) -> Iterator[Found]:
+    used = 0
+    for m in VOLUME[short].finditer(block.text):
+        if m.start() < used:  # a page is no volume
+            continue
+        volume, reporter = m["volume"], single(m["reporter"])
+        root = f"{int(volume)}:{reporter_key(reporter)}"
+        if short:
+            if at := AT_PAGE.match(block.text, m.end()):
+                used = at.end()
+                yield Found("short_form", "case", m.start(), at.end(), block.text[m.start() : at.end()], root=root, volume=volume, reporter=reporter, pincite=at["pages"])
+        elif page := FIRST_PAGE.match(block.text, m.end()):
+            used = page.end()
+            pages, note, end = block.tail(used)
+            name, start = block.name_before(m.start())
+            years = YEAR.findall(note or "")
+            raw = re.sub(r"^[,*_\s]+|[*_\s]+$", "", block.text[start:end].strip())
+            yield Found(
+                "full", "case", start, end, raw, name, f"{volume} {reporter} {page[0]}", f"{root}:{int(page[0])}", root, volume, reporter, page[0], pages, note, years[-1] if years else None
+            )
+
+
+def _backward(block: Block) -> Iterator[Found]:
+    for m in BACKWARD.finditer(block.text):
+        at = SAME_AT.match(block.text, m.end())
+        end = at.end() if at else m.end()
+        yield Found("id", "case", m.start(), end, block.text[m.start() : end], pincite=at["pages"] if at else None)
+
+
+def _names(block: Block) -> Iterator[Found]:
+    for m in PARTIES.finditer(block.text):
+        if not CITED_NEXT.match(block.text, m.end(), min(len(block.text), m.end() + FOLLOWED_BY)):
+            yield Found("name_only", "case", m.start(), m.end(), m[0], m[0])
+
+
+def _others(block: Block, pattern: re.Pattern, authority: str) -> Iterator[Found]:
+    for m in pattern.finditer(block.text):
+        yield Found("unsupported", authority, m.start(), m.end(), m[0])
+
+
+def occurrences_in(text: str) -> list[Found]:
+    """The occurrences of one block by place."""
+    block = Block(text)
+    for f in _reporters(block, short=False):
+        block.put(f)
+    for found, quoted in ((_reporters(block, short=True), True), (_backward(block), True), (_names(block), True), (_others(block, CODES, "statute"), False), (_others(block, RULES, "rule"), False)):
+        for f in found:
+            if block.free(f.start_at, f.end_at):
+                block.put(f, quoted)
+    return sorted(block.taken, key=lambda f: (f.start_at, f.end_at))
+
+
+def occurrences(docs: DataFrame, key: str = "doc_id", blocks: Column | None = None) -> DataFrame:
+    """One row per citation of every document, numbered in the order of blocks and places: key, block_no, seq, occ_id, and the fields.
+
+    blocks: an array of a document's block texts; by default the paragraphs of text. A map over documents: the numbers come
+    from the document's own array, so nothing is shuffled, and blocks without a digit, 'Id.' or ' v. ' never reach Python.
+    """
+    given = blocks if blocks is not None else T.paragraphs(F.col("text"))
+    kind = dict(docs.dtypes)[key]
+    schema = f"{key} {kind}, block_no int, seq int, occ_id string, {OCCURRENCE}"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, n, *o) for k, n, t in zip(b[key], b["block_no"], b["text"], strict=True) for o in occurrences_in(t or "")]
-            yield pd.DataFrame(rows, columns=[key, "block_no", *names])
+            cols: list[list] = [[] for _ in target]
+            for doc, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seq = 0
+                for block in held or ():
+                    for f in occurrences_in(block["text"]):
+                        seq += 1
+                        for col, v in zip(cols, (doc, block["no"], seq, f"C{seq:04d}", *(getattr(f, name) for name in FIELDS)), strict=True):
+                            col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, target, strict=True)], schema=target)
 
-    found = blocks.select(key, "block_no", "text").mapInPandas(run, f"{key} {kinds[key]}, block_no {kinds['block_no']}, {COLUMNS}")
-    seq = F.row_number().over(Window.partitionBy(key).orderBy("block_no", "start_at", "end_at"))
-    return found.withColumn("seq", seq).withColumn("occ_id", F.concat(F.lit("C"), F.lpad(F.col("seq").cast("string"), 4, "0")))
+    numbered = F.transform(given, lambda x, i: F.struct((i + 1).cast("int").alias("no"), x.alias("text")))
+    likely = F.filter(numbered, lambda x: x["text"].rlike(HINT))
+    return docs.select(F.col(key), likely.alias("held")).where(F.size("held") > 0).mapInArrow(run, schema)
 
 
 def link_short_forms(occ: DataFrame, key: str = "doc_id") -> DataFrame:
-    """linked_seq: for id the occurrence just before, for a short form the latest earlier one of its root."""
+    """linked_seq: for id the occurrence just before, of whatever kind; for a short form the latest earlier one of its root.
+
+    An id is of the type of what stands before it, so along a chain of them of the last other occurrence's: case if none is.
+    """
     before = Window.partitionBy(key).orderBy("seq")
+    past = before.rowsBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy(key, "root").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    linked = F.when(F.col("kind") == "id", F.lag("seq").over(before)).when(F.col("kind") == "short_form", F.max("seq").over(same))
-    type_before = F.lag("authority_type").over(before)
-    return occ.withColumn("linked_seq", linked).withColumn("authority_type", F.when(F.col("kind") == "id", F.coalesce(type_before, F.lit("unknown"))).otherwise(F.col("authority_type")))
+    short = (F.col("kind") == "short_form") & F.col("root").isNotNull()
+    linked = F.when(F.col("kind") == "id", F.lag("seq").over(before)).when(short, F.max("seq").over(same))
+    chained = F.last(F.when(F.col("kind") != "id", F.col("authority_type")), ignorenulls=True).over(past)
+    kind = F.when(F.col("kind") == "id", F.coalesce(chained, F.lit("case"))).otherwise(F.col("authority_type"))
+    return occ.withColumn("linked_seq", linked).withColumn("authority_type", kind)
 
 
 def anchors(occ: DataFrame, key: str = "doc_id") -> DataFrame:

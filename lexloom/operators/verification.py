@@ -14,7 +14,8 @@ PRIORITY = ("issue_found", "manual_review_required", "verified_with_qualificatio
 
 
 def overall(states: Column) -> Column:
-    """The state of an occurrence from an array of its checks' states."""
+    """The state of an occurrence from an array of its checks' states. A state that is missing counts as not_checked, and none at all too."""
+    states = F.transform(F.coalesce(states, F.array().cast("array<string>")), lambda s: F.coalesce(s, F.lit("not_checked")))
     some = lambda names: F.arrays_overlap(states, F.array(*map(F.lit, names)))
     idle = F.forall(states, lambda s: s.isin(*IDLE))
     return F.when(idle, "not_checked").when(some(ISSUES), "issue_found").when(some(MANUAL), "manual_review_required").when(some(QUALIFIED), "verified_with_qualification").otherwise("verified")
@@ -50,21 +51,128 @@ def resolve(cited: DataFrame, by_citation: DataFrame, by_name: DataFrame) -> Dat
     )
 
 
+def choose_candidate(candidates: DataFrame, by: str, keep: list[str]) -> DataFrame:
+    """by and the kept columns of the candidate (explicit, metadata_path, path) that is taken of several: an explicit one, one with metadata, the first path."""
+    rank = F.struct(F.when(F.col("explicit"), 0).otherwise(1).alias("e"), F.when(F.col("metadata_path").isNotNull(), 0).otherwise(1).alias("m"), F.col("path").alias("p"))
+    return candidates.groupBy(by).agg(F.min_by(F.struct(*keep), rank).alias("r")).select(by, *[F.col(f"r.{c}").alias(c) for c in keep])
+
+
+def identity_state(authority_type: Column, kind: Column, candidates: Column, identities: Column, loaded: Column, mismatches: Column, requested: Column) -> Column:
+    """The state of an occurrence that is looked up itself: candidates and the different cases among them, whether its source could be read, and what differs."""
+    return (
+        F.when(~requested, "not_checked").when(authority_type != "case", "unsupported_authority_type").when(kind.isin("short_form", "id"), "unresolved_short_form").when(candidates < 1, "not_found")
+        .when(identities > 1, "ambiguous_authority").when(~loaded, "source_unavailable").when(F.size(mismatches) > 0, "metadata_mismatch").otherwise("verified")
+    )
+
+
+def mismatches(name: Column, year: Column, title: Column, source_year: Column) -> Column:
+    """What a citation and its source disagree on: year, name."""
+    from lexloom.functions.citations import names_compatible
+
+    differ = F.array(F.when(year.isNotNull() & source_year.isNotNull() & (year != source_year), "year"), F.when(name.isNotNull() & title.isNotNull() & ~names_compatible(name, title), "name"))
+    return F.filter(differ, lambda m: m.isNotNull())
+
+
+def resolve_occurrences(occ: DataFrame, direct: DataFrame, key: str = "doc_id") -> DataFrame:
+    """occ (key, seq, kind, authority_type, linked_seq, anchor) with identity_status, authority_id, located_by of direct (key, seq, ...): linked
+    short forms have what their anchor has, mismatches included; without an anchor they are unresolved."""
+    fields = ("identity_status", "authority_id", "located_by")
+    own = direct.select(key, F.col("seq").alias("anchor"), *fields)
+    out = occ.join(own, [key, "anchor"], "left")
+    linked = F.col("kind").isin("short_form", "id")
+    state = F.when(F.col("authority_type") != "case", "unsupported_authority_type").when(linked & F.col("authority_id").isNull(), "unresolved_short_form").otherwise(F.col("identity_status"))
+    return out.withColumn("identity_status", state)
+
+
+def initial_states(requested: Column, quotation: Column, loaded: Column, authority_type: Column) -> Column:
+    """struct(speaker, proposition): where analyses stand before any model was asked."""
+    speaker = F.when(~F.array_contains(requested, "speaker"), "not_checked").when(quotation.isNull(), "not_applicable").when(~loaded, "source_unavailable").otherwise("manual_review_required")
+    proposition = F.when(~F.array_contains(requested, "proposition_support"), "not_checked").when(authority_type != "case", "manual_review_required").when(~loaded, "source_unavailable").otherwise("manual_review_required")
+    return F.struct(speaker.alias("speaker"), proposition.alias("proposition"))
+
+
 def quotation_state(requested: Column, quote: Column, source: Column, exact: Column, omission: Column) -> Column:
     return F.when(~requested, "not_checked").when(quote.isNull(), "not_applicable").when(source.isNull(), "source_unavailable").when(exact, "verified").when(omission, "manual_review_required").otherwise("quote_mismatch")
 
 
+# What stands for an omission.
+OMISSION = r"\.\s*\.\s*\.|…|\[\s*(?:\.\s*){3}\]"
+
+
+def quotation_pieces(quote: str, least: int = 15) -> list[str]:
+    """The folded pieces of a quotation between its omissions, without those that are too short to tell anything."""
+    import re
+
+    from lexloom.functions.text import folded_index
+
+    return [p for x in re.split(OMISSION, quote) if len(p := folded_index(x)[0]) >= least]
+
+
 def omission_match(quote: Column, source: Column, least: int = 15, gap: int = 5000) -> Column:
-    """True if the pieces of a quotation between omission marks follow each other in the source, not too far apart. Both folded."""
-    pieces = F.filter(F.transform(F.split(quote, r"\s*(?:\. \. \.|\.\.\.|\[\.\.\.\])\s*"), lambda p: F.trim(p)), lambda p: p != "")
-    usable = (F.size(pieces) >= 2) & F.forall(pieces, lambda p: F.length(p) >= least)
+    """True if the pieces of a quotation between omissions follow each other in the source, not too far apart; short pieces are passed over.
+
+    quote: as it is, since an ellipsis that is folded can't be told from points; source: folded.
+    """
+    from lexloom.functions.text import fold_typography
+
+    pieces = F.filter(F.transform(F.split(quote, OMISSION), fold_typography), lambda p: F.length(p) >= least)
 
     def step(at: Column, piece: Column) -> Column:
         begin = F.call_function("locate", piece, source, F.greatest(at, F.lit(1)))
         good = (at >= 0) & (begin > 0) & ((at == 0) | (begin - at <= gap))
         return F.when(good, (begin + F.length(piece)).cast("int")).otherwise(F.lit(-1))
 
-    return usable & (F.aggregate(pieces, F.lit(0), step) > 0)
+    return (F.size(pieces) >= 2) & (F.aggregate(pieces, F.lit(0), step) > 0)
+
+
+# How pages are marked in a text: [410 U.S. 113], page 113, *113.
+PAGE_MARKS = (r"\[(?:\d+\s+)?[A-Za-z.\d ]+\s+(\d{1,7})\]", r"(?i)(?<![A-Za-z0-9_])page\s+(\d{1,7})(?![A-Za-z0-9_])", r"(?:^|\s)\*(\d{1,7})(?=\s|$)")
+
+
+def page_markers(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, page, start_at, end_at (from 0, end exclusive) of every page marker.
+
+    Places follow from the lengths of what stands between the matches, so all of it stays in expressions.
+    """
+
+    def rows(pattern: str) -> Column:
+        marks, pages = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        between = F.transform(F.split(F.col(text), pattern), lambda x: F.length(x))
+        total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda acc, x: acc + x)
+        sizes = F.transform(marks, lambda m: F.length(m))
+        each = F.transform(pages, lambda p, i: F.struct(p.cast("long").cast("string").alias("page"), (total(between, i + 1) + total(sizes, i)).alias("start_at"), F.get(sizes, i).alias("n")))
+        return F.when(F.size(pages) > 0, each).otherwise(F.array().cast("array<struct<page:string,start_at:int,n:int>>"))
+
+    found = [rows(p) for p in PAGE_MARKS]
+    out = texts.select(key, F.explode(F.concat(*found)).alias("m"))
+    return out.select(key, "m.page", "m.start_at", (F.col("m.start_at") + F.col("m.n")).alias("end_at"))
+
+
+def pincite_state(requested: Column, pincite: Column, loaded: Column, quotation: Column, unique: Column, crossed: Column, observed: Column) -> Column:
+    """struct(status, observed_page). A pinpoint holds only if the quotation is exact, stands once, crosses no marker, and the page before it is the one cited."""
+    page = F.when((quotation == "verified") & unique & ~crossed, observed)
+    holds = pincite.rlike(r"^\d+$") & (page == pincite.cast("long").cast("string"))
+    status = F.when(~requested, "not_checked").when(pincite.isNull(), "not_applicable").when(~loaded, "source_unavailable").when(F.coalesce(holds, F.lit(False)), "verified").otherwise("pincite_unverifiable")
+    return F.struct(status.alias("status"), F.when(status.isin("verified", "pincite_unverifiable"), page).alias("observed_page"))
+
+
+def verify_pincites(quotes: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """quotes (key, q_id, pincite, status of the quotation, source_quote, start_at) with pincite_status and observed_page.
+
+    Markers and texts meet the quotations by document: the page is the last marker that ends before the quotation begins.
+    """
+    q = quotes.join(texts.select(key, F.col(text).alias("_text")), key, "left")
+    at = F.call_function("locate", F.col("source_quote"), F.col("_text"), F.lit(1))
+    again = F.call_function("locate", F.col("source_quote"), F.col("_text"), at + 1)
+    q = q.withColumn("_at", (at - 1).cast("int")).withColumn("_once", F.coalesce((at > 0) & (again == 0), F.lit(False)))
+    inside = page_markers(texts, key, text)
+    marks = inside.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_at", "end_at", "page"))).alias("_marks"))
+    q = q.join(marks, key, "left")
+    ended = F.filter("_marks", lambda m: m["end_at"] <= F.col("_at"))
+    crossed = F.coalesce(F.exists("_marks", lambda m: (m["start_at"] >= F.col("_at")) & (m["start_at"] < F.col("_at") + F.length("source_quote"))), F.lit(False))
+    observed = F.try_element_at(ended, F.lit(-1))["page"]
+    state = pincite_state(F.lit(True), F.col("pincite"), F.col("_text").isNotNull(), F.col("status"), F.col("_once"), crossed, observed)
+    return q.withColumn("_state", state).select(*quotes.columns, F.col("_state.status").alias("pincite_status"), F.col("_state.observed_page").alias("observed_page"))
 
 
 def pincites(markers: DataFrame, quotes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -88,7 +196,19 @@ def neighbours(items: DataFrame, cited: DataFrame, key: str, order: str) -> Data
 
 
 def first_seen_ids(df: DataFrame, by: str, order: str, prefix: str = "A", width: int = 4) -> DataFrame:
-    """by, id: numbered by first appearance."""
+    """by, id: numbered by first appearance.
+
+    Values are dealt out by ranges of their first appearance, written, counted range by range, and numbered within each: no
+    task sees them all. Only one count a range comes to the driver.
+    """
+    from lexloom.session import saved
+
     first = df.groupBy(by).agg(F.min(order).alias("_first"))
-    ranked = first.withColumn("n", F.row_number().over(Window.orderBy("_first", by)))  # one row a value, counted after the aggregate
-    return ranked.select(by, F.concat(F.lit(prefix), F.lpad(F.col("n").cast("string"), width, "0")).alias("id"))
+    dealt = saved(first.repartitionByRange("_first", by).withColumn("_part", F.spark_partition_id()))
+    counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for part in sorted(counts):
+        before[part], total = total, total + counts[part]
+    table = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    n = F.row_number().over(Window.partitionBy("_part").orderBy("_first", by)) + F.element_at(table, F.col("_part"))
+    return dealt.select(by, F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0")).alias("id"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import citations as C
 from lexloom.functions import urls as U
+from lexloom.operators import cards as K
 from lexloom.operators import entities as E
 from lexloom.operators import journal as J
 from lexloom.plans.registry import Registry
@@ -14,11 +15,11 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
-@query("SELECT l_orderkey, l_linenumber, '0' || l_suppkey || ' F.3d ' || l_partkey AS citation, '0' || l_suppkey || ':f3d:' || l_partkey AS citation_key, l_suppkey || ':f3d:' || l_partkey AS strict_key, l_suppkey || ':f3d' AS root FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, '0' || l_suppkey || ' F.3d ' || l_partkey AS citation, '0' || l_suppkey || ':f3d:' || l_partkey AS citation_key, l_suppkey || ':f3d:' || l_partkey AS strict_key, NULL::VARCHAR AS loose_key, l_suppkey || ':f3d' AS root FROM lineitem")
 def citation_normalize(t):
     cite = F.concat(F.lit("0"), F.col("l_suppkey"), F.lit(" F.3d "), F.col("l_partkey"))
     rows = t("lineitem").select("l_orderkey", "l_linenumber", cite.alias("citation"), "l_suppkey")
-    return rows.select("l_orderkey", "l_linenumber", "citation", C.citation_key(F.col("citation")).alias("citation_key"), C.strict_citation_key(F.concat("citation", F.lit(";"))).alias("strict_key"), C.reporter_root(F.col("l_suppkey"), F.lit("F.3d")).alias("root"))
+    return rows.select("l_orderkey", "l_linenumber", "citation", C.citation_key(F.col("citation")).alias("citation_key"), C.strict_citation_key(F.col("citation")).alias("strict_key"), C.strict_citation_key(F.concat(F.lit("see "), F.col("citation"))).alias("loose_key"), C.reporter_root(F.col("l_suppkey"), F.lit("F.3d")).alias("root"))
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower('The ' || p_name || ' Co. versus ' || p_brand || ' Inc.'), '\b(?:in\s+re|ex\s+rel\b\.?|the|company|co|corporation|corp|incorporated|inc|limited|ltd)\b', ' ', 'g').replace('versus', ' v '), '[^a-z0-9]+', ' ', 'g')) AS name_key,
@@ -45,9 +46,9 @@ def authority_ids(t):
     return o.join(first_seen_ids(o, "authority", "seq"), "authority").select("seq", "authority", "id")
 
 
-MERGE = """WITH RECURSIVE i AS (SELECT l_orderkey * 10 + l_linenumber AS item, 'p' || l_partkey AS a, 'o' || l_orderkey || ':' || l_suppkey AS b FROM lineitem WHERE l_orderkey < 400),
-k AS (SELECT item, a AS k FROM i UNION SELECT item, b FROM i), e AS (SELECT DISTINCT x.item AS a, y.item AS b FROM k x JOIN k y USING (k)),
-r(a, b) AS (SELECT item, item FROM i UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS item, min(b) AS component FROM r GROUP BY 1)"""
+MERGE = """WITH RECURSIVE i AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS item, 'p' || l_partkey AS a, 'o' || l_orderkey || ':' || l_suppkey AS b FROM lineitem),
+k AS (SELECT item, a AS k FROM i UNION SELECT item, b FROM i), h AS (SELECT k, min(item) AS hub FROM k GROUP BY 1), e AS (SELECT DISTINCT item AS a, hub AS b FROM k JOIN h USING (k) WHERE item <> hub), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c(item, component) USING KEY (item) AS (SELECT DISTINCT item, item FROM i UNION SELECT b.b, min(c.component) FROM c JOIN b ON c.item = b.a JOIN recurring.c AS o ON o.item = b.b WHERE c.component < o.component GROUP BY b.b)"""
 
 
 def _linked(rows):
@@ -56,35 +57,122 @@ def _linked(rows):
     return rows.select(item.alias("item"), keys.alias("keys"), F.col("l_shipdate").alias("d"), F.col("l_returnflag").alias("flag"))
 
 
-def _merged(rows):
-    parts = E.components(rows, "item", "keys").distinct()
-    return E.merge(rows.join(parts, "item"), "component", F.struct("item", "flag"), ["flag"], ["keys"])
-
-
 @query(f"{MERGE} SELECT item, component FROM c")
 def merge_components(t):
-    # the first orders, as its SQL fixes it; merge_components_all has the whole table
-    return E.components(_linked(t("lineitem").where("l_orderkey < 400")), "item", "keys").distinct()
-
-
-@query()
-def merge_components_all(t):
     return E.components(_linked(t("lineitem")), "item", "keys")
 
 
 @query(f"{MERGE} SELECT c.component, arg_min(l.l_returnflag, {{'a': l.l_orderkey * 10 + l.l_linenumber, 'b': l.l_returnflag}}) AS flag, list_sort(list_distinct(flatten(list(['p' || l.l_partkey, 'o' || l.l_orderkey || ':' || l.l_suppkey])))) AS keys FROM c JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem) l ON l.l_orderkey * 10 + l.l_linenumber = c.item GROUP BY 1")
 def merge_cases(t):
-    return _merged(_linked(t("lineitem").where("l_orderkey < 400")))
+    rows = _linked(t("lineitem"))
+    return E.merge(rows.join(E.components(rows, "item", "keys"), "item"), "component", F.struct("item", "flag"), ["flag"], ["keys"])
+
+
+# Result pages made of parts: one page for each size, its cards in the order of parts.
+CARD = "SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey)::INTEGER AS position, p_name || ' v. ' || p_brand AS title, (p_size + 1) || ' F.3d ' || (p_partkey + 1) AS cite, 'About ' || p_type AS about FROM part"
+
+
+def _pages(t, card, front=""):
+    rows = t("part").withColumn("title", F.concat("p_name", F.lit(" v. "), "p_brand")).withColumn("cite", F.concat(F.col("p_size") + 1, F.lit(" F.3d "), F.col("p_partkey") + 1))
+    rows = rows.select("p_size", "p_partkey", card(rows).alias("card"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "card"))), lambda c: c["card"]), "")
+    return rows.groupBy(F.col("p_size").alias("page_id")).agg(F.concat(F.lit(front), listed).alias("html"), F.count("*").alias("result_cards"))
+
+
+def _scholar_pages(t):
+    cited = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('<a href="/scholar?cites='), "p_partkey", F.lit('&amp;x=1">Cited by '), F.col("p_size"), F.lit("</a>"))).otherwise("")
+    return _pages(t, lambda r: F.concat(
+        F.lit('<div class="gs_r gs_or gs_scl" data-x="1"><h3 class="gs_rt" data-y="2"><a id="a" href="/scholar_case?case='), "p_partkey", F.lit('&amp;hl=en"><b>'), "p_name", F.lit("</b> v. "), "p_brand",
+        F.lit('</a></h3><div class="gs_a">'), "cite", F.lit(" - "), "p_type", F.lit(" 1999 - Google Scholar</div>"), F.lit('<div class="gs_rs">About\n <i>'), "p_type", F.lit("</i></div>"), cited, F.lit("</div>")))
+
+
+def _court_pages(t):
+    data = lambda label, value: F.concat(F.lit(f'<span class="meta-data-header">{label}</span> <span class="meta-data-value">'), value, F.lit("</span>"))
+    return _pages(t, lambda r: F.concat(
+        F.lit('<article><h3><a href="/opinion/'), "p_partkey", F.lit('/x/?q=1&amp;r=2" class="visitable">'), "title", F.lit(" ("), "p_type", F.lit(' 2001)</a></h3><time datetime="2001-02-03">Feb</time>'), data("Status:", F.lit("Published")),
+        data("Citations:", F.concat("cite", F.lit(", 7 U.S. "), F.col("p_partkey") + 2)), data("Docket Number:", F.concat(F.lit("D-"), "p_partkey")), F.lit('<p class="x representation">About '), "p_type",
+        F.lit('</p><a href="/?q=cites%3A%28'), F.col("p_partkey") + 5, F.lit('%29">Cited by 1,'), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit("</a></article>")), '<article>outside</article><div id="search-results">')
+
+
+def _justia_pages(t):
+    path = F.when(F.col("p_partkey") % 4 == 0, F.lit("https://www.justia.com/other/")).otherwise(F.lit("https://law.justia.com/cases/new-york/supreme-court/1987/"))
+    return _pages(t, lambda r: F.concat(
+        F.lit('<div class="gsc-webResult gsc-result"><a class="gs-title" href="#" data-ctorig="'), path, "p_partkey", F.lit('/"><b>'), "p_name", F.lit("</b> v. "), "p_brand", F.lit('</a><div class="gs-snippet">Apr 11, 2024 ... About '), "p_type",
+        F.lit('</div><div class="gs-visibleUrl-breadcrumb">a › b</div></div>')))
+
+
+@query(f"WITH c AS ({CARD}) SELECT p_size AS page_id, position, title, 'https://scholar.google.com/scholar_case?case=' || p_partkey || '&hl=en' AS url, p_partkey::VARCHAR AS native_id, cite || ' - ' || p_type || ' 1999' AS meta, about AS snippet, CASE WHEN p_partkey % 3 = 0 THEN p_size END::BIGINT AS cited_by, CASE WHEN p_partkey % 3 = 0 THEN p_partkey::VARCHAR END AS cites_id FROM c")
+def scholar_cards(t):
+    return K.cards(_scholar_pages(t), "scholar").select("page_id", "position", "title", "url", "native_id", "meta", "snippet", "cited_by", "cites_id")
+
+
+@query(f"""WITH c AS ({CARD}) SELECT p_size AS page_id, position, title, 'https://www.courtlistener.com/opinion/' || p_partkey || '/x/?q=1&r=2' AS url, p_partkey::VARCHAR AS native_id, p_type AS court, '2001' AS year, '2001-02-03' AS date_filed, 'Published' AS status,
+[cite, '7 U.S. ' || (p_partkey + 2)] AS citations, 'D-' || p_partkey AS docket_number, about AS snippet, (1000 + p_size)::BIGINT AS cited_by, (p_partkey + 5)::VARCHAR AS cites_id FROM c""")
+def court_cards(t):
+    return K.cards(_court_pages(t), "courtlistener").select("page_id", "position", "title", "url", "native_id", "court", "year", "date_filed", "status", "citations", "docket_number", "snippet", "cited_by", "cites_id")
+
+
+@query(f"WITH c AS ({CARD}) SELECT p_size AS page_id, position, title, 'https://law.justia.com/cases/new-york/supreme-court/1987/' || p_partkey || '/' AS url, 'new-york/supreme-court/1987/' || p_partkey AS native_id, 'Apr 11, 2024 ... ' || about AS snippet, 'Apr 11, 2024' AS displayed_date, 'a › b' AS breadcrumb FROM c WHERE p_partkey % 4 <> 0")
+def justia_cards(t):
+    return K.cards(_justia_pages(t), "justia").select("page_id", "position", "title", "url", "native_id", "snippet", "displayed_date", "breadcrumb")
+
+
+@query("SELECT p_size AS page_id, count(*) AS result_cards, count(*) FILTER (p_partkey % 4 <> 0) AS parsed FROM part GROUP BY 1 HAVING count(*) <> count(*) FILTER (p_partkey % 4 <> 0)")
+def incomplete_pages(t):
+    pages = _justia_pages(t)
+    return K.incomplete_pages(pages, K.cards(pages, "justia"), none=None)
+
 
+SLUG = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')"
+KEY = "{} || '--' || left(sha256({}), 10)"
+TITLED = SLUG.format("title")
 
-@query()
-def merge_cases_all(t):
-    return _merged(_linked(t("lineitem")))
+
+def _records(t):
+    made = [(_scholar_pages, "scholar", 0), (_court_pages, "courtlistener", 1), (_justia_pages, "justia", 2)]
+    out = []
+    for pages, by, n in made:
+        rank = K.global_rank(F.col("page_id"), F.col("position"), 20)
+        rows = K.cards(pages(t), by)
+        out.append(K.case_records(rows.withColumn("_p", F.regexp_extract("native_id", r"(\d+)$", 1).cast("long")), by, rank, keep=("_p",)).withColumn("provider", F.lit(by)).withColumn("_o", F.col("_p") * 3 + n))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"""WITH c AS ({CARD}) SELECT 'scholar' AS provider, p_partkey AS part, {KEY.format(TITLED, "(p_size + 1) || ':f3d:' || (p_partkey + 1)")} AS canonical_key, [cite] AS citations, p_type AS court, NULL::VARCHAR AS date_filed, '1999' AS year, NULL::VARCHAR AS publication_status, ((p_size - 1) * 20 + position)::INTEGER AS rank FROM c
+UNION ALL SELECT 'courtlistener', p_partkey, {KEY.format(TITLED, "(p_size + 1) || ':f3d:' || (p_partkey + 1)")}, [cite, '7 U.S. ' || (p_partkey + 2)], p_type, '2001-02-03', '2001', 'Published', ((p_size - 1) * 20 + position)::INTEGER FROM c
+UNION ALL SELECT 'justia', p_partkey, {KEY.format(TITLED, "'justia:new-york/supreme-court/1987/' || p_partkey")}, [], 'New York Supreme Court', '2024-04-11', '1987', NULL, ((p_size - 1) * 20 + position)::INTEGER FROM c WHERE p_partkey % 4 <> 0""")
+def provider_normalize(t):
+    return _records(t).select("provider", F.col("_p").alias("part"), "canonical_key", "citations", "court", "date_filed", "year", "publication_status", F.col("sources")[0]["source_rank"].alias("rank"))
+
+
+@query(f"""WITH c AS ({CARD}), k AS (SELECT *, {KEY.format(TITLED, "(p_size + 1) || ':f3d:' || (p_partkey + 1)")} AS k FROM c)
+SELECT k AS canonical_key, title, p_type AS court, '1999' AS year, '2001-02-03' AS date_filed, [cite, '7 U.S. ' || (p_partkey + 2)] AS citations, ['scholar', 'courtlistener'] AS providers, 'scholar' AS snippet_source, ((p_size - 1) * 20 + position)::INTEGER AS pref_rank FROM k
+UNION ALL SELECT {KEY.format(TITLED, "'justia:new-york/supreme-court/1987/' || p_partkey")}, title, 'New York Supreme Court', '1987', '2024-04-11', [], ['justia'], 'justia', 1000000000 FROM k WHERE p_partkey % 4 <> 0""")
+def merge_provider_cases(t):
+    # Scholar's and CourtListener's records of a part share a citation, Justia's share nothing
+    merged = E.merge_records(_records(t).drop("_p", "provider"), F.col("_o"))
+    return merged.select("canonical_key", "title", "court", "year", "date_filed", "citations", F.transform("sources", lambda s: s["provider"]).alias("providers"), "snippet_source", "pref_rank")
+
+
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_size % 2 = 0 THEN 'provider_identity' WHEN a.p_brand = b.p_brand THEN 'reporter_citation' WHEN a.p_name = b.p_name AND a.p_size % 3 = 0 THEN 'docket_court_date_title' END AS reason
+FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey""")
+def match_reasons(t):
+    source = F.struct(F.lit("scholar").alias("provider"), F.when(F.col("p_size") % 2 == 0, F.concat_ws("-", "p_size", "p_type")).alias("provider_id"), F.lit("").alias("url"))
+    other = F.struct(F.lit("justia").alias("provider"), F.col("p_size").cast("string").alias("provider_id"), F.lit("https://x.example/").alias("url"))
+    record = F.struct(
+        F.array(source, F.when(F.col("p_partkey") % 2 == 0, other).otherwise(source)).alias("sources"), F.array("p_brand").alias("norm_citations"), F.concat(F.lit("No. "), "p_size").alias("docket_number"), F.lit("Ct.").alias("court"),
+        F.when(F.col("p_size") % 3 == 0, "2020-01-02").otherwise("2020").alias("date_filed"), F.concat(F.lit("The "), "p_name").alias("title"),
+    )
+    # Justia's sources are the same for all of a size: equal ids match, so parts that both have one are left to the other rules
+    record = record.withField("sources", F.filter(record["sources"], lambda s: s["provider"] == "scholar"))
+    p = t("part").select("p_partkey", "p_size", "p_type", record.alias("r"))
+    both = p.alias("x").join(p.alias("y"), (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.p_type") == F.col("y.p_type")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
+    return both.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), E.match_reason("x.r", "y.r").alias("reason"))
 
 
 @query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 50")
 def case_order_topk(t):
-    return t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(50)
+    return E.top_cases(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), [F.col("o_orderpriority"), F.desc("o_totalprice"), F.col("o_orderkey")], 50)
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
@@ -105,11 +193,25 @@ def compare_runs(t):
     return J.compare(t("orders").where(year == 1996), t("orders").where(year == 1997), "o_custkey")
 
 
-@query("SELECT event_id, 'r_' || left(sha256(user_id || '|' || event_id || '|' || 1 || '|' || props), 32) AS result_ref FROM events")
+@query("""SELECT event_id, 'r_' || left(sha256('["' || user_id || '",' || event_id || ',1,' || props || ']'), 32) AS result_ref FROM events""")
 def observation_refs(t):
     return t("events").select("event_id", J.result_ref(F.col("user_id"), F.col("event_id"), F.lit(1), F.col("props")).alias("result_ref"))
 
 
+@query("""WITH e AS (SELECT event_id % 97 AS run, event_id % 12 + 1 AS page, event_id, event_type FROM events) SELECT run, max(event_id) FILTER (event_type <> 'error') AS last_retrieved_at, list_sort(list(DISTINCT page) FILTER (event_type <> 'error')) AS completed_pages,
+(SELECT list_sort(list(k || '=' || d)) FROM (SELECT 'c' || page AS k, max(event_id) AS d FROM e x WHERE x.run = e.run AND event_type = 'error' GROUP BY 1)) AS downloads FROM e GROUP BY run""")
+def journal_replay(t):
+    k = F.col("event_id")
+    event = F.when(F.col("event_type") == "error", F.to_json(F.struct(F.lit("download").alias("type"), F.concat(F.lit("c"), k % 12 + 1).alias("case_key"), k.alias("download")))).otherwise(F.to_json(F.struct(F.lit("page").alias("type"), (k % 12 + 1).alias("page"), k.alias("retrieved_at"))))
+    rows = t("events").select((k % 97).alias("run"), k, event.alias("line"))
+    files = rows.groupBy("run").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda r: r["line"]), "\n"), F.lit('\n{"type":"page","page":99')).alias("content"))
+    lines = J.committed_lines(files, "run")
+    events = J.refuse_bad_lines(J.journal_events(lines, "type string, page bigint, retrieved_at bigint, case_key string, download bigint", "run"))
+    out = J.replay(events.select("run", "line_no", "event.*"), "run")
+    told = F.array_sort(F.transform(F.map_entries("downloads"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return out.select("run", "last_retrieved_at", "completed_pages", told.alias("downloads"))
+
+
 @query("SELECT o_orderkey, o_orderdate, count(*) OVER ()::BIGINT AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 40")
 def run_list_page(t):
     from lexloom.operators.documents import page
@@ -155,17 +257,72 @@ def completeness_rollup(t):
     return J.completeness(t("events").select("user_id", state.alias("state")), "user_id", "state")
 
 
-@query("SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> ''")
+@query("""SELECT n_nationkey, CASE n_nationkey % 9 WHEN 0 THEN '2nd circuit' WHEN 1 THEN 'us supreme court' WHEN 2 THEN 'new york' WHEN 3 THEN 'southern district of new york' WHEN 4 THEN 'northern district of ohio' WHEN 5 THEN 'all' END AS jurisdiction,
+CASE n_nationkey % 9 WHEN 0 THEN ['ca2'] WHEN 1 THEN ['scotus'] WHEN 2 THEN ['ny', 'nyappdiv', 'nyappterm', 'nyhospcommn'] WHEN 3 THEN ['nysd'] WHEN 4 THEN ['ohnd'] WHEN 5 THEN [] END AS courts,
+CASE n_nationkey % 9 WHEN 0 THEN '122' WHEN 1 THEN '60' WHEN 2 THEN '33' WHEN 3 THEN '351' WHEN 4 THEN '356' WHEN 6 THEN '36,44' END AS codes, CASE n_nationkey % 9 WHEN 6 THEN 'list' WHEN 7 THEN 'unknown' WHEN 8 THEN 'required' END AS error FROM nation""")
 def jurisdiction_resolve(t):
-    alias = t("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    return t("nation").join(alias, "n_regionkey").where("r_name <> ''").select("n_nationkey", "r_name")
+    from lexloom.functions import jurisdictions as Z
 
+    k = F.col("n_nationkey") % 9
+    names = ("Second Cir.", "SCOTUS", " N Y ", "Southern District of New York", "ohnd", "ALL", "Ohio, tx", "Atlantis", "  ")
+    given = F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    given = F.when(k == 2, "NY").otherwise(given)
+    out = Z.resolve(t("nation").select("n_nationkey", given.alias("name")), "name")
+    return out.select("n_nationkey", "jurisdiction", F.col("courtlistener_courts").alias("courts"), Z.scholar_codes(F.col("name")).alias("codes"), F.col("jurisdiction_error").alias("error"))
 
-@query("SELECT DISTINCT l_orderkey FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey")
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem ANTI JOIN (SELECT p_partkey FROM part WHERE p_size % 5 <> 0) ON l_partkey = p_partkey")
 def reference_check(t):
     from lexloom.operators.structured import unknown_references
 
-    return unknown_references(t("lineitem").select("l_orderkey").distinct(), t("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    known = t("part").where("p_size % 5 <> 0").select(F.col("p_partkey").alias("l_partkey"))
+    return unknown_references(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), known, "l_partkey").select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN [] WHEN 1 THEN ['search_term'] WHEN 2 THEN ['provider'] WHEN 3 THEN ['pages_beyond'] WHEN 4 THEN ['year_order'] WHEN 5 THEN ['justia_courts', 'justia_dates'] END AS errors,
+'legal_search:' || CASE event_id % 6 WHEN 2 THEN 'bing' WHEN 5 THEN 'justia' ELSE 'scholar' END AS session FROM events""")
+def search_requests(t):
+    from lexloom.operators import requests as R
+
+    k = F.col("event_id") % 6
+    r = F.struct(
+        F.when(k == 1, " ").otherwise("duty of care").alias("search_term"), F.when(k == 2, "bing").when(k == 5, "justia").otherwise("scholar").alias("provider"), F.when(k == 3, 50).otherwise(F.lit(None)).cast("int").alias("pages_to_search"),
+        F.when(k == 3, 2).otherwise(F.lit(None)).cast("int").alias("resume_page"), F.lit(-1).alias("max_cases_to_download"), F.lit(None).cast("int").alias("runtime_limit_minutes"), F.when(k.isin(4, 5), 1990).cast("int").alias("year_from"), F.when(k == 4, 1980).cast("int").alias("year_to"), F.lit("all").alias("jurisdiction"),
+    )
+    session = F.regexp_replace(R.navigation_session(r), ":[0-9a-f]{16}$", "")
+    return t("events").select("event_id", R.search_errors(r, F.when(k == 5, "ohio").otherwise("all")).alias("errors"), session.alias("session"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'exhausted' WHEN 3 THEN 'blocked' WHEN 4 THEN 'exhausted' ELSE 'running' END AS status, CASE o_orderkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['root'] WHEN 2 THEN ['root/1990-1995', 'root/1996-2001'] WHEN 3 THEN ['root'] ELSE [] END AS parts,
+CASE o_orderkey % 5 WHEN 1 THEN 60 WHEN 2 THEN 0 WHEN 3 THEN 980 END::INTEGER AS next_offset, CASE WHEN o_orderkey % 5 IN (0, 4) THEN 1 ELSE 0 END::INTEGER AS done FROM orders""")
+def cursor_steps(t):
+    k = F.col("o_orderkey") % 5
+    court, low, high = F.lit("ohio"), F.lit(1990), F.when(k == 3, 1990).otherwise(2001)
+    s = J.new_state("scholar", F.lit("7"), court, low, high)
+    offset = F.when(k.isin(2, 3), 980).when(k == 1, 40).otherwise(0)
+    s = s.withField("partitions", F.transform(s["partitions"], lambda p: p.withField("next_offset", offset)))
+    filters = F.struct(F.when(k == 4, 2010).cast("int").alias("year_from"), F.lit(None).cast("int").alias("year_to"), F.lit(None).cast("string").alias("filed_after"), F.lit(None).cast("string").alias("filed_before"))
+    rows = t("orders").select("o_orderkey", J.scholar_step(s, filters, F.when(k == 0, 7).otherwise(20), F.lit(None).cast("boolean"), ("ohio", "texas"), 2025).alias("s"))
+    return rows.select("o_orderkey", F.col("s.status").alias("status"), F.transform("s.partitions", lambda p: p["id"]).alias("parts"), F.get("s.partitions", F.lit(0))["next_offset"].alias("next_offset"), F.col("s.completed_partitions").alias("done"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_events(t):
+    from lexloom.streaming.journal import windowed_counts
+
+    return windowed_counts(t("events"), "ts", "event_type").select(F.col("w.start").cast("timestamp_ntz").alias("w"), "event_type", "n")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS began, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_events(t):
+    e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("began"), "n")
+
+
+@query("SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS level, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_sales(t):
+    return t("lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
 
 
 @query("SELECT event_id % 50 + 1 AS page, event_id % 21 AS n, NOT (value > 10) AND NOT ((event_id % 50 + 1) >= 50 AND event_id % 21 >= 20) AS ended, event_id FROM events")
@@ -179,6 +336,6 @@ def journal_stream(t):
     from lexloom.streaming.journal import run_once
 
     e = t("events")
-    files = e.inputFiles()
-    source = files[0] if len(files) == 1 else files[0].rpartition("/")[0] + "/"
-    return run_once(e.sparkSession, source, e.schema, "event_id", "ts").select("event_id", "user_id")
+    folders = sorted({f.rpartition("/")[0] for f in e.inputFiles()})
+    source = e.inputFiles()[0] if len(e.inputFiles()) == 1 else folders[0] + "/" if len(folders) == 1 else "{" + ",".join(f.replace("file:", "") for f in folders) + "}"
+    return run_once(e.sparkSession, source, e.schema, "event_id").select("event_id", "user_id")

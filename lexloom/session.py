@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: Shared folders of applications without spark.checkpoint.dir.
@@ -49,10 +50,25 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one if all run on one machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         # The setting can't be changed in a running session, so the folder is kept for each application.
         app = spark.sparkContext.applicationId
         base = _OWN_DIRS[app] = _OWN_DIRS.get(app) or "file://" + tempfile.mkdtemp(prefix="lexloom-shared-")
     return base.rstrip("/")
+
+
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written to the shared folder and read again, which cuts its lineage; a lost executor's tasks read it once more."""
+    path = path or f"{shared_dir(df.sparkSession)}/lexloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing lazy reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -9,32 +9,40 @@ from lexloom.session import shared_dir
 
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
-    """New files of a folder, or one Parquet file of it, as a stream."""
+    """New files of a folder (or of several, as a glob), or one Parquet file of it, as a stream."""
     reader = spark.readStream.schema(schema)
     folder, _, name = path.rpartition("/")
     return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else reader.parquet(path)
 
 
-def distinct_events(events: DataFrame, key: str, time: str, delay: str = "7 days") -> DataFrame:
-    """Each event id once; ids are forgotten after the delay, so the state is bounded."""
-    events = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need instants, not local times
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def append_available(events: DataFrame, target: str, checkpoint: str, key: str) -> None:
+    """Appends all that is there now and isn't in the target yet, each id once, and stops.
 
+    What was appended is looked up in the target itself, by key, so that no event is late and no state grows or forgets. A batch
+    that runs again after a failure writes its own folder again.
+    """
+    spark = events.sparkSession
 
-def append_available(events: DataFrame, target: str, checkpoint: str) -> None:
-    """Appends all that is there now, exactly once over restarts, and stops."""
-    q = events.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    def put(batch: DataFrame, number: int) -> None:
+        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            before = spark.read.option("basePath", target).parquet(target).where(F.col("batch") < number)
+            fresh = fresh.join(before.select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    q = events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def run_once(spark: SparkSession, source: str, schema, key: str, time: str) -> DataFrame:
+def run_once(spark: SparkSession, source: str, schema, key: str) -> DataFrame:
     """The journal behind a source after one run of the stream."""
     import uuid
 
     root = f"{shared_dir(spark)}/lexloom-stream-{uuid.uuid4().hex}"
-    append_available(distinct_events(read_events(spark, source, schema), key, time), f"{root}/data", f"{root}/state")
-    return spark.read.parquet(f"{root}/data")
+    append_available(read_events(spark, source, schema), f"{root}/data", f"{root}/state", key)
+    return spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data").drop("batch")
 
 
 def windowed_counts(events: DataFrame, time: str, by: str, size: str = "1 hour") -> DataFrame:
-    return events.groupBy(F.window(time, size).alias("w"), by).agg(F.count("*").alias("n"))
+    return events.withColumn(time, F.col(time).cast("timestamp")).groupBy(F.window(time, size).alias("w"), by).agg(F.count("*").alias("n"))
