@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import compress, repeat
@@ -14,10 +13,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom import session
+
 #: Rows of a batch are handed to Python in slices of at most this many characters.
 SLICE_CHARS = 1 << 22
-#: Shared folders of applications without spark.checkpoint.dir.
-_OWN_DIRS: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +24,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        # The setting can't be changed in a running session, so the folder is kept for each application.
-        base = _OWN_DIRS.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="lexloom-shared-")
-        _OWN_DIRS[spark.sparkContext.applicationId] = base
-    return f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, below spark.checkpoint.dir."""
+    return f"{session.shared_dir(spark)}/lexloom-{uuid.uuid4().hex}"
 
 
 class Scratch:
@@ -180,7 +174,7 @@ def edit_texts(df: DataFrame, edit: Callable[[str], str | None], text: str = "te
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(df.schema)
+    schema = to_arrow_schema(df.toDF(*(f"c{i}" for i in range(len(df.columns)))).schema)
     at = df.columns.index(text)
     n_at = df.columns.index(length) if length in df.columns else None
 
@@ -197,4 +191,6 @@ def edit_texts(df: DataFrame, edit: Callable[[str], str | None], text: str = "te
                     cols[n_at] = pa.array([len(t) for t in kept], schema.field(n_at).type)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return df.mapInArrow(run, df.schema)
+    # Columns are known by their places here, as names may hold points.
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
