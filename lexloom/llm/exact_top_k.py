@@ -12,7 +12,8 @@ emits at most k rows a query; shards are merged by a window over the query.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a shorter vector counts as
 padded with zeros; repeated rows are candidates each for itself, and a query's own row is every row of its vec_id; rows
-with a null vec_id are candidates of no query (an id is needed to report them). No candidates: no rows.
+with a null vec_id are candidates of no query (an id is needed to report them). No candidates: no rows. Components and scores
+beyond 64 bits count as the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -72,8 +73,13 @@ class MaxScore:
         v, q = vectors, self.queries
         # float64 sums integers exactly to 2**53; beyond, every candidate is scored in int64 and no bound is used
         if float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, v.shape[1]) >= 2.0**53:
+            wide = float(np.abs(v).astype(np.float64).max(initial=0)) * float(np.abs(q).astype(np.float64).max(initial=0)) * max(1, v.shape[1]) >= 2.0**63
             for i in range(len(q)):
-                self._keep(i, ids, vectors @ self.queries[i])
+                if wide:  # Python's integers, and the nearest 64-bit score
+                    exact = vectors.astype(object) @ self.queries[i].astype(object)
+                    self._keep(i, ids, np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in exact], np.int64))
+                else:
+                    self._keep(i, ids, vectors @ self.queries[i])
             return
         v, q = v.astype(np.float64), q.astype(np.float64)
         low, high = v.min(0), v.max(0)

@@ -260,6 +260,16 @@ def test_top_k_against_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_top_k_of_no_and_of_huge_vectors(spark):
+    from pyspark.sql import functions as F
+
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert exact_top_k.exact_top_k(none, F.col("vec_id") % 20 == 0).collect() == []
+    big = spark.createDataFrame([(0, [3e15, 1.0]), (1, [2e15, 5.0]), (2, [-4e15, 0.0]), (3, [1e15, 1e15])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in exact_top_k.exact_top_k(big, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, (1 << 63) - 1), (3, (1 << 63) - 1), (2, -(1 << 63))]
+
+
 def test_maximal_segments():
     rng = np.random.default_rng(0)
 
