@@ -66,8 +66,10 @@ def part_context(parts: DataFrame, key: str = "doc_id") -> DataFrame:
 
     w = Window.partitionBy(key).orderBy("part_no")
     before, after = F.lag("last_block").over(w), F.lead("first_block").over(w)
-    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    shared = F.array_union(F.coalesce(span(F.col("first_block"), F.least(before, F.col("last_block"))), F.array().cast("array<int>")), F.coalesce(span(F.greatest(after, F.col("first_block")), F.col("last_block")), F.array().cast("array<int>")))
+    none = F.array().cast("array<int>")
+    span = lambda known, a, b: F.when(known.isNotNull() & (a <= b), F.sequence(a, b)).otherwise(none)
+    first, last = F.col("first_block"), F.col("last_block")
+    shared = F.array_union(span(before, first, F.least(before, last)), span(after, F.greatest(after, first), last))
     return parts.withColumn("total_parts", F.count("*").over(Window.partitionBy(key))).withColumn("has_previous", before.isNotNull()).withColumn("has_next", after.isNotNull()).withColumn("overlap_blocks", shared)
 
 
