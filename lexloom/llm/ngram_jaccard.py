@@ -44,8 +44,6 @@ SKETCH_BITS, SKETCH_PARTS = 22, 16
 SMALL = 32
 #: Parts in which a family's rows meet what is known of the family.
 SALTS = 64
-#: Members that one copy of their centre's set meets.
-PART = 64
 KEY_BITS = 48
 BLOCK_BYTES = 4 << 20
 #: Rows of documents (keys null), and of sets that share a signature (doc_id null).
@@ -343,16 +341,16 @@ def _near(pairs: DataFrame, light: DataFrame, pct: int) -> DataFrame:
 def _compare(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """member, centre, large, their sizes and the elements in which they differ; only sets of the pairs travel.
 
-    A centre of many members is dealt out: its set meets them in a part for each PART of them, so that the copies of centres
-    are fewer than PART-ths of the pairs, and no task holds the sets of more than about PART members of one.
+    A family may hold most rows and has one centre, whose set is therefore dealt out in SALTS copies that meet its members in as
+    many parts. Families have over SMALL members, so that the copies are at most twice the members.
     """
     used = pairs.select(F.col("member").alias("class")).unionByName(pairs.select(F.col("centre").alias("class"))).distinct()
     sets = members.select("class", "elements").join(used, "class", "left_semi").dropDuplicates(["class"])
-    parts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    dealt = pairs.join(parts.where("parts > 1"), "centre", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("member"), "parts"), F.lit(0)))
-    one = dealt.drop("parts").join(sets.select(F.col("class").alias("member"), "elements"), "member")
-    centres = sets.select(F.col("class").alias("centre"), F.col("elements").alias("centre_elements")).join(parts, "centre")
-    both = one.join(centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts"), ["centre", "part"])
+    salt = F.when(F.col("large"), F.pmod(F.xxhash64("member"), F.lit(SALTS))).otherwise(0)
+    one = pairs.withColumn("salt", salt).join(sets.select(F.col("class").alias("member"), "elements"), "member")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("large"), SALTS - 1).otherwise(0).cast("long")))
+    centres = pairs.select("centre", "large").distinct().withColumn("salt", copies).join(sets.select(F.col("class").alias("centre"), F.col("elements").alias("centre_elements")), "centre")
+    both = one.join(centres, ["centre", "large", "salt"])
     return both.select("member", "centre", "large", "elements", "centre_elements").mapInArrow(_differences, "member long, centre long, large boolean, size long, centre_size long, diff array<long>")
 
 
