@@ -87,6 +87,29 @@ def captured(path: str, data: bytes) -> tuple[str, str]:
     return path, "full"
 
 
+def appended(path: str, data: bytes) -> tuple[str, str]:
+    """One line more of a journal. What a crash left behind its last newline is put aside first, in a file of its own."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "ab+") as f:
+        f.seek(0)
+        held = f.read()
+        end = held.rfind(b"\n") + 1
+        if end < len(held):
+            _put(os.path.join(os.path.dirname(path), f"torn-append-{hashlib.sha256(held[end:]).hexdigest()[:12]}.txt"), held[end:])
+            f.truncate(end)
+        if held[:end].endswith(b"\n" + data + b"\n") or held[:end] == data + b"\n":  # a task that runs again
+            return path, "reused"
+        f.write(data + b"\n")
+        f.flush()
+        os.fsync(f.fileno())
+    return path, "written"
+
+
+def manifest(run: Column, totals: Column, at: Column) -> Column:
+    """A run's manifest as JSON, with its totals and the time of its last change; write it with replaced()."""
+    return pretty_json(F.struct(run.alias("run"), totals.alias("totals"), at.alias("updated_at")))
+
+
 def write(rows: DataFrame, how: Callable[[str, bytes], tuple[str, str]] = kept, path: str = "path", content: str = "content") -> DataFrame:
     """requested, path, outcome of every row, written when the result is used: written, reused, exists or full.
 

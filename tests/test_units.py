@@ -207,6 +207,36 @@ def test_sinks_never_overwrite(spark, tmp_path):
     assert value(spark, W.filled_template(F.lit("a {{ x }} b{{y}}"), F.create_map(F.lit("x"), F.lit("1")))) == "a 1 b"
 
 
+def test_journals_are_appended_line_by_line(tmp_path):
+    from lexloom.sources import sinks as W
+
+    path = str(tmp_path / "j.jsonl")
+    assert W.appended(path, b"{}")[1] == "written" and W.appended(path, b"{}")[1] == "reused" and W.appended(path, b"[1]")[1] == "written"
+    with open(path, "ab") as f:
+        f.write(b'{"half')
+    assert W.appended(path, b"[2]")[1] == "written" and open(path).read() == "{}\n[1]\n[2]\n"
+    (torn,) = tmp_path.glob("torn-append-*.txt")
+    assert torn.read_bytes() == b'{"half'
+
+
+def test_paths_of_one_file_or_folder(spark, tmp_path):
+    import pytest
+
+    from lexloom.sources import files as R
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("x")
+    assert R.one_file(spark, str(tmp_path), "a/x.txt").count() == 1 and R.one_folder(spark, str(tmp_path), "a").count() == 1
+    for f, path in ((R.one_file, "../x.txt"), (R.one_file, "https://x/y.txt"), (R.one_folder, ".."), (R.one_folder, "."), (R.one_folder, "ftp://x")):
+        with pytest.raises(ValueError, match="must"):
+            f(spark, str(tmp_path), path)
+    with pytest.raises(FileNotFoundError):
+        R.one_file(spark, str(tmp_path), "a")
+    with pytest.raises(NotADirectoryError):
+        R.one_folder(spark, str(tmp_path), "a/x.txt")
+    assert value(spark, R.readable(F.lit("/lib/a/b.md"), "/lib")) == "/lib/a/b.md" and value(spark, R.readable(F.lit("/other/b.md"), "/lib")) is None
+
+
 def test_model_calls_are_validated_once_more(spark):
     from lexloom.operators import models as P
 
