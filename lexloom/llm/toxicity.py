@@ -285,6 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     table = rest.mapInArrow(features, "doc_id long, toxic int, f array<double>").toPandas().sort_values(["doc_id"])
     model.weights = _logistic(np.array(table["f"].tolist()), table["toxic"].to_numpy(float))
+    scratch.drop()
     return model
 
 

@@ -67,6 +67,28 @@ def test_repeats(spark, monkeypatch, module, name, words, length):
     assert sorted(tuple(r) for r in op(frame(spark, rows)).collect()) == brute_repeats(rows, length, words)
 
 
+@pytest.mark.parametrize(("module", "name", "words", "length"), [(S8, "WORDS", True, 20), (S3, "BYTES", False, 100)])
+def test_repeats_of_many_rows_without_id(spark, monkeypatch, module, name, words, length):
+    """Rows of one key, null or not, fill many blocks, in the order of their texts."""
+    from lexloom.llm import blocks
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    passage = " ".join(f"p{rng.randrange(99)}" for _ in range(40))
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(30)) + " " + (passage if i % 3 else "") for i in range(120)]
+    texts += [texts[0]] * 20 + [None, ""]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts)]
+    monkeypatch.setattr(module, name, dataclasses.replace(getattr(module, name), block_bytes=3000))
+    op = S8.substring_dedup if words else S3.suffix_array_dedup
+    got = sorted(tuple(r)[1:] for r in op(frame(spark, rows)).collect())
+    want = brute_repeats([(-1 if i is None else i, t) for i, t in rows], length, words)
+    assert got == sorted(r[1:] for r in want)
+    from lexloom.llm.common import Scratch
+
+    kept = blocks.ordered_blocks(blocks.keyed(frame(spark, rows), "doc_id", "text", {"x": F.lit(1)}), 3000, Scratch(spark))
+    assert kept.count() > 4
+
+
 def test_byte_bpe_is_the_library(spark):
     import public_tokenizers
     import tiktoken
