@@ -5,10 +5,11 @@ least and the greatest contribution are known; counted from the least, contribut
 bounds. A query's terms, by bound, split into essential and non-essential ones: the non-essential together cannot lift a
 candidate whose essential part falls short of the threshold. The essential terms are traversed for all candidates of a
 block, the others are probed in turn for those that stay competitive, and the threshold rises with the k-th best score.
-Thresholds start from a bounded sample of candidates, so that later shards only emit what can still matter.
+Thresholds start from a bounded sample of candidates, which tasks over the queries score, so that shards only emit what can
+still matter.
 
-Queries are taken in blocks of a fixed number (a broadcast of proven size); candidates stay where they are. Each shard
-emits at most k rows a query; shards are merged by a window over the query.
+Queries are taken in blocks of fixed bytes (a broadcast of proven size), as many as fit one pass over the candidates, which
+stay where they are. Each shard emits at most k rows a query; shards are merged by a window over the query.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a shorter vector counts as
 padded with zeros; repeated rows are candidates each for itself, and a query's own row is every row of its vec_id; rows
@@ -30,8 +31,8 @@ from pyspark.sql.types import StructType
 from lexloom.llm import common
 
 K = 20
-#: Queries of one block, and candidates that give the first thresholds.
-QUERY_BLOCK, SAMPLE = 16_384, 4_096
+#: Bytes of the queries of one pass, and candidates that give the first thresholds.
+QUERY_BYTES, SAMPLE = 32 << 20, 4_096
 #: Candidates of one traversal.
 BLOCK = 4_096
 SCHEMA = "query_id long, vec_id long, score long"
@@ -134,33 +135,46 @@ class MaxScore:
                 yield np.full(len(ids), q), ids, scores.astype(np.int64)
 
 
-def exact_top_k(df: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", scale: int = 64, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _first_thresholds(sample, width: int, k: int):
+    """Adds to queries (vec_id, v) the k-th best score among the sample, minus infinity where it can't be told in floating point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed_ids, seed = sample.value
+        for b in batches:
+            ids, q = b.column(0).to_numpy(), matrix(b.column(1), width)
+            out = np.full(len(ids), -np.inf)
+            small = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(seed).max(initial=0)) * max(1, width) < 2.0**53
+            for lo in range(0, len(ids) if small and len(seed) >= k else 0, 1024):
+                s = q[lo : lo + 1024].astype(np.float64) @ seed.T
+                s[ids[lo : lo + 1024, None] == seed_ids[None, :]] = -np.inf
+                out[lo : lo + 1024] = np.partition(s, -k, axis=1)[:, -k]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["vec_id", "v", "threshold"])
+
+    return run
+
+
+def exact_top_k(df: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", scale: int = 64, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Every query's k best candidates: query_id, rank, vec_id, score. is_query tells query rows by their vec_id."""
     spark = df.sparkSession
     scratch = common.Scratch(spark)
     vectors = scratch.save(integer_vectors(df, key, vector, scale), "vectors")
     stats = vectors.agg(F.max(F.size("v")), F.sum(is_query.cast("long"))).first()
     width, n_queries = int(stats[0] or 0), int(stats[1] or 0)
-    blocks = max(1, -(-n_queries // query_block))
-    # A bounded sample, alike for equal tables: the least hashes of ids.
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow() if n_queries else None
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
     parts = []
+    if n_queries:
+        blocks = -(-n_queries * 8 * (width + 2 * k) // query_bytes)
+        # A bounded sample, alike for equal tables: the least hashes of ids.
+        sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+        seeds = spark.sparkContext.broadcast((sample["vec_id"].to_numpy(), matrix(sample["v"].combine_chunks(), width).astype(np.float64)))
+        queries = vectors.where(is_query).mapInArrow(_first_thresholds(seeds, width, k), "vec_id long, v array<long>, threshold double")
+        queries = scratch.save(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries")
+        seeds.destroy()
     for b in range(blocks if n_queries else 0):
-        own = vectors.where(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).orderBy("vec_id").toArrow()
+        own = queries.where(F.col("block") == b).orderBy("vec_id").toArrow()
         if not len(own):
             continue
-        ids = own["vec_id"].to_numpy()
-        queries = matrix(own["v"].combine_chunks(), width)
-        seed_ids, seed = sample["vec_id"].to_numpy(), matrix(sample["v"].combine_chunks(), width).astype(np.float64)
-        thresholds = np.full(len(ids), -np.inf)
-        small = float(np.abs(queries).max(initial=0)) * float(np.abs(seed).max(initial=0)) * max(1, width) < 2.0**53
-        for lo in range(0, len(ids), 1024):
-            s = queries[lo : lo + 1024].astype(np.float64) @ seed.T
-            s[ids[lo : lo + 1024, None] == seed_ids[None, :]] = -np.inf
-            if small and s.shape[1] >= k:
-                thresholds[lo : lo + 1024] = np.partition(s, -k, axis=1)[:, -k]
-        shared = spark.sparkContext.broadcast((ids, queries, thresholds))
+        shared = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), matrix(own["v"].combine_chunks(), width), own["threshold"].to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             search = MaxScore(*shared.value, k)

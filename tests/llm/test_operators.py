@@ -272,7 +272,7 @@ def test_top_k_against_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     from pyspark.sql import functions as F
 
-    got = sorted(tuple(r) for r in exact_top_k.exact_top_k(df, F.col("vec_id") % 20 == 0, query_block=7).collect())
+    got = sorted(tuple(r) for r in exact_top_k.exact_top_k(df, F.col("vec_id") % 20 == 0, query_bytes=3000).collect())
     ids, e = np.array([*range(400), 1003]), np.floor(64 * np.vstack([v, v[:1]]).astype(np.float64)).astype(int)
     want = []
     for q in range(0, 400, 20):
