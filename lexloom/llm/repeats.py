@@ -7,20 +7,18 @@ removed, and with it the words that it covers. No pair of occurrences is ever fo
 2. Each block hashes short windows at the places that a difference cover modulo a period selects. Two equal windows of L
    words always contain a pair of equal short ones at covered places, whatever their alignment. Blocks send sorted,
    delta-coded sets of these anchors to hash-range buckets, which answer with one bit each: seen in another block or not.
-   With them go hashes of content-defined stretches, answered by: seen in an earlier block or not.
-3. Windows with no repeated anchor cannot repeat. Windows inside a stretch that occurs earlier are removed. Only the rest
-   are extended: named over all L words and sent, again as sorted sets by hash range, one range sorted at a time.
+3. Windows with no repeated anchor cannot repeat. The others are extended: named over all L words and sent, again as sorted
+   sets by hash range, one range sorted at a time, and answered by: seen in an earlier block or not.
 4. Each block applies the answers and yields its documents.
 
 A hash goes to a bucket once per block however often it occurs, so a passage that millions of documents share costs one
 entry per block. Memory is bounded by one block or one bucket. The answers of steps 2 and 3 are written to the shared
-folder, so that the shuffle files of a step are gone before the next one fills the disks. Names of windows have 96 bits,
-hashes of stretches 64; anchors are cut to 48, where an accidental equality only costs work.
+folder, so that the shuffle files of a step are gone before the next one fills the disks. Names of windows have 96 bits;
+anchors are cut to 48, where an accidental equality only costs work.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,14 +36,12 @@ ANCHOR_BITS = 48
 
 @dataclass(frozen=True)
 class Spec:
-    """How long a window is, the cover, and how often stretches are cut."""
+    """How long a window is, and the cover."""
 
     window: int
     period: int
     cover: tuple[int, ...]
     block_bytes: int
-    cut_gram: int
-    cut_every: int
 
     def __post_init__(self) -> None:
         differences = {(a - b) % self.period for a in self.cover for b in self.cover}
@@ -118,31 +114,6 @@ class Block:
         places = np.flatnonzero(whole & self.fits(self.spec.anchor))
         return places, self.grams(places, self.spec.anchor) >> np.uint64(64 - ANCHOR_BITS)
 
-    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """From, to and hash of every two neighbouring content-defined stretches that hold a window."""
-        spec = self.spec
-        cut = np.zeros(self.n + 1, bool)
-        if self.n:
-            cut[: self.n] = (self.level(spec.cut_gram) % np.uint64(spec.cut_every) == 0) & self.fits(spec.cut_gram)
-        froms, tos = [], []
-        where = np.flatnonzero(cut)
-        for a, b in zip(self.begins.tolist(), self.ends.tolist(), strict=True):
-            if b - a < spec.window:
-                continue
-            inner = where[np.searchsorted(where, a + 1) : np.searchsorted(where, b)].tolist()
-            bounds = [a, *inner, b]
-            if len(bounds) == 2:
-                froms.append(a)
-                tos.append(b)
-            else:
-                froms += bounds[:-2]
-                tos += bounds[2:]
-        f, t = np.array(froms, np.int64), np.array(tos, np.int64)
-        long = t - f >= spec.window
-        f, t = f[long], t[long]
-        base, width = self._levels[1].tobytes(), 8
-        return f, t, np.array([int.from_bytes(hashlib.blake2b(base[a * width : b * width], digest_size=8).digest(), "little") for a, b in zip(f.tolist(), t.tolist(), strict=True)], np.uint64)
-
 
 def _unique_names(names: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct names in order, and for every name its place among them."""
@@ -163,17 +134,15 @@ def _send_anchors(spec: Spec, buckets: int) -> Callable:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 own = Block(spec, data.as_py())
-                rows = []
-                for kind, bits, values in ((0, ANCHOR_BITS, own.anchors()[1]), (1, 64, own.stretches()[2])):
-                    values = np.unique(values)
-                    rows += [(k, block, kind, pack_sorted(values[x:y])) for k, x, y in by_bucket(values, buckets, bits)]
+                values = np.unique(own.anchors()[1])
+                rows = [(k, block, 0, pack_sorted(values[x:y])) for k, x, y in by_bucket(values, buckets, ANCHOR_BITS)]
                 yield from rows_of(schema, rows).to_batches()
 
     return run
 
 
 def answer(key: tuple, sent: pa.Table) -> pa.Table:
-    """For one bucket and kind: each block's flags. Kind 0: in another block; kinds 1 and 2 (names of two parts): in an earlier one."""
+    """For one bucket and kind: each block's flags. Kind 0: in another block; kind 2 (names of two parts): in an earlier one."""
     if key[0].as_py() < 0:  # a block's own state, on its way to the last step
         return sent.select(["k", "block", "kind", "data"])
     order = np.argsort(sent["block"].to_numpy(), kind="stable")
@@ -215,16 +184,11 @@ def _send_windows(spec: Spec, buckets: int) -> Callable:
             places, hashes = own.anchors()
             unique, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
             repeated = places[((counts > 1) | flags_of(right, 0))[inverse]] if len(unique) else places
-            candidate = spread(np.maximum(repeated - (spec.period - 1), 0), repeated + 1, own.n) & own.fits(spec.window)
-            froms, tos, stretch = own.stretches()
-            unique, inverse = np.unique(stretch, return_inverse=True)
-            earlier = (flags_of(right, 1)[inverse] | later(stretch)) if len(unique) else np.zeros(0, bool)
-            removed = spread(froms[earlier], tos[earlier] - spec.window + 1, own.n)
-            sent = candidate & ~removed
+            sent = spread(np.maximum(repeated - (spec.period - 1), 0), repeated + 1, own.n) & own.fits(spec.window)
             first, second, _ = _unique_names(own.names(np.flatnonzero(sent)))
             rows += [(k, block, 2, frames(pack_sorted(first[x:y]), pack_array(second[x:y]))) for k, x, y in by_bucket(first, buckets, 64)]
             own_group = -1 - (block * 0x9E3779B1 >> 7) % (1 << 30)  # spreads the blocks' states
-            rows += [(own_group, block, 3, pack_bits(removed)), (own_group, block, 4, pack_bits(sent))]
+            rows.append((own_group, block, 4, pack_bits(sent)))
         return rows_of(schema, rows)
 
     return run
@@ -235,7 +199,7 @@ def _finish(spec: Spec, schema: pa.Schema, text: bool) -> Callable:
         done = []
         for data in left["data"]:
             own = Block(spec, data.as_py())
-            removed, sent = flags_of(right, 3), np.flatnonzero(flags_of(right, 4))
+            removed, sent = np.zeros(own.n, bool), np.flatnonzero(flags_of(right, 4))
             if len(sent):
                 first, second = own.names(sent)
                 removed[sent] = flags_of(right, 2)[_unique_names((first, second))[2]] | later(first, second)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import common
 from lexloom.llm.repeats import Spec, remove_repeats
 
-WORDS = Spec(window=20, period=13, cover=(0, 1, 3, 9), block_bytes=4 << 20, cut_gram=4, cut_every=32)
+WORDS = Spec(window=20, period=13, cover=(0, 1, 3, 9), block_bytes=4 << 20)
 
 
 def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", carry: dict | None = None, with_text: bool = False) -> DataFrame:
