@@ -45,7 +45,8 @@ SMALL = 32
 #: Parts in which a family's rows meet what is known of the family.
 SALTS = 64
 KEY_BITS = 48
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block, and of text whose signatures one bucket sorts.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Rows of documents (keys null), and of sets that share a signature (doc_id null).
 MEMBERS = "doc_id long, size long, class long, keys array<long>, brief binary, elements binary"
 #: Bytes of a set's brief form.
@@ -255,7 +256,7 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
     rows = df.select(order, F.col(text).cast("string").alias("_text"), F.col(key).cast("long").alias("_id"))
     blocks = scratch.save(pack_blocks(rows, BLOCK_BYTES, numbered=True), "blocks")
     units = blocks.select("block", "data")
-    buckets = count_buckets(blocks)
+    buckets = count_buckets(blocks, BUCKET_BYTES)
     sketch = sketch_of(units, Join(n, pct, lower))
     # The share of n-grams that stand in a crowded counter, for the cost model.
     value = counts_of()
