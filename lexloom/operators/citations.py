@@ -11,6 +11,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +42,8 @@ IN_NAME = r"A-Za-z0-9&'’.,()\- "
 NAMED = re.compile(rf"[A-Z][{IN_NAME}]{{0,100}}?\s+v\.?\s+[A-Z][{IN_NAME}]{{1,100}}?(?=\s*,?\s*\Z)")
 CITED_NEXT = re.compile(rf"\s*,?\s*\d{{1,4}}\s+{REPORTER}\s+\d", re.A | re.I)
 QUOTED = re.compile(rf"[“\"]([^“”\"\n]{{{QUOTE_LEAST},{QUOTE_MOST}}})[”\"]")
+#: Marks of emphasis, which no name has.
+MARKS = str.maketrans("", "", "*_")
 SENTENCE_END = re.compile(r"[.?!] ")
 SECTION = r"[\w().–-]+"
 CODES = re.compile(rf"\b(?:\d+\s+U\.?\s*S\.?\s*C\.?(?:\s*§+)?\s*{SECTION}|MCL\s+\d{SECTION[:-1]}*|[A-Z][A-Za-z. ]+\s+(?:Code|Laws?)\s*§+\s*{SECTION})", re.A)
@@ -53,9 +56,10 @@ OCCURRENCE = (
     "first_page string, pincite string, parenthetical string, cited_year string, proposition string, quotation string, start_at int, end_at int"
 )
 FIELDS = [c.split()[0] for c in OCCURRENCE.split(", ")]
+fields_of = attrgetter(*FIELDS)
 
 
-@dataclass
+@dataclass(slots=True)
 class Found:
     """One occurrence; fields that a kind doesn't have stay None."""
 
@@ -118,8 +122,7 @@ class Block:
 
     def name_before(self, at: int) -> tuple[str | None, int]:
         """The case name that ends right before a place, and where it begins; emphasis marks don't count."""
-        kept = [i for i in range(max(0, at - NAME_REACH), at) if self.text[i] not in "*_"]
-        plain = "".join(self.text[i] for i in kept)
+        plain = self.text[max(0, at - NAME_REACH) : at].translate(MARKS)
         cut = max(plain.rfind(";"), plain.rfind("\n")) + 1
         m = NAMED.search(plain, cut)
         # places count in the text without marks, from the citation backwards
@@ -130,10 +133,11 @@ class Block:
         reach, pages, note = min(len(self.text), at + TAIL_REACH), None, None
         ahead = self.text[at:reach]
         here = 0
-        for m in _shorter(PINPOINT, ahead):
-            if AFTER_PIN.match(ahead, m[1]):
-                pages, here = m[0], m[1]
-                break
+        if m := PINPOINT.match(ahead):
+            if AFTER_PIN.match(ahead, m.end()):
+                pages, here = m["pages"].strip(), m.end()
+            else:
+                pages, here = next((x for x in _shorter(m) if AFTER_PIN.match(ahead, x[1])), (None, 0))
         if m := IN_BRACKETS.match(ahead, here):
             note, here = m["note"], m.end()
         return pages, note, at + here
@@ -144,12 +148,10 @@ class Block:
         self.taken.append(f)
 
 
-def _shorter(pattern: re.Pattern, text: str) -> Iterator[tuple[str, int]]:
-    """The match at the front and its shorter forms, longest first: (pages, end)."""
-    if m := pattern.match(text):
-        whole, first = m["pages"], m.start("pages")
-        ends = {len(whole)} | {k for k in range(1, len(whole)) if re.fullmatch(NOTED, whole[:k], re.A)}
-        yield from ((whole[:k].strip(), first + k) for k in sorted(ends, reverse=True))
+def _shorter(m: re.Match) -> Iterator[tuple[str, int]]:
+    """The shorter forms of what a pinpoint matched, longest first: (pages, end)."""
+    whole, first = m["pages"], m.start("pages")
+    yield from ((whole[:k].strip(), first + k) for k in range(len(whole) - 1, 0, -1) if re.fullmatch(NOTED, whole[:k], re.A))
 
 
 def _reporters(block: Block, short: bool) -> Iterator[Found]:
@@ -223,7 +225,7 @@ def occurrences(docs: DataFrame, key: str = "doc_id", blocks: Column | None = No
                 for block in held or ():
                     for f in occurrences_in(block["text"]):
                         seq += 1
-                        for col, v in zip(cols, (doc, block["no"], seq, f"C{seq:04d}", *(getattr(f, name) for name in FIELDS)), strict=True):
+                        for col, v in zip(cols, (doc, block["no"], seq, f"C{seq:04d}", *fields_of(f)), strict=True):
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, target, strict=True)], schema=target)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lexloom.functions import text as T
+from lexloom.session import saved
 
 # Target length of a block's text, what it may exceed it by, and the first letter of block ids, by profile.
 PROFILES = {"analysis": (1600, 250, "P"), "draft": (1800, 300, "D")}
@@ -189,30 +190,32 @@ def quoted_documents(quotes: DataFrame, docs: DataFrame, quote_key: str = "item_
     """
     fold = T.fold_typography
     q = quotes.select(quote_key, fold(F.col("text")).alias("q")).where("q <> ''").withColumn("ws", F.split("q", " "))
-    d = docs.select(key, fold(F.col("text")).alias("t"))
-    ws = F.split("t", " ")
-    hashed = lambda a: F.xxhash64(F.array_join(a, " "))
+    # the words are a column of their own, or they would be cut anew for every run
+    d = docs.select(key, fold(F.col("text")).alias("t")).withColumn("ws", F.split("t", " "))
+    run_at = lambda i: F.xxhash64(*(F.get("ws", i + j) for j in range(words)))
     # inner words only: the first and last word of a quotation may be cut out of longer ones
     inner = F.slice("ws", 2, F.greatest(F.size("ws") - 2, F.lit(0)))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    probes = q.select(quote_key, F.when(F.size("ws") >= words + 2, hashed(F.slice("ws", 2, words))).when(F.size("ws") >= 3, F.xxhash64(longest)).alias("h"), (F.size("ws") >= words + 2).alias("run"))
+    probes = q.select(quote_key, F.when(F.size("ws") >= words + 2, run_at(F.lit(1))).when(F.size("ws") >= 3, F.xxhash64(longest)).alias("h"), (F.size("ws") >= words + 2).alias("run"))
     probes = probes.where("h IS NOT NULL")
 
     def candidates(run: bool) -> DataFrame:
         mine = probes.where("run" if run else "NOT run").select(quote_key, "h")
-        runs = F.transform(F.sequence(F.lit(1), F.size(ws) - words + 1), lambda i: hashed(F.slice(ws, i, words))) if run else F.transform(ws, lambda w: F.xxhash64(w))
-        grams = d.where(F.size(ws) >= (words if run else 3)).select(key, F.explode(F.array_distinct(runs)).alias("h"))
-        few = mine.limit(FEW + 1).count() <= FEW
-        return grams.join(F.broadcast(mine) if few else mine, "h").select(quote_key, key)
+        n = mine.limit(FEW + 1).count()
+        if not n:
+            return mine.select(quote_key, F.lit(None).cast(dict(d.dtypes)[key]).alias(key)).where("false")
+        runs = F.transform(F.sequence(F.lit(0), F.size("ws") - words), run_at) if run else F.transform("ws", lambda w: F.xxhash64(w))
+        grams = d.where(F.size("ws") >= (words if run else 3)).select(key, F.explode(F.array_distinct(runs)).alias("h"))
+        return grams.join(F.broadcast(mine) if n <= FEW else mine, "h").select(quote_key, key)
 
     short = q.where(F.size("ws") < 3).withColumn("piece", F.element_at(F.array_sort("ws", lambda a, b: F.length(b) - F.length(a)), 1))
     found = candidates(True).unionByName(candidates(False))
     if not short.isEmpty():
-        each = d.select(key, F.explode(F.array_distinct(ws)).alias("w"))
+        each = d.select(key, F.explode(F.array_distinct("ws")).alias("w"))
         known = each.select("w").distinct().join(short.select(quote_key, "piece"), F.contains("w", "piece")).select(quote_key, "w")
         found = found.unionByName(each.join(known, "w").select(quote_key, key))
-    pairs = found.distinct()
-    texts = d.join(pairs.select(key).distinct(), key, "left_semi")
+    pairs = saved(found.distinct())  # read twice
+    texts = d.drop("ws").join(pairs.select(key).distinct(), key, "left_semi")
     return pairs.join(texts, key).join(q.select(quote_key, "q"), quote_key).where(F.contains("t", "q")).select(quote_key, key)
 
 
