@@ -206,26 +206,46 @@ def occurrences_in(text: str) -> list[Found]:
     return sorted(block.taken, key=lambda f: (f.start_at, f.end_at))
 
 
-def occurrences(docs: DataFrame, key: str = "doc_id", blocks: Column | None = None) -> DataFrame:
+class Links:
+    """The links of one document's occurrences, one after the other; the same as link_short_forms()."""
+
+    def __init__(self) -> None:
+        self.last: int | None = None
+        self.kind = "case"
+        self.roots: dict[str, int] = {}
+
+    def of(self, f: Found, seq: int) -> int | None:
+        linked = self.last if f.kind == "id" else self.roots.get(f.root) if f.kind == "short_form" and f.root else None
+        if f.kind == "id":
+            f.authority_type = self.kind
+        self.kind, self.last = f.authority_type, seq
+        if f.root:
+            self.roots[f.root] = seq
+        return linked
+
+
+def occurrences(docs: DataFrame, key: str = "doc_id", blocks: Column | None = None, link: bool = False) -> DataFrame:
     """One row per citation of every document, numbered in the order of blocks and places: key, block_no, seq, occ_id, and the fields.
 
     blocks: an array of a document's block texts; by default the paragraphs of text. A map over documents: the numbers come
     from the document's own array, so nothing is shuffled, and blocks without a digit, 'Id.' or ' v. ' never reach Python.
+    link: with linked_seq and the types of id's, as link_short_forms() gives them.
     """
     given = blocks if blocks is not None else T.paragraphs(F.col("text"))
     kind = dict(docs.dtypes)[key]
-    schema = f"{key} {kind}, block_no int, seq int, occ_id string, {OCCURRENCE}"
+    schema = f"{key} {kind}, block_no int, seq int, occ_id string, {OCCURRENCE}" + (", linked_seq int" if link else "")
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in target]
             for doc, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seq = 0
+                seq, links = 0, Links()
                 for block in held or ():
                     for f in occurrences_in(block["text"]):
                         seq += 1
-                        for col, v in zip(cols, (doc, block["no"], seq, f"C{seq:04d}", *fields_of(f)), strict=True):
+                        linked = (links.of(f, seq),) if link else ()
+                        for col, v in zip(cols, (doc, block["no"], seq, f"C{seq:04d}", *fields_of(f), *linked), strict=True):
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, target, strict=True)], schema=target)
 

@@ -129,7 +129,7 @@ UNION ALL SELECT k, 4, 'unsupported', 'statute', '42 U.S.C. § 1983.', NULL, NUL
 def citation_occurrences(t):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     text = F.concat(F.lit("Smith v. Jones, "), c % 900 + 1, F.lit(" F.3d "), k, F.lit(", "), k + 5, F.lit(" (6th Cir. "), F.year("o_orderdate"), F.lit("), holds. Smith, "), c % 900 + 1, F.lit(" F.3d at "), k + 6, F.lit(", adds. Id. at "), k + 7, F.lit(". See 42 U.S.C. § 1983."))
-    found = O.link_short_forms(O.occurrences(t("orders").select(k.alias("doc_id"), text.alias("text"))))
+    found = O.occurrences(t("orders").select(k.alias("doc_id"), text.alias("text")), link=True)
     return found.select("doc_id", "seq", "kind", "authority_type", "raw_citation", "norm_citation", "pincite", "cited_year", "linked_seq", "start_at")
 
 

@@ -71,12 +71,14 @@ def test_occurrences_and_links(spark):
     text = "The rule is old; Able v. Baker Co., 7 U.S. 19, 23 n. 4 (1805), stated it. Under 11 U.S.C. § 362(a) a stay follows. Id. Ibid. at 9. Later cases kept it, 7 U.S. at *25; Carr v. Dunn agreed."
     docs = spark.createDataFrame([("d", text), ("e", "no digits here"), ("f", None)], "doc_id string, text string")
     rows = O.link_short_forms(O.occurrences(docs)).orderBy("seq").collect()
+    assert sorted(map(tuple, O.occurrences(docs, link=True).collect()), key=str) == sorted(map(tuple, O.link_short_forms(O.occurrences(docs)).collect()), key=str)
     assert [(r["kind"], r["authority_type"], r["linked_seq"]) for r in rows] == [("full", "case", None), ("unsupported", "statute", None), ("id", "statute", 2), ("id", "statute", 3), ("short_form", "case", 1), ("name_only", "case", None)]
     first = rows[0]
     assert (first["case_name"], first["norm_citation"], first["pincite"], first["parenthetical"], first["cited_year"]) == ("Able v. Baker Co.", "7:us:19", "23 n. 4", "(1805)", "1805")
     assert (first["volume"], first["reporter"], first["first_page"]) == ("7", "U.S.", "19") and text[first["start_at"] : first["end_at"]] == first["raw_citation"]
     assert first["proposition"] == "The rule is old; Able v. Baker Co., 7 U.S. 19, 23 n. 4 (1805), stated it." and rows[5]["raw_citation"] == "Carr v. Dunn" and rows[0]["occ_id"] == "C0001"
     lone = spark.createDataFrame([("d", "Id. at 3. Id.")], "doc_id string, text string")
+    assert [(r["authority_type"], r["linked_seq"]) for r in O.occurrences(lone, link=True).orderBy("seq").collect()] == [("case", None), ("case", 1)]
     assert [(r["authority_type"], r["linked_seq"]) for r in O.link_short_forms(O.occurrences(lone)).orderBy("seq").collect()] == [("case", None), ("case", 1)]
 
 
