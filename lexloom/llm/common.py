@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import compress, repeat
@@ -47,9 +48,13 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing can reach any more, now that their results are in tables."""
+    """Lets Spark remove the shuffle files of plans that nothing can reach any more, now that their results are in tables.
+
+    Its cleaner works beside the driver and is given a moment, so that the next step doesn't fill the disks before it is through.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
