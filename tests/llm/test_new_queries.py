@@ -1,0 +1,172 @@
+"""Operators 11 to 13: their queries against their SQL over tables full of edge cases, and their methods against plain ones."""
+
+import random
+
+import duckdb
+import numpy as np
+import pytest
+
+from lexloom.llm import chat_formatting as chat
+from lexloom.llm import hard_negatives as hard
+from lexloom.llm import registry
+from lexloom.llm import vector_codes as codes
+
+
+def compare(spark, folder, name, table):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    want = con.sql(registry.ORACLES[name])
+    got = registry.QUERIES[name](spark, str(folder)).select(*want.columns)
+    rows = lambda x: sorted(x, key=lambda r: tuple((v is None, v) for v in r))
+    got, want = rows([tuple(r) for r in got.collect()]), rows(want.fetchall())
+    assert got == want
+    return got
+
+
+# op11 -----------------------------------------------------------------------------------------------------------------
+
+PIECES = ["[INST]", "[/INST]", "</s>", "<s>", "<<SYS>>", "<</SYS>>", "[TURN]", "[SAYS]", "[/TURN]", "<|im_start|>", "<|im_end|>", "<|im_other|>", "[\\INST]", "<\\\\/s>", "\\", "[", "<", "/", "]", ">", " ", "\n", "s", "ok", "é", "𝄞", "INST]"]
+
+
+def hostile(rng, most=9):
+    return "".join(rng.choice(PIECES) for _ in range(rng.randrange(most)))
+
+
+@pytest.mark.parametrize("template", [chat.INST, chat.CHATML])
+def test_round_trip(template):
+    rng, grammar = random.Random(3), chat.Grammar(template)
+    for _ in range(3000):
+        turns = [(rng.choice(["user", "assistant", "system", "", "tool", hostile(rng, 4)]), hostile(rng)) for _ in range(rng.randrange(5))]
+        done = [grammar.settle(*t) for t in turns]
+        assert grammar.turns("".join(d for d, *_ in done)) == turns
+        assert all(grammar.unescape(d[a:b]) == text for (d, a, b), (_, text) in zip(done, turns, strict=True))
+        assert all(c not in d[a:b] for d, a, b in done for c in template.controls)
+
+
+def test_plain_texts_stay_as_they_are():
+    grammar = chat.Grammar()
+    assert grammar.settle("user", "a < b [x] \\n")[0] == "[INST] a < b [x] \\n [/INST]"
+    assert grammar.settle("assistant", "</s>[INST] ok [/INST]")[0] == " <\\/s>[\\INST] ok [\\/INST]</s>"
+    for text in ("[INST] a", "[INST] a</s>", "x", "[INST] a[/INST]", "[TURN]user[SAYS] a [/TURN]"):
+        with pytest.raises(chat.Unreadable):
+            grammar.turns(text)
+
+
+def test_reader_takes_any_cut():
+    rng, grammar = random.Random(5), chat.Grammar()
+    turns = [(rng.choice(["user", "assistant", "system", "tool"]), hostile(rng)) for _ in range(40)]
+    text = "".join(grammar.settle(*t)[0] for t in turns)
+    whole, cut = chat._Reader(1, grammar), chat._Reader(1, grammar)
+    whole.add(text)
+    while text:
+        n = rng.randrange(1, 7)
+        cut.add(text[:n])
+        text = text[n:]
+    assert whole.row() == cut.row() and whole.n_turns == 40
+
+
+def test_op11_edge_cases(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", None, "[INST]"]), hostile(rng), 1) for c in range(40) for t in range(rng.randrange(6))]
+    rows += [(90, None, "user", None, 1), (90, 0, "assistant", None, 1), (90, 0, "assistant", "b", 1), (90, 0, "assistant", "b", 1), (None, 0, "user", "x", 1), (None, 1, "assistant", "y", 1), (91, 0, "assistant", "long </s>" * 100_000, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = compare(spark, tmp_path, "op11_chat_formatting", "conversations")
+    assert [r[:2] for r in got if r[0] == -7] == [(-7, 2)]
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/empty/conversations.parquet")
+    assert len(registry.QUERIES["op11_chat_formatting"](spark, f"{tmp_path}/empty").collect()) == 1
+
+
+def test_pieces_join_to_the_text_and_its_loss(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "[INST]"), (2, 0, "user", "a"), (2, 1, "assistant", "b")]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "start").collect()
+    text = "".join(r.formatted for r in got if r.conv_id == 1)
+    assert text == "<<SYS>>\nbe kind\n<</SYS>>\n\n[INST] hi [/INST] [\\INST]</s>"
+    assert [text[r.loss_from : r.loss_to] for r in got if r.conv_id == 1 and r.loss_from is not None] == ["[\\INST]"]
+    twice = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.CHATML), chat.CHATML)
+    assert sorted(r.loss_chars for r in twice.collect()) == [1, 6]
+
+
+# op12 and op13 --------------------------------------------------------------------------------------------------------
+
+
+def vectors(n, width, seed, spread=1.0):
+    """Rows with ties, copies, unsound components and lost values among them."""
+    rng = np.random.default_rng(seed)
+    base = (rng.normal(size=(n, width)) * spread).astype(np.float32)
+    base[rng.random(n) < 0.3] = base[0]
+    rows = []
+    for i, v in enumerate(base.tolist()):
+        vector = None if i % 41 == 5 else [None, *v[1:]] if i % 43 == 6 else [float("nan"), *v[1:]] if i % 47 == 7 else [float("-inf"), *v[1:]] if i % 53 == 8 else v
+        rows.append((None if i % 59 == 9 else i - 20, vector, None if i % 61 == 10 else i % 4, "x"))
+    return rows
+
+
+SCHEMA = "vec_id long, embedding array<float>, label int, v string"
+
+
+@pytest.mark.parametrize("seed,width,spread", [(1, 64, 0.1), (2, 64, 30.0), (3, 8, 0.01)])
+def test_op12_edge_cases(spark, tmp_path, seed, width, spread):
+    spark.createDataFrame(vectors(900, width, seed, spread), SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert compare(spark, tmp_path, "op12_hard_negatives", "embeddings")
+
+
+def test_op12_without_rows_and_in_many_blocks(spark, tmp_path):
+    frame = spark.createDataFrame(vectors(900, 8, 4), SCHEMA)
+    one = hard.hard_negatives(frame, hard.F.col("vec_id") % 20 == 0, hard.F.col("label"))
+    many = hard.hard_negatives(frame, hard.F.col("vec_id") % 20 == 0, hard.F.col("label"), anchor_bytes=1 << 13, pivots=2)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    assert not hard.hard_negatives(frame.where("vec_id = 1"), hard.F.col("vec_id") % 20 == 0, hard.F.col("label")).collect()
+    assert not hard.hard_negatives(spark.createDataFrame([(0, [], 1, "")], SCHEMA), hard.F.col("vec_id") % 20 == 0, hard.F.col("label")).collect()
+    huge = [(0, [1e30, 1.0], 1, ""), (100, [1e30, -1.0], 1, ""), (3, [9e29, 0.0], 2, ""), (4, [-1e30, 0.0], 2, "")]
+    assert {(r.anchor_id, r.negative_id) for r in hard.hard_negatives(spark.createDataFrame(huge, SCHEMA), hard.F.col("vec_id") % 20 == 0, hard.F.col("label")).collect()} == {(0, 3), (100, 3)}
+
+
+@pytest.mark.parametrize("spread", [1, 50, 10**6])
+def test_brackets_hold_every_score_and_rule_out_many(spread):
+    rng = np.random.default_rng(9)
+    centres = rng.integers(-1000, 1000, (12, 16))
+    v = centres[rng.integers(0, 12, 3000)] * 20 + rng.integers(-spread, spread + 1, (3000, 16))
+    q = v[::97]
+    table = hard.PivotTable(hard._spread(v, 12), float(np.sqrt((v.astype(float) ** 2).sum(1).max())))
+    stored, to = table.of_rows(v), table.of_anchors(q)
+    near, far = np.abs(to[:, None, :] - stored[None]).max(2), (to[:, None, :] + stored[None]).min(2)
+    least, most = table.scores((q.astype(float) ** 2).sum(1), near, far)
+    true = q @ v.T
+    assert (least <= true).all() and (true <= most).all()
+    anchors = hard.Anchors(np.arange(0, 3000, 97), np.zeros(len(q), np.int64), q, 5)
+    checked = hard.traverse(anchors, table, np.arange(3000), np.zeros(3000, np.int64), v, stored)
+    assert checked < len(q) * 3000 / (3 if spread <= 50 else 1)
+    for i, b in enumerate(anchors.best):
+        want = sorted(((-int(true[i, j]), j) for j in range(3000) if j != 97 * i))[:5]
+        assert list(zip((-b[0].scores).tolist(), b[0].ids.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("n,width,seed,spread", [(600, 64, 1, 0.1), (300, 61, 2, 3.0), (9, 16, 3, 1.0)])
+def test_op13_edge_cases(spark, tmp_path, n, width, seed, spread):
+    rows = [(a, b and b + [0.0] * (-len(b) % 8), c, d) for a, b, c, d in vectors(n, width, seed, spread)]  # the SQL has no padding
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = compare(spark, tmp_path, "op13_vector_codes", "embeddings")
+    assert len({r[4] for r in got}) == 1
+    if width % 8:  # and the operator pads as the table above does
+        short, _ = codes.vector_codes(spark.createDataFrame(vectors(n, width, seed, spread), SCHEMA))
+        assert sorted((r.code, r.error) for r in short.collect()) == sorted(r[1:3] for r in got)
+
+
+def test_op13_without_rows_and_with_many_labels(spark, tmp_path):
+    spark.createDataFrame([(1, None, 1, ""), (2, [float("nan")], 1, "")], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert not registry.QUERIES["op13_vector_codes"](spark, str(tmp_path)).collect()
+    coded = spark.createDataFrame([(i, None if i % 3 == 0 else i % 7, f"{i:02x}", i) for i in range(300)], codes.CODES)
+    rows = [sorted(map(tuple, codes.with_label_errors(coded, few).collect())) for few in (100, 2)]
+    assert rows[0] == rows[1] and len(rows[0]) == 300
+    huge, books = codes.vector_codes(spark.createDataFrame([(1, [1e300] * 64, 1, ""), (2, [-1e300] * 64, 1, ""), (3, [0.0], 1, "")], SCHEMA.replace("float", "double")), entries=1)
+    assert all(r.error >= 0 for r in huge.collect()) and books.shape == (8, 1, 8)
+
+
+@pytest.mark.parametrize("spread", [1, 9, 4096, 1 << 27])
+def test_cells_find_the_nearest_entry(spread):
+    rng = np.random.default_rng(spread)
+    entries, parts = rng.integers(-spread, spread + 1, (16, 8)), rng.integers(-spread, spread + 1, (500, 8))
+    entries[5] = entries[3]
+    best, far, n = codes.Cells(entries).nearest(parts)
+    all_of = ((parts[:, None] - entries[None]) ** 2).sum(2)
+    assert (best == all_of.argmin(1)).all() and (far == all_of.min(1)).all() and n < 500 * 16
