@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import gc
+import secrets
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import compress, repeat
 from operator import is_
 
@@ -106,9 +107,36 @@ def slices_of(column: pa.Array) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def new_seed() -> int:
+    """A secret that hashes of one run are keyed with, so that nobody can write texts whose hashes are equal. Drawn once, on the driver."""
+    return secrets.randbits(63)
+
+
+#: The secret of hashes that never leave a process.
+OWN_SEED = new_seed()
+
+
+def word_hashes(words: list[bytes], seed: int) -> np.ndarray:
+    """64-bit keyed hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(seed)), np.uint64, len(words))
+
+
+def multilinear_keys(seed: int, words: int, names: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, (names, words + 1), np.uint64)
+
+
+def multilinear(columns: Iterable[np.ndarray], keys: np.ndarray, n: int) -> np.ndarray:
+    """Names of n sequences of 32-bit words, given word by word: one row of 32 bits for each row of keys.
+
+    The high half of a keyed sum modulo 2**64 is strongly universal: whatever two different sequences are, their names are equal with
+    probability 2**-32 for each row, independently of the others.
+    """
+    out = np.repeat(keys[:, -1:], n, 1)
+    for i, column in enumerate(columns):
+        x = column.astype(np.uint64)
+        for row, k in zip(out, keys[:, i], strict=True):
+            row += x * k
+    return out >> np.uint64(32)
 
 
 def lookup(keys: list[bytes], known: dict[bytes, bytes], learn: Callable[[list[bytes]], None]) -> list[bytes]:

@@ -54,10 +54,10 @@ BRIEF = 256
 
 
 class Join:
-    """The parameters of one join and what follows from them for sets of a size. pct: the threshold in percent."""
+    """The parameters of one join and what follows from them for sets of a size. pct: the threshold in percent; seed: the secret of its hashes."""
 
-    def __init__(self, n: int, pct: int, lower: bool, repeated: float = 0.0) -> None:
-        self.n, self.pct, self.lower, self.repeated = n, pct, lower, repeated
+    def __init__(self, n: int, pct: int, lower: bool, repeated: float = 0.0, seed: int = 0) -> None:
+        self.n, self.pct, self.lower, self.repeated, self.seed = n, pct, lower, repeated, seed
         self.lows = [1]
 
     def band(self, size: int) -> int:
@@ -93,7 +93,7 @@ class Join:
         for t in texts:
             raw = (t or "").encode("utf-8", "replace")
             words = (raw.lower() if self.lower else raw).split()
-            h = common.word_hashes(words)
+            h = common.word_hashes(words, self.seed)
             if words and len(words) < self.n:
                 g = common.gram_hashes(h, len(h)) ^ np.uint64(len(h))
             else:
@@ -257,13 +257,14 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
     blocks = scratch.save(pack_blocks(rows, BLOCK_BYTES, numbered=True), "blocks")
     units = blocks.select("block", "data")
     buckets = count_buckets(blocks, BUCKET_BYTES)
-    sketch = sketch_of(units, Join(n, pct, lower))
+    seed = common.new_seed()
+    sketch = sketch_of(units, Join(n, pct, lower, seed=seed))
     # The share of n-grams that stand in a crowded counter, for the cost model.
     value = counts_of()
     held = np.bincount(sketch, minlength=256) * value
     level = max(1.0, float(value[int(np.median(sketch))]))
     repeated = float(held[value > 4 * level + 8].sum() / max(1, held.sum()))
-    join = Join(n, pct, lower, min(0.9, max(0.01, repeated)))
+    join = Join(n, pct, lower, min(0.9, max(0.01, repeated)), seed)
     shared = df.sparkSession.sparkContext.broadcast(sketch)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

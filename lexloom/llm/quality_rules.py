@@ -62,7 +62,7 @@ def repeat_words(words: list[bytes]) -> int:
     """Words that stand in a 3-word window whose sequence starts at least twice in the text."""
     if len(words) < 4:
         return 0
-    g = common.gram_hashes(common.word_hashes(words), 3)
+    g = common.gram_hashes(common.word_hashes(words, common.OWN_SEED), 3)
     ordered = np.sort(g)
     again = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(again):

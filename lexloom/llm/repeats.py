@@ -13,17 +13,20 @@ removed, and with it the words that it covers. No pair of occurrences is ever fo
 
 A hash goes to a bucket once per block however often it occurs, so a passage that millions of documents share costs one
 entry per block. Memory is bounded by one block or one bucket. The answers of steps 2 and 3 are written to the shared
-folder, so that the shuffle files of a step are gone before the next one fills the disks. Names of windows have 96 bits;
-anchors are cut to 48, where an accidental equality only costs work.
+folder, so that the shuffle files of a step are gone before the next one fills the disks. Windows are named by 96 bits, three
+keyed sums over the 128-bit keyed hashes of their words: whatever the texts, two different windows have one name with
+probability 2**-96, as the secret is drawn anew for every run. Anchors have 48 bits, where an accidental equality only costs work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -42,6 +45,8 @@ class Spec:
     period: int
     cover: tuple[int, ...]
     block_bytes: int
+    #: The secret of a run's hashes.
+    seed: int = 0
 
     def __post_init__(self) -> None:
         differences = {(a - b) % self.period for a in self.cover for b in self.cover}
@@ -62,7 +67,10 @@ class Block:
         self.table = pa.ipc.open_stream(data).read_all()
         self.raw = [t.encode("utf-8", "replace") if t else b"" for t in self.table["_text"].to_pylist()]
         self.parts = [r.split() for r in self.raw]
-        units = common.word_hashes([w for ws in self.parts for w in ws])
+        words = [w for ws in self.parts for w in ws]
+        #: 128 bits of every word, in four parts.
+        self.words = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words, repeat(spec.seed))), "<u4").reshape(-1, 4)
+        units = np.ascontiguousarray(self.words[:, :2]).view("<u8").ravel()
         sizes = [len(p) for p in self.parts]
         self.n = len(units)
         self.ends = np.cumsum(sizes, dtype=np.int64)
@@ -88,15 +96,13 @@ class Block:
         return out
 
     def names(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The windows from each place as 64 bits and 32 more, both of the same parts of them."""
-        n, done, second, size = self.spec.window, 0, np.zeros(len(places), np.uint64), 1 << self.spec.window.bit_length()
-        while size:
-            if n & size:
-                second = (second ^ (self.level(size)[places + done] * common.M1)) * common.M3
-                second ^= second >> np.uint64(31)
-                done += size
-            size >>= 1
-        return self.grams(places, n), (second >> np.uint64(32)).astype(np.uint32)
+        """The windows from each place as 64 bits and 32 more."""
+        keys = common.multilinear_keys(self.spec.seed, 4 * self.spec.window, 3)
+        out = np.empty((3, len(places)), np.uint64)
+        for lo in range(0, len(places), common.CHUNK):
+            at = places[lo : lo + common.CHUNK]
+            out[:, lo : lo + common.CHUNK] = common.multilinear((column for i in range(self.spec.window) for column in self.words[at + i].T), keys, len(at))
+        return (out[0] << np.uint64(32)) | out[1], out[2].astype(np.uint32)
 
     def fits(self, n: int) -> np.ndarray:
         """True at places from which n words of the same document follow."""
@@ -214,7 +220,7 @@ def _finish(spec: Spec, schema: pa.Schema, text: bool) -> Callable:
 
 def remove_repeats(df: DataFrame, spec: Spec, key: str, text: str, carry: dict[str, Column], with_text: bool = False) -> DataFrame:
     """Of every row the carried columns, as the struct _carried, with n_units, n_removed, n_spans, kept_sha256 and, if asked for, kept_text."""
-    scratch = common.Scratch(df.sparkSession)
+    scratch, spec = common.Scratch(df.sparkSession), replace(spec, seed=common.new_seed())
     rows = keyed(df, key, text, carry)
     blocks = ordered_blocks(rows, spec.block_bytes, scratch)
     buckets = count_buckets(blocks)

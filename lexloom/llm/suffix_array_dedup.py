@@ -8,14 +8,18 @@ their tails behind the ranked depth are. No more than PERIOD - 1 bytes of a suff
 1. Documents are packed into blocks in the order of their keys (by a range shuffle only if the input isn't so ordered).
    What follows is done for one range of suffix buckets after the other (PASSES of them), so that no more than that is on disk.
 2. Ranks of the cover sample to depth DEPTH - PERIOD + 1: keys of 56 bits that grow with the first two bytes, by a count of
-   all of them, and fill equal ranges evenly; among equal first bytes the order is that of a hash. So buckets of key ranges
+   all of them, and fill equal ranges evenly; among equal first bytes the order is that of a keyed name. So buckets of key ranges
    are buckets of suffixes in alphabetical order that no frequent prefix makes large. A block sends each of its keys once
    to a bucket; the bucket sorts them and ranks those that occur again. What has no rank occurs once and is done.
 3. Blocks send every ranked cover suffix with the bytes around it: the heads and tails of the up to PERIOD suffixes that meet
    it. One bucket at a time is sorted: by rank and tail, and by head; a suffix's order among those of one k is the pair of
-   both, and of equal ones all but the first, by document and place, are removed. A rank is told apart by 32 bits more.
+   both, and of equal ones all but the first, by document and place, are removed. A rank is told apart by 64 bits more.
 4. Each block applies the answers and yields its documents.
 
+Keys and the further bits are four keyed sums over the bytes. They are strongly universal, and their secret is drawn anew for every
+run: whatever the texts, two different strings have equal further bits with probability 2**-64 and, independently of that, one
+key with about 2**-56 over the share that their first two bytes have of all. Heads and tails are compared byte by byte.
+
 Copies of a cover suffix with equal bytes around are sent once a block and told apart once a bucket, so a passage that
 millions of documents share costs one entry per block. Memory is bounded by one block or one bucket. Answers are written to
 the shared folder, so that the shuffle files of a step are gone before the next one fills the disks.
@@ -27,7 +31,7 @@ text; of identical rows one is the first; a null doc_id comes before all others;
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -42,7 +46,7 @@ from lexloom.llm import common
 from lexloom.llm.blocks import RESULT, SENT, by_bucket, count_buckets, frames, keyed, later, ordered_blocks, pack_array, pack_bits, pack_sorted, results, rows_of, schema_of, spread, unframe, unpack_array, unpack_bits, unpack_sorted
 
 PREFIXES = 1 << 16
-#: A rank is told by this many bits of its key and 32 more. Bytes of text whose keys one bucket sorts; ranges of buckets.
+#: A rank is told by this many bits of its key and 64 more. Bytes of text whose keys one bucket sorts; ranges of buckets.
 KEY_BITS, BUCKET_BYTES, PASSES = 56, 16 << 20, 3
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
@@ -56,11 +60,13 @@ class Spec:
     period: int = 21
     cover: tuple[int, ...] = (0, 1, 4, 14, 16)
     block_bytes: int = 2 << 20
+    #: The secret of a run's names.
+    seed: int = 0
 
     def __post_init__(self) -> None:
         differences = {(a - b) % self.period for a in self.cover for b in self.cover}
-        if len(differences) < self.period or not 64 <= self.ranked <= 128:
-            raise ValueError("the cover leaves out a difference, or the ranked depth isn't that of two 64-byte strings")
+        if len(differences) < self.period or self.ranked < 4:
+            raise ValueError("the cover leaves out a difference, or the period exceeds the depth")
 
     @property
     def ranked(self) -> int:
@@ -133,34 +139,31 @@ class Block:
     def document(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, places, side="right")
 
-    def hash64(self) -> np.ndarray:
-        """Hashes of the 64 bytes from every place; of fewer places than bytes, as the last ones have none."""
-        words = np.ndarray((max(0, self.n - 7),), "<u8", self.bytes.tobytes(), 0, (1,)) if self.n > 7 else np.zeros(0, np.uint64)
-        h = common.mix(words * common.M1)
-        for size in (8, 16, 32):
-            h = common.pair_hash(h[:-size], h[size:]) if len(h) > size else h[:0]
-        return h
-
     def prefixes(self, places: np.ndarray) -> np.ndarray:
         return (self.bytes[places].astype(np.int64) << 8) | self.bytes[places + 1]
 
-    def ranged(self, scale: Scale, part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places, keys and second parts of the cover suffixes in one range of keys, and the hashes they come from."""
-        places, h = self.places(), self.hash64()
+    def ranged(self, scale: Scale, part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, keys and further bits of the cover suffixes in one range of keys."""
+        places = self.places()
         prefix = self.prefixes(places)
         near = (scale.base[prefix] >> np.uint64(64 - KEY_BITS) <= part.last) & ((scale.base[prefix] + scale.width[prefix]) >> np.uint64(64 - KEY_BITS) >= part.first)
         places, prefix = places[near], prefix[near]
-        names, seconds = self.names(places, h)
+        names, further = self.names(places)
         keys = scale.keys(prefix, names)
         held = (keys >= part.first) & (keys <= part.last)
-        return places[held], keys[held], seconds[held], h
+        return places[held], keys[held], further[held]
 
-    def names(self, places: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the ranked depth from each place 64 bits, and 32 more."""
-        a, b = h[places], h[places + self.spec.ranked - 64]
-        second = (a ^ (b * common.M1)) * common.M3
-        second ^= second >> np.uint64(31)
-        return common.pair_hash(a, b), ((second * common.M2) >> HALF).astype(np.uint32)
+    def names(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the ranked depth from each place two names of 64 bits."""
+        spec = self.spec
+        starts = [min(i, spec.ranked - 4) for i in range(0, spec.ranked, 4)]
+        keys = common.multilinear_keys(spec.seed, len(starts), 4)
+        words = np.ndarray((max(0, self.n - 3),), "<u4", self.bytes.tobytes(), 0, (1,)).copy() if self.n > 3 else np.zeros(0, "<u4")
+        out = np.empty((4, len(places)), np.uint64)
+        for lo in range(0, len(places), common.CHUNK):
+            at = places[lo : lo + common.CHUNK]
+            out[:, lo : lo + common.CHUNK] = common.multilinear((words[at + i] for i in starts), keys, len(at))
+        return (out[0] << HALF) | out[1], (out[2] << HALF) | out[3]
 
 
 def _counts(spec: Spec) -> Callable:
@@ -246,7 +249,7 @@ def _send_suffixes(spec: Spec, scale, part: Part) -> Callable:
             own, block = Block(spec, data.as_py()), key[0].as_py()
             if not told:
                 continue
-            places, keys, seconds, h = own.ranged(scale.value, part)
+            places, keys, seconds = own.ranged(scale.value, part)
             _, inverse = np.unique(keys, return_inverse=True)
             flags = np.concatenate([unpack_bits(f) for _, f, _ in told])
             where = np.cumsum(flags) - 1
@@ -257,8 +260,8 @@ def _send_suffixes(spec: Spec, scale, part: Part) -> Callable:
             behind = np.minimum(own.ends[documents] - places - spec.ranked, side)
             # Of places with equal bytes all around the first stands for all.
             whole = np.flatnonzero((before == side) & (behind == side))
-            span, begin = side + spec.ranked + side, places[whole] - side
-            copies = whole[later(common.pair_hash(h[begin], h[begin + span - 64]) * common.M1 + h[begin + side])]
+            heads, tails = _around(own.bytes, places[whole], side, side), _around(own.bytes, places[whole] + spec.ranked, 0, side)
+            copies = whole[_copies(_classes(nth[whole].astype(np.uint64), seconds[whole]), heads, tails)]
             removed = spread(places[copies] - side, places[copies] + 1, own.n)
             sent = np.ones(len(places), bool)
             sent[copies] = False
@@ -301,6 +304,15 @@ def _sorted_classes(columns: np.ndarray, group: np.ndarray) -> tuple[np.ndarray,
     return order, np.concatenate([[-1], shared])
 
 
+def _classes(ranks: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    """Numbers of the different pairs."""
+    order = np.lexsort((seconds, ranks))
+    a, b = ranks[order], seconds[order]
+    out = np.empty(len(order), np.uint64)
+    out[order] = np.cumsum(np.concatenate([[False], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(order)])
+    return out
+
+
 def _copies(group: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
     """True where an earlier row of the group has equal bytes: by hash, and compared."""
     mixed = common.mix(group.astype(np.uint64) * common.M1)
@@ -327,10 +339,10 @@ def sort_suffixes(spec: Spec) -> Callable:
         data, blocks = [unframe(d.as_py()) for d in sent["data"]], sent["block"].to_pylist()
         of = lambda i, dtype, width=1: [unpack_array(data[j][i], dtype, width) for j in by_block]
         sizes = [len(x) for x in of(0, "<u4")]
-        ranks, seconds = np.concatenate(of(0, "<u4")).astype(np.uint64), np.concatenate(of(1, "<u4")).astype(np.uint64)
+        ranks, seconds = np.concatenate(of(0, "<u4")).astype(np.uint64), np.concatenate(of(1, "<u8"))
         heads, tails = (np.concatenate(of(i, "u1", side)).reshape(-1, side) for i in (2, 3))
         before, behind = (np.concatenate(of(i, "u1")) for i in (4, 5))
-        group = (ranks << HALF) | seconds
+        group = _classes(ranks, seconds)
         out = np.zeros((len(group), spec.period), bool)
         whole = np.flatnonzero((before == side) & (behind == side))
         copies = whole[_copies(group[whole], heads[whole], tails[whole])]
@@ -390,7 +402,7 @@ def suffix_array_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", c
 
     With carry (names and columns), the struct _carried holds these instead of the key, whatever their names.
     """
-    spark, spec = df.sparkSession, BYTES
+    spark, spec = df.sparkSession, replace(BYTES, seed=common.new_seed())
     scratch = common.Scratch(spark)
     rows = keyed(df, key, text, carry or {"doc_id": F.col(key).cast("long")})
     blocks = ordered_blocks(rows, spec.block_bytes, scratch)

@@ -170,3 +170,34 @@ def test_cells_find_the_nearest_entry(spread):
     best, far, n = codes.Cells(entries).nearest(parts)
     all_of = ((parts[:, None] - entries[None]) ** 2).sum(2)
     assert (best == all_of.argmin(1)).all() and (far == all_of.min(1)).all() and n < 500 * 16
+
+
+# The hashes of the dedups ---------------------------------------------------------------------------------------------
+
+
+def test_names_depend_on_a_secret_and_collisions_of_unkeyed_ones_do_no_harm(spark):
+    """Two texts that an unkeyed hash of their bytes, built by pairs, would take for equal in the middle."""
+    from lexloom.llm.substring_dedup import substring_dedup
+    from lexloom.llm.suffix_array_dedup import suffix_array_dedup
+
+    rng = random.Random(1)
+    noise = "".join(rng.choice("abcdefghijklmnop") for _ in range(256))
+    rows = [(1, noise[:96] + "the quick brown " + noise[96:]), (2, noise[:96] + "7fH5CxIl\x0cP\x18?={2\x0c" + noise[96:])]
+    got = suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed) for r in got] == [(272, 0), (272, 160)]
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:30], "other", *words[31:]]))]
+    runs = [sorted(map(tuple, substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())) for _ in range(2)]
+    assert runs[0] == runs[1] and [r[2] for r in runs[0]] == [0, 59]
+
+
+def test_multilinear_names():
+    from lexloom.llm import common
+
+    data = np.random.default_rng(1).integers(0, 1 << 32, (500, 7), np.uint32)
+    data[100] = data[3]
+    keys = common.multilinear_keys(11, 7, 3)
+    names = common.multilinear(data.T, keys, len(data))
+    plain = [[(sum(int(x) * int(k) for x, k in zip(row, ks[:-1], strict=True)) + int(ks[-1])) % (1 << 64) >> 32 for row in data] for ks in keys]
+    assert names.tolist() == plain and len({tuple(c) for c in names.T.tolist()}) == 499
+    assert (names != common.multilinear(data.T, common.multilinear_keys(12, 7, 3), len(data))).any()
