@@ -185,8 +185,30 @@ def pincites(markers: DataFrame, quotes: DataFrame, key: str = "doc_id") -> Data
 
 
 def interval_join(spans: DataFrame, ranges: DataFrame, key: str = "doc_id") -> DataFrame:
-    """spans (key, s, e) x ranges (key, start_at, end_at) of the same key that overlap."""
-    return spans.join(ranges, (spans[key] == ranges[key]) & (ranges["start_at"] < spans["e"]) & (ranges["end_at"] > spans["s"])).drop(ranges[key])
+    """spans (key, s, e) x ranges (key, start_at, end_at) of the same key that overlap: start_at < e and end_at > s. Places are whole numbers.
+
+    Both meet in dyadic cells, so that one very long document is dealt out by place. An interval has the level whose cells are as
+    long as it is, and touches one or two of them; two intervals meet at the greater of their levels, in the cell that holds the
+    first place of both. So an interval is sent once or twice for its own level and for each greater one of the other side, and a
+    pair is found once. Only the levels that occur, 64 numbers at most, come to the driver. Empty intervals are places, and a null
+    key or place meets nothing.
+    """
+    width = lambda lo, hi: F.length(F.bin(F.col(hi) - F.col(lo))).cast("int")
+    a = spans.withColumn("_lo", F.least("s", "e").cast("long")).withColumn("_hi", F.greatest("s", "e").cast("long")).where("s IS NOT NULL AND e IS NOT NULL").withColumn("_level", width("_lo", "_hi"))
+    b = ranges.withColumn("_lo", F.least("start_at", "end_at").cast("long")).withColumn("_hi", F.greatest("start_at", "end_at").cast("long")).where("start_at IS NOT NULL AND end_at IS NOT NULL").withColumn("_level", width("_lo", "_hi"))
+    levels = [sorted(r[0] for r in x.select("_level").distinct().collect()) for x in (a, b)]
+
+    def dealt(x: DataFrame, others: list[int], names: str) -> DataFrame:
+        upper = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda v: v > F.col("_level"))
+        x = x.withColumn("_at", F.explode(F.concat(F.array("_level"), upper)))
+        cell = lambda c: F.call_function("shiftright", F.col(c), F.col("_at"))
+        x = x.withColumn("_cell", F.explode(F.array_distinct(F.array(cell("_lo"), cell("_hi")))))
+        return x.withColumnRenamed("_lo", f"_lo{names}").withColumnRenamed("_level", f"_level{names}").drop("_hi")
+
+    met = dealt(a, levels[1], "_a").join(dealt(b, levels[0], "_b"), [key, "_at", "_cell"])
+    here = F.col("_cell") == F.call_function("shiftright", F.greatest("_lo_a", "_lo_b"), F.col("_at"))
+    fits = (F.col("_at") == F.greatest("_level_a", "_level_b")) & here & (F.col("start_at") < F.col("e")) & (F.col("end_at") > F.col("s"))
+    return met.where(fits).drop("_at", "_cell", "_lo_a", "_lo_b", "_level_a", "_level_b")
 
 
 def neighbours(items: DataFrame, cited: DataFrame, key: str, order: str) -> DataFrame:

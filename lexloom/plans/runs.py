@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.operators.growing import GrowingComponents
+from lexloom.operators.paging import PagedTable
 from lexloom.operators.search_run import SearchRuns
 from lexloom.plans.registry import Registry
 from lexloom.session import shared_dir
@@ -254,3 +255,27 @@ def growing_components(t):
                 pass
         grown.add(lot)
     return grown.labels()
+
+
+# Pages by key ------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT * FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST((row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) - 1) // 25 AS INTEGER) AS page
+  FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1997-01-01') WHERE page < 4
+""")
+def keyset_pages(t):
+    """The first four pages of 25 orders before 1997, newest first, each found by the last key of the one before."""
+    from datetime import date
+
+    orders = t("orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    spark = orders.sparkSession
+    table = PagedTable(spark, ["-day", "o_orderkey"])
+    table.write(orders)
+    rows, after = [], (date(1997, 1, 1), (1 << 62))
+    for n in range(4):
+        got, after = table.page(after, 25)
+        rows += [(r.o_orderkey, r.day, n) for r in got]
+        if after is None:
+            break
+    return spark.createDataFrame(rows, "o_orderkey long, day date, page int")

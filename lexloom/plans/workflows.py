@@ -152,15 +152,15 @@ def journal_append(t):
     return J.append_new(rows.where("event_id % 3 = 0"), rows.where("event_type <> 'error'").unionByName(rows.where("event_type <> 'error'"))).select("run_id", "event_id")
 
 
-@query("""SELECT event_id AS result_ref, CASE WHEN event_id % 5 = 0 THEN 'invalid' WHEN event_id % 2 = 0 THEN 'reuse' WHEN event_id >= 500 AND (event_id - 500) % 5 <> 0 THEN 'duplicate' ELSE 'acquire' END AS action FROM events WHERE event_id < 1000""")
+@query("""SELECT event_id AS result_ref, CASE WHEN event_id % 5 = 0 THEN 'invalid' WHEN event_id % 2 = 0 THEN 'reuse' WHEN event_id % 1000 >= 500 AND (event_id - 500) % 5 <> 0 THEN 'duplicate' ELSE 'acquire' END AS action FROM events""")
 def selected_downloads(t):
     # an opinion is seen under two refs that are 500 apart; even ones are in the library
-    k = F.col("event_id")
-    rows = t("events").where("event_id < 1000")
+    k, opinion = F.col("event_id"), (F.floor(F.col("event_id") / 1000) * 500 + F.col("event_id") % 500).cast("string")
+    rows = t("events")
     refs = rows.select(k.alias("result_ref"))
-    seen = rows.where(k % 5 != 0).select(k.alias("result_ref"), F.concat(F.lit("c"), k % 500).alias("case_key"), F.lit("scholar").alias("provider"), (k % 500).cast("string").alias("provider_id"))
-    library = rows.where(k % 2 == 0).select(F.lit("scholar").alias("provider"), (k % 500).cast("string").alias("provider_id"), F.lit("valid").alias("integrity"))
-    library = library.unionByName(rows.select(F.lit("scholar").alias("provider"), (k % 500).cast("string").alias("provider_id"), F.lit("changed").alias("integrity")))
+    seen = rows.where(k % 5 != 0).select(k.alias("result_ref"), F.concat(F.lit("c"), opinion).alias("case_key"), F.lit("scholar").alias("provider"), opinion.alias("provider_id"))
+    library = rows.where(k % 2 == 0).select(F.lit("scholar").alias("provider"), opinion.alias("provider_id"), F.lit("valid").alias("integrity"))
+    library = library.unionByName(rows.select(F.lit("scholar").alias("provider"), opinion.alias("provider_id"), F.lit("changed").alias("integrity")))
     return J.resolve_selected(refs, seen, library).select("result_ref", "action")
 
 

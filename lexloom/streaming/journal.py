@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.session import shared_dir
+from lexloom.streaming.collections import ROCKSDB
 
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -16,22 +17,24 @@ def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def append_available(events: DataFrame, target: str, checkpoint: str, key: str) -> None:
-    """Appends all that is there now and isn't in the target yet, each id once, and stops.
+    """Appends all that is there now and wasn't appended before, each id once, and stops.
 
-    What was appended is looked up in the target itself, by key, so that no event is late and no state grows or forgets. A batch
-    that runs again after a failure writes its own folder again.
+    The ids that were taken stand in the stream's state, on the executors' disks and in the checkpoint, dealt out by their hash, so that
+    a batch costs its own rows and never reads the target. A batch that runs again after a failure writes its own folder again.
     """
     spark = events.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
-        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            before = spark.read.option("basePath", target).parquet(target).where(F.col("batch") < number)
-            fresh = fresh.join(before.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    q = events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    kind = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(kind)
+    spark.conf.set(kind, ROCKSDB)
+    try:
+        fresh = events.where(F.col(key).isNotNull()).dropDuplicates([key])
+        q = fresh.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(kind, before)
     q.awaitTermination()
 
 

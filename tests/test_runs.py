@@ -312,3 +312,35 @@ def test_growing_components_equal_the_full_run(spark, tmp_path):
         before = files
         assert sorted(map(tuple, grown.labels().collect())) == brute_components([r for j in range(k + 1) for r in rows[j::4]])
     assert not [n for n in names_in(spark, f"{tmp_path}/c") if n.startswith("work")]
+
+
+# Pages and intervals --------------------------------------------------------------------------------------------------
+
+
+def test_pages_by_key_are_the_whole_in_order(spark, tmp_path):
+    from lexloom.operators.paging import PagedTable
+
+    rng = random.Random(2)
+    rows = [(None if rng.random() < 0.1 else rng.randrange(9), i) for i in range(157)]
+    for keys, order in ((["-a", "i"], lambda r: (r[0] is None, -(r[0] or 0), r[1])), (["a", "-i"], lambda r: (r[0] is not None, r[0] or 0, -r[1]))):
+        table = PagedTable(spark, keys, f"{tmp_path}/{keys[0]}")
+        table.write(spark.createDataFrame(rows, "a int, i int"), 5)
+        got, after, pages = [], None, 0
+        while pages == 0 or after is not None:
+            page, after = table.page(after, 40)
+            got, pages = got + [tuple(r) for r in page], pages + 1
+        assert got == sorted(rows, key=order) and pages == 4
+    empty = PagedTable(spark, ["i"], f"{tmp_path}/empty")
+    empty.write(spark.createDataFrame([], "a int, i int"))
+    assert empty.page() == ([], None)
+
+
+def test_interval_join_in_cells(spark):
+    from lexloom.operators.verification import interval_join
+
+    rng = random.Random(3)
+    cut = lambda n, most: [(rng.choice([1, 1, 1, 2, None]), s, s + rng.choice([0, 1, 3, rng.randrange(most), -2])) for s in (rng.randrange(-50, 5000) for _ in range(n))]
+    a, b = cut(400, 90) + [(1, 0, 5000), (1, None, 4)], cut(500, 700) + [(1, -10, 1 << 40), (2, 7, None)]
+    got = interval_join(spark.createDataFrame(a, "doc_id int, s long, e long"), spark.createDataFrame(b, "doc_id int, start_at long, end_at long"))
+    want = [(d, s, e, x, y) for d, s, e in a for k, x, y in b if d == k and None not in (d, s, e, x, y) and x < e and y > s]
+    assert sorted(tuple(r[c] for c in ("doc_id", "s", "e", "start_at", "end_at")) for r in got.collect()) == sorted(want)
