@@ -30,6 +30,8 @@ BOILERPLATE = re.compile(r"\b(?:cookies?|javascript|all rights reserved|terms of
 #: Where a sentence ends within a line. A line fails as boilerplate if such sentences are half of it, however long it is.
 SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 TERMINAL = tuple(".!?:;\"'»”)…。！？")
+#: Words as they are counted in whole texts, so that both shares of lost text are of the same characters.
+WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: A line of fewer words needs no capitals, distinct-words or symbol statistics; a shorter one without end mark counts as a menu entry.
 SHORT_LINE, MENU_LINE = 8, 3
 
@@ -86,7 +88,7 @@ def judge(text: str) -> tuple:
         if not line.strip(" \t\n\r\x0b\x0c"):
             keep.append(line)
             continue
-        line_words = line.split()
+        line_words = WORD.findall(line)
         again = line in seen
         n_dup += again
         seen.add(line)

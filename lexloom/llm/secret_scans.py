@@ -1,10 +1,10 @@
 """Secret scans with a recursive decoding worklist.
 
 Each text is a layer. A layer is scanned for the three kinds; then everything encoded in it is unwrapped (URL escapes,
-\\u and \\x escapes, base64, gzip/zlib/bz2/xz streams) into child layers that carry a map back to the code points of the
+\\u, \\x and octal escapes, base64, gzip/zlib/bz2/xz streams) into child layers that carry a map back to the code points of the
 text, until no new layer appears. Bytes that are not UTF-8 are layers too, byte by byte, so streams are found behind every
-decoder, at any position and within each other. Base64 runs are read from each of four characters and over line breaks.
-A digest of each layer stops cycles. Spans found in deeper layers are reported at the
+decoder, at any position and within each other; bytes of which every other one is zero are UTF-16. Base64 runs are read from each
+of four characters and over line breaks, real ones, escaped ones and quotes joined by a plus sign. A digest of each layer stops cycles. Spans found in deeper layers are reported at the
 code points that encode them, unless a base span of the same kind covers them already.
 
 Defined results: null or empty text has no spans; repeated rows are scanned each for itself; a null doc_id is kept.
@@ -21,7 +21,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -39,19 +39,25 @@ MIN_VALUE = 6
 MAX_LAYER = 1 << 26
 URL = re.compile(r"%[0-9A-Fa-f]{2}")
 #: Exactly four digits after a bare \u, whatever follows; up to six stand in braces only.
-ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
-HIGH_ESCAPE = re.compile(r"\\x[89a-fA-F][0-9A-Fa-f]|\\u00[89a-fA-F][0-9A-Fa-f]")
+ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\[0-3][0-7]{2}")
+HIGH_ESCAPE = re.compile(r"\\x[89a-fA-F][0-9A-Fa-f]|\\u00[89a-fA-F][0-9A-Fa-f]|\\[23][0-7]{2}")
 BYTE_ESCAPE = re.compile(ESCAPE.pattern + r"""|\\[abfnrtv0\\'"]""")
 SHORT = {"a": b"\a", "b": b"\b", "f": b"\f", "n": b"\n", "r": b"\r", "t": b"\t", "v": b"\v", "0": b"\0", "\\": b"\\", "'": b"'", '"': b'"'}
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAP = re.compile(r"\r?\n[ \t]*")
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
-BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++\r?\n[ \t]*\Z")
-#: Heads of gzip, bz2, xz and zlib streams.
-STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
+#: What a run is broken by: a line's end, one that is written as an escape, or quotes joined by a plus sign.
+BREAK = r"""(?:\r?\n[ \t]*+|(?:\\r)?\\n|["']\s*+\+\s*+["'])"""
+WRAP = re.compile(BREAK)
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]++(?:{BREAK}[A-Za-z0-9+/_-]++)++={{0,2}}")
+BEFORE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++{BREAK}\Z")
+#: Where a run wrapped over lines of under 16 characters may begin, and the least length of such a line.
+NARROW = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,15}}{BREAK}(?=[A-Za-z0-9+/_-])")
+#: Heads of zlib streams: method 8, any window, no dictionary, and a check that both bytes are a multiple of 31.
+_ZLIB = "".join(f"|{re.escape(chr(c))}[{''.join(re.escape(chr(f)) for f in range(256) if (c * 256 + f) % 31 == 0 and not f & 32)}]" for c in range(0x08, 0x79, 16))
+#: Heads of gzip, bz2, xz and zlib streams; behind the last, which letters may be too, soon something that isn't one.
+STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|(?:" + _ZLIB[1:].encode("latin-1") + rb")(?=[\x00-\xff]{0,7}[\x00-\x08\x0e-\x1f\x7f-\xff])")
 STREAM_TEXT = re.compile(STREAM.pattern.decode("latin-1"))
 #: Bytes without any of these hold no secret and nothing to decode.
-HOLDS = re.compile(rb"AKIA|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}|" + STREAM.pattern)
+HOLDS = re.compile(rb"AKIA|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)|%[0-9A-Fa-f]{2}|\\[uUx]|\\[0-3][0-7]{2}|[A-Za-z0-9+/_-]{16}|" + STREAM.pattern)
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
 
@@ -93,8 +99,22 @@ def _flat(at: np.ndarray) -> bool:
     return at.strides == (0,)
 
 
+def _wide(data: bytes) -> str | None:
+    """UTF-16 in which way round, if every other byte is mostly zero."""
+    if len(data) < 8 or b"\0" not in data:
+        return None
+    zero = np.frombuffer(data, np.uint8) == 0
+    even, odd = zero[::2].mean(), zero[1::2].mean()
+    return "utf-16-le" if odd > 0.6 > 0.2 > even else "utf-16-be" if even > 0.6 > 0.2 > odd else None
+
+
 def _layers(data: bytes, lo: np.ndarray, hi: np.ndarray) -> Iterator[Layer]:
-    """The layers of bytes with their ranges: as UTF-8, or byte by byte where they are not UTF-8 or may hold a stream."""
+    """The layers of bytes with their ranges: as UTF-8 or UTF-16, or byte by byte where they are not UTF-8 or may hold a stream."""
+    if order := _wide(data):
+        even = data[: len(data) // 2 * 2]
+        units = even.decode(order, "replace")
+        if 2 * len(units) == len(even):  # without pairs of surrogates a character is two bytes
+            yield Layer(units, lo[: len(even) : 2] if not _flat(lo) else np.broadcast_to(lo[0], len(units)), hi[1 : len(even) : 2] if not _flat(hi) else np.broadcast_to(hi[0], len(units)))
     try:
         text = data.decode()
     except UnicodeDecodeError:
@@ -144,16 +164,20 @@ def _replaced(layer: Layer, pattern: re.Pattern, unit) -> Iterator[Layer]:
         yield from _layers(raw, np.concatenate(lo), np.concatenate(hi))
 
 
+def _code(found: str) -> int:
+    return int(found[1:], 8) if found[1] in "0123" else int(found[2:].strip("{}"), 16)
+
+
 def _escape(found: str) -> bytes | None:
-    code = int(found[2:].strip("{}"), 16)
+    code = _code(found)
     return chr(code).encode() if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
 def _escape_byte(found: str) -> bytes | None:
     """As _escape(), but codes under 256 are bytes, and the short escapes of a byte string count."""
-    if found[1] not in "uUx":
+    if len(found) == 2:
         return SHORT[found[1]]
-    code = int(found[2:].strip("{}"), 16)
+    code = _code(found)
     return bytes([code]) if code < 0x100 else _escape(found)
 
 
@@ -162,9 +186,10 @@ def _pieces(raw: bytes, at: int, most: int = 1 << 20) -> Iterator[tuple[bytes, i
     one kind that follow directly belong to it; a stream that breaks off gives what it holds until there. Only a stream that
     comes to its end gives an empty piece last."""
     kind = None
-    while (m := STREAM.match(raw, at)) and kind in (None, m[0][:1]) and (kind is None or kind != b"x"):
+    members = (b"\x1f", b"B", b"\xfd")
+    while (m := STREAM.match(raw, at)) and (kind is None or kind == m[0][:1] and kind in members):
         kind = m[0][:1]
-        zipped = kind in b"\x1fx"
+        zipped = kind == b"\x1f" or kind not in members
         d: Any = zlib.decompressobj(31 if kind == b"\x1f" else 15) if zipped else bz2.BZ2Decompressor() if kind == b"B" else lzma.LZMADecompressor()
         while not d.eof:
             data = d.unconsumed_tail if zipped else b""
@@ -222,9 +247,10 @@ def _base64(layer: Layer, start: int, end: int) -> Iterator[Layer]:
     body = WRAP.sub("", found).rstrip("=").replace("-", "+").replace("_", "/")
     flat = _flat(layer.lo)
     if not flat:
-        where = np.arange(start, end)
-        if len(body) < len(found):
-            where = where[~np.isin(np.frombuffer(found.encode(), np.uint8), np.frombuffer(b" \t\r\n=", np.uint8))]
+        inside = np.ones(end - start, bool)
+        for m in WRAP.finditer(found):
+            inside[m.start() : m.end()] = False
+        where = np.arange(start, end)[inside & (np.frombuffer(found.encode(), np.uint8) != ord("="))]
     for shift in range(4):
         part = body[shift:]
         part = part[: len(part) - (len(part) % 4 == 1)]
@@ -232,7 +258,7 @@ def _base64(layer: Layer, start: int, end: int) -> Iterator[Layer]:
             data = base64.b64decode(part + "=" * (-len(part) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        if not data or ((shift or not _is_text(data)) and not HOLDS.search(data)):
+        if not data or ((shift or not _is_text(data)) and not HOLDS.search(data) and not _wide(data)):
             continue
         if flat:
             lo, hi = np.broadcast_to(layer.lo[0], len(data)), np.broadcast_to(layer.hi[0], len(data))
@@ -270,6 +296,14 @@ def children(layer: Layer) -> Iterator[Layer]:
         if m.start() >= last and (w := WRAPPED.match(layer.text, _line_run(layer.text, m.start()))):
             last = w.end()
             yield from _base64(layer, w.start(), w.end())
+    last = -1
+    for m in NARROW.finditer(layer.text):
+        if m.start() >= last and (w := WRAPPED.match(layer.text, m.start())):
+            last = w.end()
+            lines = WRAP.split(w[0].rstrip("="))
+            # of equal lines that are all short, but for the last one
+            if len(lines[0]) * (len(lines) - 1) + len(lines[-1]) == sum(map(len, lines)) >= 16 and len(lines[-1]) <= len(lines[0]):
+                yield from _base64(layer, w.start(), w.end())
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
@@ -277,7 +311,7 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base = scan(text)
     added: set[tuple[int, int, int]] = set()
     n = 1
-    if "%" in text or "\\" in text or BASE64.search(text) or STREAM_TEXT.search(text):
+    if "%" in text or "\\" in text or BASE64.search(text) or NARROW.search(text) or STREAM_TEXT.search(text):
         seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
         # depth first: of a stream in chunks one chunk is held at a time
         work = [children(Layer.root(text))]
@@ -294,7 +328,9 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             n += 1
             for start, kind, end in scan(child.text):
                 a, b = child.span(start, end)
-                if not any(s <= a and b <= e for s, e in covers[kind]):
+                # base spans of a kind don't overlap, so that only the last one that begins before can hold it
+                near = bisect_right(covers[kind], (a, len(text) + 1)) - 1
+                if near < 0 or covers[kind][near][1] < b:
                     added.add((a, kind, b))
             work.append(children(child))
     return base, sorted(added), n
