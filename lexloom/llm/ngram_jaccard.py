@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import common
-from lexloom.llm.blocks import NO_KEY, SENT, by_bucket, count_buckets, pack_blocks, pack_sorted, rows_of, schema_of
+from lexloom.llm.blocks import NO_KEY, SENT, by_bucket, count_buckets, frames, pack_array, pack_blocks, pack_sorted, rows_of, schema_of, unframe, unpack_array
 from lexloom.llm.repeats import answer, flags_of
 
 SKETCH_BITS, SKETCH_PARTS = 22, 16
@@ -199,8 +199,8 @@ def _class_of(elements: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(elements.tobytes()), "little", signed=True)
 
 
-def _distinct(join: Join, sketch: np.ndarray, table: pa.Table, of: list | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Class, elements and keys of a block's different sets; of gets (size, class) of every row."""
+def _distinct(join: Join, table: pa.Table, of: list | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Class and elements of a block's different sets, in the order of its rows; of gets (size, class) of every row."""
     done = set()
     for own in join.sets(table["_text"].to_pylist()):
         c = _class_of(own) if len(own) else None
@@ -208,7 +208,7 @@ def _distinct(join: Join, sketch: np.ndarray, table: pa.Table, of: list | None =
             of.append((len(own), c))
         if c is not None and c not in done:
             done.add(c)
-            yield c, own, join.keys(own, sketch)
+            yield c, own
 
 
 def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
@@ -269,20 +269,25 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, t in _blocks(batches):
-            keys = [k for _, _, k in _distinct(join, shared.value, t)]
-            values = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]))
+            keys = [join.keys(own, shared.value) for _, own in _distinct(join, t)]
+            every = np.concatenate([np.zeros(0, np.uint64), *keys])
+            values = np.unique(every)
             out = [(k, block, 0, pack_sorted(values[x:y])) for k, x, y in by_bucket(values, buckets, KEY_BITS)]
+            # the block's own keys come back to it with the answers, so that they aren't worked out twice
+            own_group = -1 - (block * 0x9E3779B1 >> 7) % (1 << 30)
+            out.append((own_group, block, 4, frames(pack_array(np.array([len(k) for k in keys], np.uint32)), pack_array(every))))
             yield from rows_of(schema_of(SENT), out).to_batches()
 
     def pick(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], [], []]
         for data in left["data"]:
             table, of = pa.ipc.open_stream(data.as_py()).read_all(), []
-            own = list(_distinct(join, shared.value, table, of))
+            own = list(_distinct(join, table, of))
+            lengths, every = (unpack_array(d, kind) for d, kind in zip(unframe(next(d for c, d in zip(right["kind"].to_pylist(), right["data"].to_pylist(), strict=True) if c == 4)), ("<u4", "<u8"), strict=True))
+            own = [(c, elements, k) for (c, elements), k in zip(own, np.split(every, np.cumsum(lengths)[:-1].astype(np.int64)), strict=False)]
             for doc, (size, c) in zip(table["_id"].to_pylist(), of, strict=True):
                 for col, v in zip(out, (doc, size, c, None, None, None), strict=True):
                     col.append(v)
-            every = np.concatenate([np.zeros(0, np.uint64), *(k for _, _, k in own)])
             values, counts = np.unique(every, return_counts=True)
             shared_keys = values[(counts > 1) | flags_of(right, 0)] if len(values) else values
             for c, elements, keys in own:
