@@ -1,8 +1,9 @@
 """Citation occurrences in documents, and the links of short forms.
 
-A block is read by recognisers, one for each kind of citation, in a fixed order of precedence. Each looks for the one token
-that gives its kind away (a reporter, "Id.", "v.", a code, a rule), and reads on from there with a cursor. What a recogniser
-of a lower rank finds is dropped where something was accepted before it; full citations stand even where they meet.
+A block is read by readers, one for each kind of citation, in a fixed order of precedence. Each looks for what gives its kind away
+(a number and a reporter, "id.", "v.", a section sign, a rule's number) and reads on from there, forwards and backwards, by a cursor
+over characters. What a reader of a lower rank finds is dropped where something was accepted before it; full citations stand even
+where they meet.
 """
 
 from __future__ import annotations
@@ -25,29 +26,20 @@ from lexloom.functions.citations import REPORTER
 # How far names, tails and quotations may lie from a citation, in characters.
 NAME_REACH, TAIL_REACH, FOLLOWED_BY, QUOTE_REACH, QUOTE_GAP, QUOTE_LEAST, QUOTE_MOST = 230, 180, 80, 1500, 450, 5, 1200
 
-PAGES = r"\*?\d{1,7}(?:[-–]\d{1,7})?"
-NOTED = rf"{PAGES}(?:\s+n\.?\s*\d+)?"
-VOLUME = {short: re.compile(rf"\b(?P<volume>\d{{1,4}})\s+(?P<reporter>{REPORTER})\s+(?={ahead})", re.A) for short, ahead in ((False, r"\d"), (True, rf"at\s+\*?\d"))}
-FIRST_PAGE, AT_PAGE = re.compile(r"\d{1,9}", re.A), re.compile(rf"at\s+(?P<pages>{NOTED})", re.A)
-PINPOINT = re.compile(rf"\s*,\s*(?:at\s+)?(?P<pages>{NOTED})", re.A | re.I)
-AFTER_PIN = re.compile(r"\s*(?:\([^\n)]*\)|[.;:]|\Z)")
-IN_BRACKETS = re.compile(r"\s*(?P<note>\([^\n)]{2,120}\))")
-YEAR = re.compile(r"\b(?:18|19|20)\d{2}\b", re.A)
-BACKWARD = re.compile(r"\b(?:id\.|ibid\.)\s*", re.A | re.I)
-SAME_AT = re.compile(rf"at\s+(?P<pages>{PAGES})", re.A | re.I)
-CAPITAL = r"[A-Z][A-Za-z0-9&'’.()\-]*"
-SIDE = rf"{CAPITAL}(?:\s+{CAPITAL}){{0,8}}"
-PARTIES = re.compile(rf"\b{SIDE}\s+v\.\s+{SIDE}\b", re.A)
-IN_NAME = r"A-Za-z0-9&'’.,()\- "
-NAMED = re.compile(rf"[A-Z][{IN_NAME}]{{0,100}}?\s+v\.?\s+[A-Z][{IN_NAME}]{{1,100}}?(?=\s*,?\s*\Z)")
-CITED_NEXT = re.compile(rf"\s*,?\s*\d{{1,4}}\s+{REPORTER}\s+\d", re.A | re.I)
-QUOTED = re.compile(rf"[“\"]([^“”\"\n]{{{QUOTE_LEAST},{QUOTE_MOST}}})[”\"]")
+#: Longest names on either side of a head's "v." behind their first letter.
+TITLE_MOST = 90
+#: Longest names on either side of "v.", words of a party that stands alone, digits of a page in a pinpoint and of a first page.
+SIDE_MOST, PARTY_WORDS, PIN_DIGITS, PAGE_DIGITS, NOTE_MOST = 101, 9, 7, 9, 120
+#: A reporter of the table before a page, and before "at" and a page.
+REPORTED = {short: re.compile(rf"({REPORTER})\s+(?={ahead})", re.A) for short, ahead in ((False, "[0-9]"), (True, r"at\s"))}
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+CAPITALS, DIGITS, DASHES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), frozenset("0123456789"), frozenset("-–")
+WORDY = LETTERS | DIGITS | {"_"}
+#: What words of a party, whole names, titles of codes and rules, and numbers of sections are made of.
+PARTY, TITLE = LETTERS | DIGITS | frozenset("&'’.()-"), LETTERS | frozenset(". ")
+NAME, SECTION = PARTY | frozenset(", "), WORDY | frozenset("().–-")
 #: Marks of emphasis, which no name has.
 MARKS = str.maketrans("", "", "*_")
-SENTENCE_END = re.compile(r"[.?!] ")
-SECTION = r"[\w().–-]+"
-CODES = re.compile(rf"\b(?:\d+\s+U\.?\s*S\.?\s*C\.?(?:\s*§+)?\s*{SECTION}|MCL\s+\d{SECTION[:-1]}*|[A-Z][A-Za-z. ]+\s+(?:Code|Laws?)\s*§+\s*{SECTION})", re.A)
-RULES = re.compile(r"\b(?:Fed\.?\s+R\.?\s+(?:Civ|Crim|App)\.?\s+P\.?|[A-Z][A-Za-z. ]+\s+(?:Court\s+)?R(?:ule)?\.?)\s*\d[\w.()–-]*", re.A)
 #: Texts without any of these hold no citation.
 HINT = r"\d|(?i:id\.|ibid\.)|\sv\.\s"
 
@@ -90,23 +82,89 @@ def reporter_key(value: str) -> str:
     return "".join(x for x in value.lower() if x.isascii() and x.isalnum())
 
 
+class Cursor:
+    """Reads a text by characters: each method takes a place and tells where what it reads there ends, None if it isn't there."""
+
+    def __init__(self, text: str, end: int | None = None) -> None:
+        self.text, self.end = text, len(text) if end is None else min(end, len(text))
+
+    def at(self, i: int) -> str:
+        return self.text[i] if 0 <= i < self.end else ""
+
+    def blank(self, i: int) -> int:
+        while i < self.end and self.text[i].isspace():
+            i += 1
+        return i
+
+    def gap(self, i: int) -> int | None:
+        j = self.blank(i)
+        return j if j > i else None
+
+    def run(self, i: int, of: frozenset[str], most: int = 1 << 40) -> int:
+        stop = min(self.end, i + most)
+        while i < stop and self.text[i] in of:
+            i += 1
+        return i
+
+    def back(self, i: int, of: frozenset[str], least: int = 0) -> int:
+        """Where the run of characters begins that ends at a place."""
+        while i > least and self.text[i - 1] in of:
+            i -= 1
+        return i
+
+    def word(self, i: int, *words: str) -> int | None:
+        return next((i + len(w) for w in words if self.text.startswith(w, i, self.end)), None)
+
+    def edge(self, i: int) -> bool:
+        """Whether a word may begin or end at a place."""
+        return (self.at(i - 1) in WORDY and i > 0) != (self.at(i) in WORDY and i < self.end)
+
+    def pages(self, i: int, note: bool = True) -> int | None:
+        """A page or a range of them, starred or not, and with a note's number."""
+        first = i + (self.at(i) == "*")
+        j = self.run(first, DIGITS, PIN_DIGITS)
+        if j == first:
+            return None
+        if self.at(j) in DASHES and self.at(j):
+            k = self.run(j + 1, DIGITS, PIN_DIGITS)
+            j = k if k > j + 1 else j
+        if note and (k := self.gap(j)) and self.at(k) == "n":
+            number = self.blank(k + 1 + (self.at(k + 1) == "."))
+            k = self.run(number, DIGITS)
+            j = k if k > number else j
+        return j
+
+    def bracket(self, i: int, least: int, most: int) -> int | None:
+        """A note in round brackets on one line, with so many characters inside."""
+        if self.at(i) != "(":
+            return None
+        j = i + 1
+        while j < self.end and self.text[j] not in ")\n":
+            j += 1
+        return j + 1 if self.at(j) == ")" and least <= j - i - 1 <= most else None
+
+
 @dataclass
 class Block:
-    """A block with what was accepted in it, and its quotations and sentence ends, found once."""
+    """A block with what was accepted in it, by place."""
 
     text: str
     taken: list[Found] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        self.read = Cursor(self.text)
         self._ends: list[int] | None = None
+        self._held: list[tuple[int, int]] = []
 
     def free(self, start: int, end: int) -> bool:
-        return all(end <= f.start_at or f.end_at <= start for f in self.taken)
+        """Whether nothing accepted meets a span. What is accepted is held by its start, with the farthest end up to there."""
+        i = bisect_left(self._held, (end,))
+        return i == 0 or self._held[i - 1][1] <= start
 
     def sentence(self, start: int, end: int) -> str:
         """The sentence around a span: from behind the last end before it to the first end behind it."""
         if self._ends is None:
-            self._ends = [m.start() for m in SENTENCE_END.finditer(self.text)]
+            self._ends = [i for i, c in enumerate(self.text[:-1]) if c in ".?!" and self.text[i + 1] == " "]
         before, behind = bisect_left(self._ends, start) - 1, bisect_left(self._ends, end)
         begin = self._ends[before] + 2 if before >= 0 else 0
         stop = self._ends[behind] + 1 if behind < len(self._ends) else len(self.text)
@@ -114,84 +172,281 @@ class Block:
 
     def quotation(self, at: int) -> str | None:
         """The last quoted passage that ends shortly before a place."""
-        begin, last = max(0, at - QUOTE_REACH), None
-        if '"' in self.text or "“" in self.text:
-            for last in QUOTED.finditer(self.text, begin, at):
-                pass
-        return single(last[1]) if last and at - last.end() <= QUOTE_GAP else None
+        i, last = max(0, at - QUOTE_REACH), None
+        while i < at:
+            if self.text[i] not in "“\"":
+                i += 1
+                continue
+            j = i + 1
+            while j < at and self.text[j] not in "“”\"\n":
+                j += 1
+            if j < at and self.text[j] in "”\"" and QUOTE_LEAST <= j - i - 1 <= QUOTE_MOST:
+                last, i = (i + 1, j), j + 1
+            else:
+                i += 1
+        return single(self.text[slice(*last)]) if last and at - last[1] - 1 <= QUOTE_GAP else None
 
     def name_before(self, at: int) -> tuple[str | None, int]:
         """The case name that ends right before a place, and where it begins; emphasis marks don't count."""
         plain = self.text[max(0, at - NAME_REACH) : at].translate(MARKS)
-        cut = max(plain.rfind(";"), plain.rfind("\n")) + 1
-        m = NAMED.search(plain, cut)
-        # places count in the text without marks, from the citation backwards
-        return (single(m[0]), at - len(plain) + m.start()) if m else (None, at)
+        stop = len(plain.rstrip())
+        if plain[:stop].endswith(","):
+            stop = len(plain[: stop - 1].rstrip())
+        read = Cursor(plain, stop)
+        begin = read.back(stop, NAME, max(plain.rfind(";"), plain.rfind("\n")) + 1)
+        for i in range(begin + 1, stop):
+            # the first "v." with names of a fair length on both sides
+            if plain[i] != "v" or not plain[i - 1].isspace():
+                continue
+            other = read.gap(i + 1 + (read.at(i + 1) == "."))
+            if other is None or read.at(other) not in CAPITALS or not 2 <= stop - other <= SIDE_MOST:
+                continue
+            left = len(plain[:i].rstrip())
+            start = next((k for k in range(max(begin, left - SIDE_MOST), left) if plain[k] in CAPITALS), None)
+            if start is not None:
+                # places count in the text without marks, from the citation backwards
+                return single(plain[start:stop]), at - len(plain) + start
+        return None, at
 
     def tail(self, at: int) -> tuple[str | None, str | None, int]:
         """Pages and note in brackets behind a citation, and where they end. Pages count only if a sentence or note may follow."""
-        reach, pages, note = min(len(self.text), at + TAIL_REACH), None, None
-        ahead = self.text[at:reach]
-        here = 0
-        if m := PINPOINT.match(ahead):
-            if AFTER_PIN.match(ahead, m.end()):
-                pages, here = m["pages"].strip(), m.end()
-            else:
-                pages, here = next((x for x in _shorter(m) if AFTER_PIN.match(ahead, x[1])), (None, 0))
-        if m := IN_BRACKETS.match(ahead, here):
-            note, here = m["note"], m.end()
-        return pages, note, at + here
+        read, pages, note, end = Cursor(self.text, at + TAIL_REACH), None, None, at
+        i = read.blank(at)
+        if read.at(i) == ",":
+            i = read.blank(i + 1)
+            named = self.text[i : i + 2].lower() == "at" and read.gap(i + 2)
+            first = named or i
+            if (j := read.pages(first)) and ((k := read.blank(j)) == read.end or read.at(k) in ".;:" or read.bracket(k, 0, TAIL_REACH)):
+                pages, end = self.text[first:j], j
+        i = read.blank(end)
+        if j := read.bracket(i, 2, NOTE_MOST):
+            note, end = self.text[i:j], j
+        return pages, note, end
 
     def put(self, f: Found, quoted: bool = True) -> None:
         f.proposition = self.sentence(f.start_at, f.end_at)
         f.quotation = self.quotation(f.start_at) if quoted else None
         self.taken.append(f)
+        i = bisect_left(self._held, (f.start_at, f.end_at))
+        self._held.insert(i, (f.start_at, max(f.end_at, self._held[i - 1][1] if i else 0)))
+        for k in range(i + 1, len(self._held)):
+            if self._held[k][1] >= f.end_at:
+                break
+            self._held[k] = (self._held[k][0], f.end_at)
+
+
+def _numbers(read: Cursor) -> Iterator[tuple[int, int]]:
+    """Where numbers stand that no letter or digit is glued to in front."""
+    i = 0
+    while i < read.end:
+        if read.text[i] not in DIGITS:
+            i += 1
+            continue
+        j = read.run(i, DIGITS)
+        if i == 0 or read.text[i - 1] not in WORDY:
+            yield i, j
+        i = j
 
 
-def _shorter(m: re.Match) -> Iterator[tuple[str, int]]:
-    """The shorter forms of what a pinpoint matched, longest first: (pages, end)."""
-    whole, first = m["pages"], m.start("pages")
-    yield from ((whole[:k].strip(), first + k) for k in range(len(whole) - 1, 0, -1) if re.fullmatch(NOTED, whole[:k], re.A))
+def _cited(read: Cursor, start: int, end: int, short: bool = False) -> tuple[str, int] | None:
+    """The reporter behind a volume's number, and where the page (or "at") that follows begins."""
+    if end - start > 4 or (i := read.gap(end)) is None:
+        return None
+    m = REPORTED[short].match(read.text, i, read.end)
+    return (m[1], m.end()) if m else None
 
 
 def _reporters(block: Block, short: bool) -> Iterator[Found]:
-    used = 0
-    for m in VOLUME[short].finditer(block.text):
-        if m.start() < used:  # a page is no volume
+    read, used = block.read, 0
+    for start, end in _numbers(read):
+        if start < used or not (cited := _cited(read, start, end, short)):  # a page is no volume
             continue
-        volume, reporter = m["volume"], single(m["reporter"])
+        volume, reporter, i = read.text[start:end], single(cited[0]), cited[1]
         root = f"{int(volume)}:{reporter_key(reporter)}"
         if short:
-            if at := AT_PAGE.match(block.text, m.end()):
-                used = at.end()
-                yield Found("short_form", "case", m.start(), at.end(), block.text[m.start() : at.end()], root=root, volume=volume, reporter=reporter, pincite=at["pages"])
-        elif page := FIRST_PAGE.match(block.text, m.end()):
-            used = page.end()
-            pages, note, end = block.tail(used)
-            name, start = block.name_before(m.start())
-            years = YEAR.findall(note or "")
-            raw = re.sub(r"^[,*_\s]+|[*_\s]+$", "", block.text[start:end].strip())
-            yield Found(
-                "full", "case", start, end, raw, name, f"{volume} {reporter} {page[0]}", f"{root}:{int(page[0])}", root, volume, reporter, page[0], pages, note, years[-1] if years else None
-            )
+            first = read.word(i, "at") and read.gap(i + 2)
+            if first and (stop := read.pages(first)):
+                used = stop
+                yield Found("short_form", "case", start, stop, read.text[start:stop], root=root, volume=volume, reporter=reporter, pincite=read.text[first:stop])
+        elif (used_to := read.run(i, DIGITS, PAGE_DIGITS)) > i:
+            used, page = used_to, read.text[i:used_to]
+            pages, note, stop = block.tail(used)
+            name, begin = block.name_before(start)
+            raw = read.text[begin:stop].strip().lstrip(",*_ \t\n").rstrip("*_ \t\n")
+            yield Found("full", "case", begin, stop, raw, name, f"{volume} {reporter} {page}", f"{root}:{int(page)}", root, volume, reporter, page, pages, note, _year(note))
 
 
-def _backward(block: Block) -> Iterator[Found]:
-    for m in BACKWARD.finditer(block.text):
-        at = SAME_AT.match(block.text, m.end())
-        end = at.end() if at else m.end()
-        yield Found("id", "case", m.start(), end, block.text[m.start() : end], pincite=at["pages"] if at else None)
+def _year(note: str | None) -> str | None:
+    """The last year of three centuries in a note."""
+    read = Cursor(note or "")
+    years = [note[i:j] for i, j in _numbers(read) if j - i == 4 and note[i : i + 2] in ("18", "19", "20") and read.edge(j)]
+    return years[-1] if years else None
 
 
-def _names(block: Block) -> Iterator[Found]:
-    for m in PARTIES.finditer(block.text):
-        if not CITED_NEXT.match(block.text, m.end(), min(len(block.text), m.end() + FOLLOWED_BY)):
-            yield Found("name_only", "case", m.start(), m.end(), m[0], m[0])
+def _backward(block: Block) -> Iterator[Found]:
+    read, low = block.read, block.text.lower()
+    i = low.find("id.")
+    while i >= 0:
+        start = i - 2 if low.startswith("ib", max(0, i - 2)) and i >= 2 else i
+        end = read.blank(i + 3)
+        if read.edge(start) and len(low) == len(block.text):
+            at = low.startswith("at", end) and read.gap(end + 2)
+            stop = at and read.pages(at, note=False)
+            yield Found("id", "case", start, stop or end, read.text[start : stop or end], pincite=read.text[at:stop] if stop else None)
+        i = low.find("id.", end)
 
 
-def _others(block: Block, pattern: re.Pattern, authority: str) -> Iterator[Found]:
-    for m in pattern.finditer(block.text):
-        yield Found("unsupported", authority, m.start(), m.end(), m[0])
+def _names(block: Block) -> Iterator[Found]:
+    read, used = block.read, 0
+    at = block.text.find("v.")
+    while at >= 0:
+        found = _parties(read, at, used)
+        if found:
+            used = found[1]
+            near = Cursor(block.text, used + FOLLOWED_BY)
+            i = near.blank(used)
+            i = near.blank(i + 1) if near.at(i) == "," else i
+            number = near.run(i, DIGITS)
+            if not (number > i and _cited(near, i, number)):
+                text = block.text[slice(*found)]
+                yield Found("name_only", "case", *found, text, text)
+        at = block.text.find("v.", max(at + 2, used))
+
+
+def _parties(read: Cursor, at: int, least: int) -> tuple[int, int] | None:
+    """The words with capitals on both sides of a "v.": where they begin and end."""
+    if at == 0 or not read.text[at - 1].isspace() or (i := read.gap(at + 2)) is None:
+        return None
+    end = words = 0
+    while words < PARTY_WORDS and read.at(i) in CAPITALS and read.at(i):
+        j = read.run(i, PARTY)
+        last = j
+        while last > i and not read.edge(last):
+            last -= 1
+        end, words = (last if last > i else end), words + 1
+        if (nxt := read.gap(j)) is None:
+            break
+        i = nxt
+    start, words, j = None, 0, at
+    while words < PARTY_WORDS:
+        right = len(read.text[least:j].rstrip()) + least
+        left = read.back(right, PARTY, least)
+        if right == j or left == right:
+            break
+        # a word begins at a capital; in front of the first one other characters may be glued to it
+        here = next((k for k in range(left, right) if read.text[k] in CAPITALS and read.edge(k)), None)
+        if here is None:
+            break
+        start, words = here, words + 1
+        if here > left or (left > 0 and not read.text[left - 1].isspace()):
+            break
+        j = left
+    return (start, end) if start is not None and end else None
+
+
+def _titled(read: Cursor, at: int, least: int) -> int | None:
+    """Where the title begins whose last word begins at a place: at the first capital of its letters, points and blanks."""
+    left = len(read.text[:at].rstrip())
+    begin = read.back(left, TITLE, least)
+    # a title of one letter needs a blank of its own beside the one before the last word
+    last = left if at - left > 1 and read.text[left] == " " else left - 1
+    return next((k for k in range(begin, last) if read.text[k] in CAPITALS and read.edge(k)), None) if left < at else None
+
+
+def _statutes(block: Block) -> Iterator[Found]:
+    """Sections of the United States Code by its title's number, of the Michigan Compiled Laws, and of codes and laws that are named."""
+    read, found = block.read, []
+    for start, end in _numbers(read):
+        i = code = read.gap(end)
+        for letter in "USC" if i else ():
+            code = i and read.word(i, letter)
+            i = code and read.blank(code + (read.at(code) == "."))
+        if i:
+            i = read.blank(read.run(i, frozenset("§")))
+            # without a section the code alone counts, if it ends in a point
+            i = i if read.run(i, SECTION) > i else code
+            found.append((start, read.run(i, SECTION), i, []))
+    at = block.text.find("MCL")
+    while at >= 0:
+        i = read.gap(at + 3)
+        if read.edge(at) and i and read.at(i) in DIGITS and read.at(i):
+            found.append((at, read.run(i, SECTION), i, []))
+        at = block.text.find("MCL", at + 3)
+    at = block.text.find("§")
+    while at >= 0:
+        left = len(block.text[:at].rstrip())
+        word = next((w for w in ("Code", "Laws", "Law") if block.text.endswith(w, 0, left)), None)
+        start = _titled(read, left - len(word), 0) if word else None
+        i = read.blank(read.run(at, frozenset("§")))
+        if start is not None:
+            found.append((start, read.run(i, SECTION), i, [left - len(word)]))
+        at = block.text.find("§", i)
+    yield from _apart(block, found, "statute")
+
+
+def _rules(block: Block) -> Iterator[Found]:
+    """Federal rules of procedure, and rules that a title names."""
+    read, found = block.read, []
+    for i, j in ((k, read.run(k, DIGITS)) for k in range(read.end) if read.text[k] in DIGITS and (k == 0 or read.text[k - 1] not in DIGITS)):
+        left = len(block.text[:i].rstrip())
+        mark = left - (block.text[left - 1 : left] == ".")
+        start, places = None, []
+        word = next((w for w in ("Rule", "R") if block.text.endswith(w, 0, mark)), None)
+        if word:
+            court = len(block.text[: mark - len(word)].rstrip())
+            places = [mark - len(word), *([court - 5] if court < mark - len(word) and block.text.endswith("Court", 0, court) else [])]
+            start = _first_title(read, places, 0)
+        elif block.text.endswith("P", 0, mark):
+            at = mark - 1
+            for part in (("Civ", "Crim", "App"), ("R",), ("Fed",)):
+                before = len(block.text[:at].rstrip())
+                before -= block.text[before - 1 : before] == "."
+                w = next((w for w in part if block.text.endswith(w, 0, before)), None) if before < at else None
+                at = before - len(w) if w else -1
+                if at < 0:
+                    break
+            start = at if at >= 0 and read.edge(at) else None
+        if start is not None:
+            found.append((start, read.run(j, SECTION), i, places))
+    yield from _apart(block, found, "rule")
+
+
+def _first_title(read: Cursor, places: list[int], least: int) -> int | None:
+    return min((x for x in (_titled(read, at, least) for at in places) if x is not None), default=None)
+
+
+def _apart(block: Block, found: list[tuple[int, int, int, list[int]]], authority: str) -> Iterator[Found]:
+    """From left to right, each behind the one before: (start, end, where its number begins, where the last words of its title may begin)."""
+    used = 0
+    for start, end, number, places in sorted(found):
+        begin = start if start >= used else _first_title(block.read, places, used)
+        if begin is not None and end > number >= begin:
+            used = end
+            yield Found("unsupported", authority, begin, end, block.text[begin:end])
+
+
+def header_of(text: str) -> tuple[str | None, list[str]]:
+    """What the head of an opinion tells of it: the first name of two parties, as far as capitals, digits and points go on both sides of a
+    "v.", and the reporter citations."""
+    block, read, part = Block(text), Cursor(text), PARTY | {" "}
+    cites = [f.reporter_citation for f in _reporters(block, short=False)]
+    versus = [i for i in range(1, len(text) - 2) if text.startswith("v.", i) and text[i - 1].isspace() and read.at(read.gap(i + 2) or -1) in CAPITALS]
+    for start in range(len(text)):
+        if not versus or text[start] not in CAPITALS or not read.edge(start):
+            continue
+        stop = read.run(start, part, TITLE_MOST + 1)
+        # the last "v." within reach whose other side is a name of two characters at least
+        for i in reversed(versus):
+            left = len(text[:i].rstrip())
+            if not (start + 2 <= min(left, stop) and (left <= stop or text[stop:i].isspace())):
+                continue
+            other = read.gap(i + 2)
+            end = read.run(other, part, TITLE_MOST + 1)
+            while end > other + 1 and not read.edge(end):
+                end -= 1
+            if end >= other + 2:
+                return text[start:end], cites
+    return None, cites
 
 
 def occurrences_in(text: str) -> list[Found]:
@@ -199,7 +454,7 @@ def occurrences_in(text: str) -> list[Found]:
     block = Block(text)
     for f in _reporters(block, short=False):
         block.put(f)
-    for found, quoted in ((_reporters(block, short=True), True), (_backward(block), True), (_names(block), True), (_others(block, CODES, "statute"), False), (_others(block, RULES, "rule"), False)):
+    for found, quoted in ((_reporters(block, short=True), True), (_backward(block), True), (_names(block), True), (_statutes(block), False), (_rules(block), False)):
         for f in found:
             if block.free(f.start_at, f.end_at):
                 block.put(f, quoted)

@@ -17,6 +17,7 @@ from lexloom.functions import citations as C
 from lexloom.functions import text as T
 from lexloom.functions import urls as U
 from lexloom.functions.markup import opinion_text
+from lexloom.operators.citations import header_of
 
 # What may be analysed, how large it may be, how long an opinion must be, and how many sources and entries a scan may see.
 EXTENSIONS = ("html", "htm", "md", "txt")
@@ -207,20 +208,22 @@ def load_drafts(files: DataFrame, path: str = "path") -> DataFrame:
     return rows.select(path, F.col("normalized").alias("text"), "blocks", F.sha2("content", 256).alias("raw_sha256"), F.sha2("normalized", 256).alias("text_sha256"), error.alias("error"))
 
 
-HEADER_CITE = r"(?<![A-Za-z0-9_])(\d{1,4}\s+[A-Z][A-Za-z.\s\d]{0,18}\s+\d{1,9})(?![A-Za-z0-9_])"
-HEADER_TITLE = r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9&'’.()\- ]{1,90}\s+v\.\s+[A-Z][A-Za-z0-9&'’.()\- ]{1,90})(?![A-Za-z0-9_])"
+def _header(c: Column) -> Column:
+    """struct(title, citations) of an opinion's first blocks."""
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([header_of(x or "") for x in s], columns=["title", "citations"])
+
+    return F.pandas_udf(run, "title string, citations array<string>")(c)
 
 
 def identity(metadata: Column, blocks: Column) -> Column:
     """struct of metadata_fields(): from the metadata if it names a citation or title, else from the first four blocks."""
     told = metadata_fields(metadata)
-    head = F.array_join(F.slice(blocks, 1, 4), " ")
-    cites = F.filter(F.transform(F.regexp_extract_all(head, F.lit(HEADER_CITE), F.lit(1)), T.collapse), lambda x: C.strict_citation_key(x).isNotNull())
+    head = _header(F.array_join(F.slice(blocks, 1, 4), " "))
+    cites = F.filter(F.transform(head["citations"], T.collapse), lambda x: C.strict_citation_key(x).isNotNull())
     none = F.lit(None).cast("string")
-    read = F.struct(
-        F.nullif(F.regexp_extract(head, HEADER_TITLE, 1), F.lit("")).alias("title"), cites.alias("citations"), F.transform(cites, C.strict_citation_key).alias("norm_citations"),
-        *(none.alias(f) for f in ("court", "year", "docket", "case_key", "provider")),
-    )
+    read = F.struct(head["title"].alias("title"), cites.alias("citations"), F.transform(cites, C.strict_citation_key).alias("norm_citations"), *(none.alias(f) for f in ("court", "year", "docket", "case_key", "provider")))
     return F.when((F.size(told["norm_citations"]) > 0) | told["title"].isNotNull(), told).otherwise(read)
 
 
