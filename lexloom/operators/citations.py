@@ -437,8 +437,8 @@ def header_of(text: str) -> tuple[str | None, list[str]]:
         stop = read.run(start, part, TITLE_MOST + 1)
         # the last "v." within reach whose other side is a name of two characters at least
         for i in reversed(versus):
-            left = len(text[:i].rstrip())
-            if not (start + 2 <= min(left, stop) and (left <= stop or text[stop:i].isspace())):
+            cut = min(stop, i - 1)
+            if cut < start + 2 or not text[cut:i].isspace():
                 continue
             other = read.gap(i + 2)
             end = read.run(other, part, TITLE_MOST + 1)
