@@ -212,7 +212,7 @@ def _header(c: Column) -> Column:
     """struct(title, citations) of an opinion's first blocks."""
 
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([header_of(x or "") for x in s], columns=["title", "citations"])
+        return pd.DataFrame([header_of(x or "") for x in s], columns=["title", "citations"], dtype=object)
 
     return F.pandas_udf(run, "title string, citations array<string>")(c)
 
