@@ -53,8 +53,8 @@ BEFORE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++{BREAK}\Z")
 NARROW = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,15}}{BREAK}(?=[A-Za-z0-9+/_-])")
 #: Heads of zlib streams: method 8, any window, no dictionary, and a check that both bytes are a multiple of 31.
 _ZLIB = "".join(f"|{re.escape(chr(c))}[{''.join(re.escape(chr(f)) for f in range(256) if (c * 256 + f) % 31 == 0 and not f & 32)}]" for c in range(0x08, 0x79, 16))
-#: Heads of gzip, bz2, xz and zlib streams; behind the last, which letters may be too, soon something that isn't one.
-STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|(?:" + _ZLIB[1:].encode("latin-1") + rb")(?=[\x00-\xff]{0,7}[\x00-\x08\x0e-\x1f\x7f-\xff])")
+#: Heads of gzip, bz2, xz and zlib streams; behind those of unusual windows, which may be letters, soon something that isn't one.
+STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]|(?:" + _ZLIB[1:].encode("latin-1") + rb")(?=[\x00-\xff]{0,23}[\x00-\x08\x0e-\x1f\x7f-\xff])")
 STREAM_TEXT = re.compile(STREAM.pattern.decode("latin-1"))
 #: Bytes without any of these hold no secret and nothing to decode.
 HOLDS = re.compile(rb"AKIA|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)|%[0-9A-Fa-f]{2}|\\[uUx]|\\[0-3][0-7]{2}|[A-Za-z0-9+/_-]{16}|" + STREAM.pattern)
