@@ -95,8 +95,9 @@ def quotation_state(requested: Column, quote: Column, source: Column, exact: Col
     return F.when(~requested, "not_checked").when(quote.isNull(), "not_applicable").when(source.isNull(), "source_unavailable").when(exact, "verified").when(omission, "manual_review_required").otherwise("quote_mismatch")
 
 
-# What stands for an omission.
-OMISSION = r"\.\s*\.\s*\.|…|\[\s*(?:\.\s*){3}\]"
+# What stands for an omission. Of more than three points in a row none is text: where a sentence ends before an
+# omission, its point would else be left over for the next piece, which then stands nowhere.
+OMISSION = r"\.(?:\s*\.){2,}|…|\[\s*(?:\.\s*){3,}\]"
 
 
 def quotation_pieces(quote: str, least: int = 15) -> list[str]:
