@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -38,6 +38,8 @@ STATES = (
     "run_id string, provider string, status string, waits_for string, pages_completed long, raw_results long, completed_partitions long, pending_partitions long, "
     "expanded_partitions long, partitioned boolean, held long, tries long, error string"
 )
+#: The columns of an answer that move a machine, and of a state.
+TAKEN, TOLD = [c.split()[0] for c in ANSWERS.split(", ")[2:]], [c.split()[0] for c in STATES.split(", ")]
 #: Event ids that open a collection and that raise its limit of pages.
 OPEN, RESUME = "open", "resume"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,6 +53,11 @@ def _number(x) -> int | None:
     return None if x is None else int(x)
 
 
+def _given(x):
+    """A cell of a frame, whose nulls may be NaN or NA."""
+    return None if x is None or x is pd.NA or x != x else x
+
+
 @dataclass(frozen=True)
 class Limits:
     """What a provider shows, and how often a paused machine asks again."""
@@ -182,74 +189,93 @@ class Machine:
         return (run_id, self.provider, self.status, self.waits_for(), self.pages, self.raw, self.done, len(self.parts), self.split, self.split > 0, held, self.tries, self.error)
 
 
-class Collector(StatefulProcessor):
-    """Moves the machines of one key by its answers."""
+class RowCollector(StatefulProcessor):
+    """Moves the machines of one key by its answers, which come as rows of one JSON text, as do the states that it tells.
+
+    Calls of the state store pass through a socket each, so a machine is one value: it is read and written once a batch, together
+    with what it holds, all of which a batch looks through anyway. Rows are read cell by cell, so that they have few.
+    """
 
     def __init__(self, limits: Limits) -> None:
         self.limits = limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.machine = handle.getValueState("machine", "state string")
-        self.held = handle.getMapState("held", "event_id string", "results int, reached_end boolean, failure string")
-
-    def _load(self, provider: str) -> Machine:
-        saved = json.loads(self.machine.get()[0]) if self.machine.exists() else {"provider": provider}
-        return Machine(limits=self.limits, **saved)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        m = self._load(key[1])
-        for frame in rows:
-            for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
-                if r.event_id == OPEN:
-                    m.open(r.cited_by_id, r.court, _number(r.year_lo), _number(r.year_hi), _number(r.max_pages))
-                elif r.event_id == RESUME:
-                    m.raise_limit(_number(r.max_pages))
-                elif not m.past(r.event_id):
-                    known = self.held.getValue((r.event_id,)) if self.held.containsKey((r.event_id,)) else None
-                    if known is None or known[2] is not None:
-                        self.held.updateValue((r.event_id,), (_number(r.results) or 0, None if r.reached_end is None else bool(r.reached_end), r.failure))
-        while (wanted := m.waits_for()) and self.held.containsKey((wanted,)):
-            results, reached_end, failure = self.held.getValue((wanted,))
-            self.held.removeKey((wanted,))
+        self.machine = handle.getValueState("machine", "state string, held string")
+
+    def _load(self, provider: str) -> tuple[Machine, dict[str, list]]:
+        """The machine, and what came ahead of its turn: [results, reached_end, failure] by event id."""
+        state, held = map(json.loads, self.machine.get() or (json.dumps({"provider": provider}), "{}"))
+        return Machine(limits=self.limits, **state), held
+
+    def _answers(self, rows) -> Iterator[tuple]:
+        """What came, in the order of TAKEN."""
+        for row in rows:
+            answer = json.loads(row[2])
+            yield tuple(map(answer.get, TAKEN))
+
+    def _out(self, told: tuple):
+        return Row(told=json.dumps(dict(zip(TOLD, told, strict=True))))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        m, held = self._load(key[1])
+        for event_id, results, reached_end, failure, cited_by_id, court, low, high, max_pages in self._answers(rows):
+            if event_id == OPEN:
+                m.open(cited_by_id, court, _number(low), _number(high), _number(max_pages))
+            elif event_id == RESUME:
+                m.raise_limit(_number(max_pages))
+            elif not m.past(event_id):
+                known = held.get(event_id)
+                if known is None or known[2] is not None:
+                    held[event_id] = [_number(results) or 0, None if reached_end is None else bool(reached_end), failure]
+        while (wanted := m.waits_for()) and wanted in held:
+            results, reached_end, failure = held.pop(wanted)
             if failure is not None:
                 m.fail(failure)
                 self._ask_again(m, timerValues)
                 break
             m.take(results, reached_end)
-        yield self._told(key, m)
+        yield self._told(key, m, held)
 
     def _ask_again(self, m: Machine, timerValues) -> None:
         if self.limits.retry_ms is not None and m.status == "paused":
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.limits.retry_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        m = self._load(key[1])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        m, held = self._load(key[1])
         if m.status == "paused":
             m.tries += 1
             if m.tries >= self.limits.tries:
                 m.status, m.error = "blocked", f"no good answer after {m.tries} tries"
             self._ask_again(m, timerValues)
-            yield self._told(key, m)
-
-    def _told(self, key, m: Machine) -> pd.DataFrame:
-        held = 0
-        for (event_id,), _ in list(self.held.iterator()):
-            if m.past(event_id):
-                self.held.removeKey((event_id,))
-            else:
-                held += 1
-        self.machine.update((m.dump(),))
-        return pd.DataFrame([m.row(key[0], held)], columns=[c.split()[0] for c in STATES.split(", ")])
+            yield self._told(key, m, held)
+
+    def _told(self, key, m: Machine, held: dict[str, list]):
+        held = {event_id: answer for event_id, answer in held.items() if not m.past(event_id)}
+        self.machine.update((m.dump(), json.dumps(held)))
+        return self._out(m.row(key[0], len(held)))
 
     def close(self) -> None:
         pass
 
 
+class Collector(RowCollector):
+    """The same for answers that come as frames. A frame a key costs more than its answers, so that advance() takes rows."""
+
+    def _answers(self, rows) -> Iterator[tuple]:
+        for frame in rows:
+            yield from zip(*(map(_given, frame[c].tolist()) for c in TAKEN), strict=True)
+
+    def _out(self, told: tuple) -> pd.DataFrame:
+        return pd.DataFrame([told], columns=TOLD)
+
+
 def advance(answers: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The states that a stream of answers (ANSWERS) leads to: a row for every machine that a batch or a timer moved."""
-    rows = answers.where("run_id IS NOT NULL AND provider IS NOT NULL AND event_id IS NOT NULL")
-    return rows.groupBy("run_id", "provider").transformWithStateInPandas(Collector(limits), STATES, "Update", "ProcessingTime" if limits.retry_ms is not None else "None")
+    rows = answers.where("run_id IS NOT NULL AND provider IS NOT NULL AND event_id IS NOT NULL").select("run_id", "provider", F.to_json(F.struct(*TAKEN)).alias("answer"))
+    timed = "ProcessingTime" if limits.retry_ms is not None else "None"
+    told = rows.groupBy("run_id", "provider").transformWithState(RowCollector(limits), "told string", "Update", timed)
+    return told.select(F.from_json("told", STATES, {"mode": "FAILFAST"}).alias("told")).select("told.*")
 
 
 class Collections:
