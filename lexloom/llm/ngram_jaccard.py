@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import common
-from lexloom.llm.blocks import NO_KEY, SENT, by_bucket, count_buckets, frames, pack_array, pack_blocks, pack_sorted, rows_of, schema_of, unframe, unpack_array
-from lexloom.llm.repeats import answer, flags_of
+from lexloom.llm.blocks import NO_KEY, SENT, by_bucket, count_buckets, frames, pack_array, pack_blocks, pack_sorted, rows_of, schema_of, unframe, unpack_array, unpack_bits, unpack_sorted
+from lexloom.llm.repeats import answer
 
 SKETCH_BITS, SKETCH_PARTS = 22, 16
 #: Up to this many members, a bucket's pairs are few enough to compare their brief forms.
@@ -234,6 +234,30 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFram
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def keep_keys(keys: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
+    """The different keys of a block's sets in order, and whose they are: of each key how many sets have it and which, without the
+    keys that only one has, as the buckets tell those that count."""
+    every = np.concatenate([np.zeros(0, np.uint64), *keys])
+    order = np.argsort(every, kind="stable")
+    owners = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])[order]
+    values, counts = np.unique(every[order], return_counts=True)
+    return values, frames(pack_array(owners), pack_array(counts.astype(np.uint32)), pack_sorted(values[counts > 1]))
+
+
+def shared_keys(state: bytes, told: list[bytes], sets: int) -> list[np.ndarray]:
+    """Of each set its keys in order that another set of its block or of others has. told: the buckets' answers in their order."""
+    owners, counts, twice = (f(d) for f, d in zip((lambda d: unpack_array(d, "<u4"), lambda d: unpack_array(d, "<u4"), unpack_sorted), unframe(state), strict=True))
+    parts = [unframe(d) for d in told]
+    elsewhere = np.concatenate([np.zeros(0, bool), *(unpack_bits(p[0]) for p in parts)])
+    values = np.zeros(len(counts), np.uint64)
+    values[counts > 1] = twice
+    values[elsewhere] = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(p[1]) for p in parts)])
+    hit = np.repeat(elsewhere | (counts > 1), counts)
+    of, values = owners[hit], np.repeat(values, counts)[hit]
+    order = np.argsort(of, kind="stable")
+    return np.split(values[order], np.searchsorted(of[order], np.arange(1, sets))) if sets else []
+
+
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (member, centre, large, their elements) to (member, centre, large, sizes, the elements in which they differ)."""
     for b in batches:
@@ -269,13 +293,11 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, t in _blocks(batches):
-            keys = [join.keys(own, shared.value) for _, own in _distinct(join, t)]
-            every = np.concatenate([np.zeros(0, np.uint64), *keys])
-            values = np.unique(every)
-            out = [(k, block, 0, pack_sorted(values[x:y])) for k, x, y in by_bucket(values, buckets, KEY_BITS)]
-            # the block's own keys come back to it with the answers, so that they aren't worked out twice
+            values, state = keep_keys([join.keys(own, shared.value) for _, own in _distinct(join, t)])
+            out = [(k, block, 1, pack_sorted(values[x:y])) for k, x, y in by_bucket(values, buckets, KEY_BITS)]
+            # whose the block's keys are comes back to it with the answers, so that they aren't worked out twice
             own_group = -1 - (block * 0x9E3779B1 >> 7) % (1 << 30)
-            out.append((own_group, block, 4, frames(pack_array(np.array([len(k) for k in keys], np.uint32)), pack_array(every))))
+            out.append((own_group, block, 4, state))
             yield from rows_of(schema_of(SENT), out).to_batches()
 
     def pick(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -283,28 +305,28 @@ def ngram_links(df: DataFrame, n: int, pct: int, lower: bool, text: str = "text"
         for data in left["data"]:
             table, of = pa.ipc.open_stream(data.as_py()).read_all(), []
             own = list(_distinct(join, table, of))
-            lengths, every = (unpack_array(d, kind) for d, kind in zip(unframe(next(d for c, d in zip(right["kind"].to_pylist(), right["data"].to_pylist(), strict=True) if c == 4)), ("<u4", "<u8"), strict=True))
-            own = [(c, elements, k) for (c, elements), k in zip(own, np.split(every, np.cumsum(lengths)[:-1].astype(np.int64)), strict=False)]
             for doc, (size, c) in zip(table["_id"].to_pylist(), of, strict=True):
                 for col, v in zip(out, (doc, size, c, None, None, None), strict=True):
                     col.append(v)
-            values, counts = np.unique(every, return_counts=True)
-            shared_keys = values[(counts > 1) | flags_of(right, 0)] if len(values) else values
-            for c, elements, keys in own:
-                hit = np.intersect1d(keys, shared_keys, assume_unique=True)
+            told = sorted((k, d) for k, c, d in zip(right["k"].to_pylist(), right["kind"].to_pylist(), right["data"].to_pylist(), strict=True) if c == 1)
+            state = next(d for c, d in zip(right["kind"].to_pylist(), right["data"].to_pylist(), strict=True) if c == 4)
+            for (c, elements), hit in zip(own, shared_keys(state, [d for _, d in told], len(own)), strict=True):
                 if len(hit):
                     for col, v in zip(out, (None, len(elements), c, hit.astype(np.int64), brief(elements), elements.tobytes()), strict=True):
                         col.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
         return pa.table([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["doc_id", "size", "class", "keys", "brief", "elements"])
 
-    found = units.mapInArrow(send, SENT).groupBy("k", "kind").applyInArrow(answer, SENT)
+    # Written, so that the shuffle files of this step are gone before the next one fills the disks.
+    found = scratch.save(units.mapInArrow(send, SENT).groupBy("k", "kind").applyInArrow(answer, SENT), "answers")
+    common.release(df.sparkSession)
     members = units.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(pick, MEMBERS)
     every = scratch.save(members, "members")
     # What follows reads the tables alone.
     shared.destroy()
     del units, blocks, found, members
     scratch.drop("blocks")
+    scratch.drop("answers")
     common.release(df.sparkSession)
     meta = every.where("keys IS NULL").select("doc_id", F.col("size").alias("n_shingles"), "class")
     members = every.where("keys IS NOT NULL").drop("doc_id")

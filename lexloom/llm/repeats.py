@@ -148,7 +148,8 @@ def _send_anchors(spec: Spec, buckets: int) -> Callable:
 
 
 def answer(key: tuple, sent: pa.Table) -> pa.Table:
-    """For one bucket and kind: each block's flags. Kind 0: in another block; kind 2 (names of two parts): in an earlier one."""
+    """For one bucket and kind: each block's flags. Kind 0: in another block; kind 1: the same, and what is in one; kind 2 (names of two
+    parts): in an earlier one."""
     if key[0].as_py() < 0:  # a block's own state, on its way to the last step
         return sent.select(["k", "block", "kind", "data"])
     order = np.argsort(sent["block"].to_numpy(), kind="stable")
@@ -163,12 +164,13 @@ def answer(key: tuple, sent: pa.Table) -> pa.Table:
     every = np.concatenate(values)
     again = later(every, second)
     flags = again
-    if kind == 0:
+    if kind in (0, 1):
         twice = np.unique(every[again])
         at = np.minimum(np.searchsorted(twice, every), max(0, len(twice) - 1))
         flags = twice[at] == every if len(twice) else again
     cut = np.concatenate([[0], np.cumsum([len(v) for v in values])])
-    rows = [(key[0].as_py(), blocks[int(i)], kind, pack_bits(flags[cut[j] : cut[j + 1]])) for j, i in enumerate(order)]
+    told = [(pack_bits(flags[x:y]), every[x:y][flags[x:y]]) for x, y in zip(cut, cut[1:], strict=False)]
+    rows = [(key[0].as_py(), blocks[int(i)], kind, frames(bits, pack_sorted(found)) if kind == 1 else bits) for i, (bits, found) in zip(order, told, strict=True)]
     return rows_of(schema_of(SENT), rows)
 
 

@@ -89,3 +89,28 @@ def test_every_signature_finds_each_link():
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= pct * (len(a) + len(b) - both):
                     assert len(np.intersect1d(join.keys(a, sketch), join.keys(b, sketch)))
+
+
+def test_a_block_keeps_whose_its_keys_are_and_not_the_keys():
+    """What is shared comes back from the buckets, so that a block's own state is a fraction of its keys."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lexloom.llm.blocks import SENT, by_bucket, pack_sorted, rows_of, schema_of
+    from lexloom.llm.ngram_jaccard import KEY_BITS, keep_keys, shared_keys
+    from lexloom.llm.repeats import answer
+
+    rng = np.random.default_rng(1)
+    blocks = [[np.unique(rng.integers(0, 3000, rng.integers(0, 40)).astype(np.uint64) << np.uint64(36)) for _ in range(n)] for n in (0, 1, 5, 30)]
+    held = Counter(k for sets in blocks for s in sets for k in s.tolist())
+    for buckets in (1, 7):
+        kept = [keep_keys(sets) for sets in blocks]
+        sent = [(k, b, 1, pack_sorted(values[x:y])) for b, (values, _) in enumerate(kept) for k, x, y in by_bucket(values, buckets, KEY_BITS)]
+        told = [r for k in sorted({r[0] for r in sent}) for r in answer((pa.scalar(k), pa.scalar(1)), rows_of(schema_of(SENT), [r for r in sent if r[0] == k])).to_pylist()]
+        for b, sets in enumerate(blocks):
+            got = shared_keys(kept[b][1], [r["data"] for r in told if r["block"] == b], len(sets))
+            assert [g.tolist() for g in got] == [[k for k in s.tolist() if held[k] > 1] for s in sets]
+    many = [np.unique(rng.integers(0, 1 << KEY_BITS, 500).astype(np.uint64)) for _ in range(1000)]
+    assert len(keep_keys(many)[1]) < 2 * sum(map(len, many))  # the keys have six bytes each
