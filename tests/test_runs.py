@@ -314,6 +314,40 @@ def test_growing_components_equal_the_full_run(spark, tmp_path):
     assert not [n for n in names_in(spark, f"{tmp_path}/c") if n.startswith("work")]
 
 
+def shuffled(spark):
+    """Bytes that the application has written to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_growing_components_shuffle_keys_few_times(spark, tmp_path):
+    rng = random.Random(8)
+    keys = [f"{rng.getrandbits(1 << 13):02048x}" for _ in range(600)]
+    rows = [(i, [keys[i], keys[i // 3 * 3]]) for i in range(600)]
+    grown = GrowingComponents(spark, f"{tmp_path}/c")
+    for k in range(2):
+        lot = spark.createDataFrame(rows[k::2], "item long, keys array<string>").coalesce(4).localCheckpoint()
+        before = shuffled(spark)
+        grown.add(lot)
+        assert shuffled(spark) - before < 5 * sum(len(key) for _, of in rows[k::2] for key in set(of))
+    assert sorted(map(tuple, grown.labels().collect())) == brute_components(rows)
+
+
+def test_growing_components_with_stale_and_recurring_names(spark, tmp_path):
+    lots = [
+        [(10, ["a"]), (20, ["b"]), (30, ["c"]), (40, ["d"])],
+        [(15, ["b", "c"]), (41, ["d", None, "d"])],  # 20 and 30 go into 15
+        [(5, ["c"]), (30, []), (40, None), (50, ["e"])],  # 15 goes into 5, and 20 and 30 with it
+        [(20, ["e"]), (2, ["d"]), (50, ["e"])],  # 20 comes again under its old name
+        [(1, ["a", "e"]), (2, ["b"])],
+    ]
+    grown = GrowingComponents(spark, f"{tmp_path}/c")
+    for k, lot in enumerate(lots):
+        grown.add(spark.createDataFrame(lot, "item long, keys array<string>"))
+        assert sorted(map(tuple, grown.labels().collect())) == brute_components([r for l in lots[: k + 1] for r in l])
+
+
 # Pages and intervals --------------------------------------------------------------------------------------------------
 
 
